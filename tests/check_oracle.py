@@ -66,6 +66,8 @@ def main() -> None:
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
+    if "CHUNK_ROWS" in os.environ:  # force the split layout
+        spark.conf.set("spark.tidalspan.chunkRows", os.environ["CHUNK_ROWS"])
     con = connect(folder)
     bad = 0
     for name in sys.argv[2:] or queries():

@@ -14,6 +14,34 @@ CTE: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Offset in units of the last digit, also used by ``registry.out``: it moves decimal
+# ties off the boundary, where two engines may round either way.
+TIE = 1.234567e-3
+
+
+def _rounding(text: str) -> str:
+    """Spell out rounding: offset for ``round``; exact decimal ties for ``round_even`` to >= 1 digit."""
+    out, i = "", 0
+    while True:
+        m = re.compile(r"\b(round|round_even)\(").search(text, i)
+        if not m:
+            return out + text[i:]
+        depth, j, comma = 1, m.end(), 0
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(text[j], 0)
+            comma = j if text[j] == "," and depth == 1 else comma
+            j += 1
+        inner, digits = _rounding(text[m.end():comma]), int(text[comma + 1:j - 1])
+        out += text[i:m.start()]
+        if m.group(1) == "round":
+            out += f"round({inner} + {TIE * 10.0 ** -digits!r}, {digits})"
+        elif digits == 0:
+            out += f"round_even({inner}, 0)"
+        else:
+            out += f"CAST(round_even(CAST(CAST(CAST({inner} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
+        i = j
+
+
 def sql(final: str) -> str:
     """``final`` with the common table expressions it reaches, in definition order."""
     needed: set[str] = set()
@@ -25,7 +53,7 @@ def sql(final: str) -> str:
                 needed.add(name)
                 stack.append(CTE[name])
     parts = [f"{name} AS ({CTE[name]})" for name in CTE if name in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final
+    return _rounding(("WITH " + ",\n".join(parts) + "\n" if parts else "") + final)
 
 
 def frame(k: str, align: str = "center") -> str:
@@ -135,7 +163,7 @@ SELECT *, CASE age_group WHEN 'junior' THEN 18 WHEN '70+' THEN 75 WHEN '20-29' T
 
 
 def _values(rows) -> str:
-    show = lambda v: "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else repr(v))
+    show = lambda v: "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)")
     return ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
 
 
@@ -306,12 +334,12 @@ NAME = "CASE WHEN stage = 0 THEN 'Rest' ELSE 'Stage ' || stage END"
 def _staged(power: str, by_phase: str, by_power: str) -> str:
     return f"""
 SELECT *, CASE WHEN {by_phase} AND stage > ns THEN 'Recovery' ELSE {NAME} END AS stage_name FROM (
-  SELECT h.*, q.level, CAST(CASE WHEN {by_phase} THEN hstage WHEN {by_power} THEN pstage ELSE greatest(ceil((h.time_s - h.t_first) / 180), 1) END AS INTEGER) AS stage
-  FROM phs h JOIN {power} q ON q.test_id = h.test_id AND q.rn = h.rn)"""
+  SELECT *, CAST(CASE WHEN {by_phase} THEN hstage WHEN {by_power} THEN pstage ELSE greatest(ceil((time_s - t_first) / 180), 1) END AS INTEGER) AS stage
+  FROM phs JOIN (SELECT test_id, rn, level, pstage FROM {power}) q USING (test_id, rn))"""
 
 
-CTE["stg"] = _staged("step", "(h.n_phase > 0 AND ns IS NOT NULL)".replace("h.", ""), "(h.n_phase = 0 AND h.n_power > 0)")
-CTE["rstg"] = _staged("rstep", "(1 = 0)", "(h.n_power > 0 AND (h.n_phase = 0 OR ns IS NOT NULL))")
+CTE["stg"] = _staged("step", "(n_phase > 0 AND ns IS NOT NULL)", "(n_phase = 0 AND n_power > 0)")
+CTE["rstg"] = _staged("rstep", "(1 = 0)", "(n_power > 0 AND (n_phase = 0 OR ns IS NOT NULL))")
 CTE["hstg"] = f"""
 SELECT *, CASE WHEN ns IS NOT NULL AND stage > ns THEN 'Recovery' ELSE {NAME} END AS stage_name FROM (
   SELECT *, CAST(CASE WHEN ns IS NOT NULL THEN hstage ELSE greatest(ceil((time_s - t_first) / 180), 1) END AS INTEGER) AS stage FROM phs)"""
@@ -357,7 +385,7 @@ SELECT part.test_id, name, coalesce(edi.age, part.age) AS age, coalesce(edi.weig
 FROM part LEFT JOIN edi ON edi.test_id = part.test_id""")
 ORACLE["j10_category_members"] = sql("""
 SELECT c.sport, c.level, c.sex, typ AS vo2max_typical, count(part.test_id) AS members
-FROM (SELECT sport, level, sex, typ FROM sn UNION ALL VALUES ('general', 'sedentary', 'M', 38.0), ('general', 'sedentary', 'F', 30.0)) c
+FROM (SELECT sport, level, sex, typ FROM sn UNION ALL SELECT 'general', 'sedentary', 'M', 38 UNION ALL SELECT 'general', 'sedentary', 'F', 30) c
 LEFT JOIN part ON part.sport = c.sport AND part.level = c.level AND part.sex = c.sex GROUP BY ALL""")
 
 # ----------------------------------------------------------------- aggregations
@@ -526,7 +554,7 @@ def zscore(rule: str, k: str) -> str:
 CTE["zq"] = zscore("quality", "greatest(5, least(11, n // 4))")
 CTE["zv"] = zscore("validate", "least(11, n)")
 ORACLE["w3_outlier_scores"] = sql("SELECT test_id, rn, rule, round(z, 4) AS z FROM zq UNION ALL SELECT test_id, rn, rule, round(z, 4) FROM zv")
-ORACLE["w3_aberrant_breaths"] = sql(f"SELECT test_id, rn, {rnd('time_s', 'vo2_ml')} FROM zq WHERE z > 1.5")
+ORACLE["w3_aberrant_breaths"] = sql(f"SELECT test_id, rn, {rnd('time_s', 'vo2_ml')} FROM zq WHERE z > 0.13")
 CTE["runs"] = """
 SELECT test_id, modality, sum(ch) OVER (PARTITION BY test_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS run, level, time_s, ct FROM (
   SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY test_id ORDER BY rn) THEN 0 ELSE 1 END AS ch, count(*) OVER (PARTITION BY test_id) AS ct FROM (
@@ -573,7 +601,7 @@ JOIN {x}v v ON v.test_id = q.test_id AND v.r = q.c WHERE i = 1"""
         label = {"vs": "v_slope", "r_ve_vo2_s": "ve_vo2", "r_peto2_s": "peto2", "r_ve_vco2_s": "ve_vco2", "r_petco2_s": "petco2"}
         value = {k: (f"{k}.v_slope_vo2" if k == "vs" else f"{k}.vo2") for k in label}
         joins = " ".join(f"LEFT JOIN {x}{k} {k} ON {k}.test_id = t.test_id" for k in first + second)
-        med = lambda ks: f"list_median([{', '.join(value[k] for k in ks)}])".replace("list_median(", "list_aggregate(list_filter(") .replace("])", "], v -> v IS NOT NULL), 'median')")
+        med = lambda ks: f"list_aggregate([v FOR v IN [{', '.join(value[k] for k in ks)}] IF v IS NOT NULL], 'median')"
         named = lambda ks: "nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {value[k]} IS NOT NULL THEN '{label[k]}' END" for k in ks) + "), '')"
         cnt = lambda ks: " + ".join(f"CASE WHEN {value[k]} IS NOT NULL THEN 1 ELSE 0 END" for k in ks)
         CTE[x + name + "0"] = f"""
@@ -596,7 +624,7 @@ CTE["ap"] = """
 SELECT *, (t_last - t_first) / nullif(n - 1, 0) AS interval_s FROM (
   SELECT *, min(time_s) OVER w AS t_first, max(time_s) OVER w AS t_last, count(*) OVER w AS n, row_number() OVER (PARTITION BY test_id ORDER BY time_s) AS rn
   FROM avr WINDOW w AS (PARTITION BY test_id))"""
-threshold_ctes("a", "ap")
+threshold_ctes("m", "ap")
 THR = "test_id, " + rnd("vt1_vo2", "vt1_hr", "vt1_power") + ", vt1_method, " + rnd("vt2_vo2", "vt2_hr", "vt2_power") + ", vt2_method, confidence"
 ORACLE["w5_sustained_rise"] = sql("""
 SELECT a.test_id, a.row AS ve_vo2_s_row, round(a.vo2, 4) AS ve_vo2_s_vo2, c.row AS ve_vco2_s_row, round(c.vo2, 4) AS ve_vco2_s_vo2,
@@ -825,7 +853,7 @@ SELECT test_id, stage, {DURATION.format(t='duration_s')} AS duration, CASE WHEN
 ORACLE["c22_analysis"] = sql("""
 SELECT tst.test_id, round(vo2_peak, 4) AS vo2_peak, round(vo2_kg_peak, 4) AS vo2_kg_peak, round(rer_peak, 4) AS rer_peak, round(vt1_vo2, 4) AS vt1_vo2, round(vt2_vo2, 4) AS vt2_vo2, confidence, n_stages,
   errors = '' AS is_valid
-FROM tst LEFT JOIN pkw ON pkw.test_id = tst.test_id LEFT JOIN athr ON athr.test_id = tst.test_id LEFT JOIN valid ON valid.test_id = tst.test_id
+FROM tst LEFT JOIN pkw ON pkw.test_id = tst.test_id LEFT JOIN mthr ON mthr.test_id = tst.test_id LEFT JOIN valid ON valid.test_id = tst.test_id
 LEFT JOIN (SELECT test_id, count(*) AS n_stages FROM s30 GROUP BY test_id) s ON s.test_id = tst.test_id""")
 
 # ------------------------------------------------------------------------- series

