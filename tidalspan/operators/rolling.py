@@ -23,11 +23,12 @@ def rolling(
     columns: Sequence[str],
     k: str,
     align: str = "center",
-    function: str = "avg",
-    suffix: str = "_roll",
+    functions: dict[str, str] | None = None,
     index: str = "rn",
 ) -> DataFrame:
-    """Add ``<column><suffix>``: ``function`` over ``k`` rows, ``k`` a per-test column.
+    """Add ``<column><suffix>``: a mean over ``k`` rows (suffix ``_roll``), ``k`` a per-test column.
+
+    ``functions`` maps other suffixes to other SQL aggregates over the same frame.
 
     Centred frames hold ``(k - 1) div 2`` rows before and ``k div 2`` after.  A value
     is null unless the frame holds ``k`` non-null values.
@@ -41,6 +42,7 @@ def rolling(
         return {
             c + suffix: F.expr(f"CASE WHEN count({c}) {over} = {k} THEN {function}({c}) {over} END")
             for c in columns
+            for suffix, function in (functions or {"_roll": "avg"}).items()
         }
 
     return framed(df, build, F.col(k), index)
@@ -78,8 +80,7 @@ def outlier_scores(breaths: DataFrame, rule: str = "quality") -> DataFrame:
     else:
         raise ValueError(f"unknown rule: {rule}")
     df = df.withColumn("_k", width.cast("bigint"))
-    df = rolling(df, ["vo2_ml"], "_k", suffix="_mean")
-    df = rolling(df, ["vo2_ml"], "_k", function="stddev_samp", suffix="_sd")
+    df = rolling(df, ["vo2_ml"], "_k", functions={"_mean": "avg", "_sd": "stddev_samp"})
     z = F.abs(F.col("vo2_ml") - F.col("vo2_ml_mean")) / F.nullif(F.col("vo2_ml_sd"), F.lit(0.0))
     return df.withColumn("z", F.when(n >= 10, z)).drop("_k", "vo2_ml_mean", "vo2_ml_sd")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import KEY
-from .layout import attach, framed, prepare, rank_rows, spread, with_chunks
+from .layout import attach, framed, prepare, rank_rows, spread
 from .rolling import rolling
 
 SUSTAIN = 5  # consecutive rows that must stay beyond the limit
@@ -47,18 +47,17 @@ def smooth_for_thresholds(breaths: DataFrame, window_s: float = 30.0) -> DataFra
     })
 
 
-def sustained_changes(smooth: DataFrame, series: dict[str, str]) -> DataFrame:
-    """First row after the turning point where the change is sustained.
-
-    ``series`` maps a column to ``rise`` (after the first minimum, 5 consecutive values
-    >= 1.05 times it) or ``drop`` (after the first maximum, 5 values <= 0.95 times it).
-    One row per test with ``<column>_row`` and ``<column>_vo2`` (smoothed VO2 there).
-    """
-    turning, beyond = {}, {}
+def _turning_points(series: dict[str, str]) -> dict[str, Column]:
+    """Per-test aggregates: first minimum (rise) or maximum (drop) of each series."""
+    found = {}
     for c, kind in series.items():
         sign = 1 if kind == "rise" else -1
-        turning[f"_turn_{c}"] = F.min(F.when(F.col(c).isNotNull(), F.struct((F.col(c) * sign).alias("v"), F.col("rn"))))
-    df = attach(smooth, turning)
+        found[f"_turn_{c}"] = F.min(F.when(F.col(c).isNotNull(), F.struct((F.col(c) * sign).alias("v"), F.col("rn"))))
+    return found
+
+
+def _mark_changes(df: DataFrame, series: dict[str, str]) -> DataFrame:
+    """Add ``_hit_<column>``: (row, smoothed VO2) where a sustained change starts, else null."""
 
     def following(part: list[str]) -> dict[str, Column]:
         ahead = W.partitionBy(*part).orderBy("rn").rowsBetween(0, SUSTAIN - 1)
@@ -70,33 +69,97 @@ def sustained_changes(smooth: DataFrame, series: dict[str, str]) -> DataFrame:
         return out
 
     df = framed(df, following, SUSTAIN)
-    results = []
+    hits = {}
     for c, kind in series.items():
         turn = F.col(f"_turn_{c}")
         if kind == "rise":
             reached = F.col(f"_worst_{c}") >= turn["v"] * (1 + CHANGE)
         else:
             reached = F.col(f"_worst_{c}") <= -turn["v"] * (1 - CHANGE)
-        hit = (
-            (F.col("n") >= SUSTAIN + 5)
-            & (F.col("rn") > turn["rn"])
-            & (F.col(f"_seen_{c}") == SUSTAIN)
-            & reached
+        enough = (F.col("n") >= SUSTAIN + 5) & (F.col(f"_seen_{c}") == SUSTAIN)
+        hits[f"_hit_{c}"] = F.when(
+            enough & (F.col("rn") > turn["rn"]) & reached, F.struct(F.col("rn").alias("row"), F.col("vo2_s").alias("vo2"))
         )
-        row = F.when(hit, F.col("rn"))
-        results += [F.min(row).alias(f"{c}_row"), F.min_by("vo2_s", row).alias(f"{c}_vo2")]
-    return df.groupBy(KEY).agg(*results)
+    return df.withColumns(hits)
+
+
+def sustained_changes(smooth: DataFrame, series: dict[str, str]) -> DataFrame:
+    """First row after the turning point where the change is sustained.
+
+    ``series`` maps a column to ``rise`` (after the first minimum, 5 consecutive values
+    >= 1.05 times it) or ``drop`` (after the first maximum, 5 values <= 0.95 times it).
+    One row per test with ``<column>_row`` and ``<column>_vo2`` (smoothed VO2 there).
+    """
+    marked = _mark_changes(attach(smooth, _turning_points(series)), series)
+    first = marked.groupBy(KEY).agg(*[F.min(f"_hit_{c}").alias(f"_hit_{c}") for c in series])
+    return first.select(KEY, *[
+        F.col(f"_hit_{c}.{part}").alias(f"{c}_{part}") for c in series for part in ("row", "vo2")
+    ])
+
+
+def _paired() -> Column:
+    return F.col("vo2_s").isNotNull() & F.col("vco2_s").isNotNull()
+
+
+def _pair_values() -> dict[str, Column]:
+    """Per-test aggregates over the rows with both gases: count and means."""
+    both = _paired()
+    return {
+        "_m": F.count_if(both),
+        "_mx": F.avg(F.when(both, F.col("vo2_s"))),
+        "_my": F.avg(F.when(both, F.col("vco2_s"))),
+    }
+
+
+def _mark_segments(df: DataFrame) -> DataFrame:
+    """Add ``_seg``: number of candidate splits below the row's VO2 rank, -1 for unusable rows.
+
+    Candidate z is round(low + z * (high - low) / 29) with low, high the 20 % and 80 %
+    ranks.  A fraction of 29ths is never one half, so "candidate < rank" is
+    "low + z * (high - low) / 29 < rank - 1/2" and the count has a closed form.
+    """
+    df = df.withColumn("_absent", ~_paired())
+    df = rank_rows(df, ["_absent", "vo2_s", "rn"], "_r")
+    low, high = F.floor(F.col("_m") * 0.2), F.floor(F.col("_m") * 0.8)
+    below = F.ceil((F.col("_r") - 0.5 - low) * (CANDIDATES - 1) / (high - low))
+    segment = F.least(F.greatest(below, F.lit(0)), F.lit(CANDIDATES)).cast("int")
+    return df.withColumn("_seg", F.when(_paired() & (F.col("_m") >= 20), segment).otherwise(-1))
 
 
-def _sse(count: str, sx: str, sy: str, sxx: str, sxy: str, syy: str) -> Column:
-    """Residual sum of squares of a line fit from its sufficient statistics."""
-    n = F.col(count)
-    xx = F.col(sxx) - F.col(sx) * F.col(sx) / n
-    xy = F.col(sxy) - F.col(sx) * F.col(sy) / n
-    yy = F.col(syy) - F.col(sy) * F.col(sy) / n
+# Sufficient statistics of a line fit, relative to the test means for stable sums.
+_SUMS = {
+    "c": "count(1)", "sx": "sum(vo2_s - _mx)", "sy": "sum(vco2_s - _my)",
+    "sxx": "sum((vo2_s - _mx) * (vo2_s - _mx))", "sxy": "sum((vo2_s - _mx) * (vco2_s - _my))",
+    "syy": "sum((vco2_s - _my) * (vco2_s - _my))",
+}
+
+
+def _sse(side: str) -> Column:
+    """Residual sum of squares of the line fit left (``l``) or right (``r``) of a split."""
+    n, sx, sy, sxx, sxy, syy = (F.col(f"{side}_{k}") for k in _SUMS)
+    xx, xy, yy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
     return F.greatest(F.when(xx > 0, yy - xy * xy / xx).otherwise(yy), F.lit(0.0))
 
 
+def _with_errors(segments: DataFrame) -> DataFrame:
+    """Add ``split``: (total error, left rows, VO2) of the split after each segment, else null."""
+    upto = W.partitionBy(KEY).orderBy("_seg").rowsBetween(W.unboundedPreceding, 0)
+    rest = W.partitionBy(KEY).orderBy(F.desc("_seg")).rowsBetween(W.unboundedPreceding, -1)
+    inside = lambda k: F.when(F.col("_seg") >= 0, F.col(k))
+    sums = segments.select(
+        "*",
+        *[F.sum(inside(k)).over(upto).alias("l_" + k) for k in _SUMS],
+        *[F.sum(inside(k)).over(rest).alias("r_" + k) for k in _SUMS],
+    )
+    usable = F.col("_seg").between(0, CANDIDATES - 1) & (F.col("l_c") >= 5) & (F.col("l_c") <= F.col("_m") - 5)
+    error = (_sse("l") + _sse("r")).alias("sse")
+    return sums.withColumn("split", F.when(usable, F.struct(error, F.col("l_c").alias("row"), F.col("_vo2").alias("vo2"))))
+
+
+def _segment_sums() -> list[Column]:
+    return [*[F.expr(e).alias(k) for k, e in _SUMS.items()], F.max("vo2_s").alias("_vo2")]
+
+
 def v_slope(smooth: DataFrame) -> DataFrame:
     """Smoothed VO2 at the split of (VO2, VCO2) into two lines with least error.
 
@@ -104,37 +167,32 @@ def v_slope(smooth: DataFrame) -> DataFrame:
     One sum per segment is enough: the error left and right of every candidate follows
     from running totals over the segments, so no row-level running fit is needed.
     """
-    pairs = smooth.where(F.col("vo2_s").isNotNull() & F.col("vco2_s").isNotNull())
-    pairs = with_chunks(rank_rows(pairs, ["vo2_s", "rn"], "_r", "_m"), "_r")
-    pairs = attach(pairs, {"_mx": F.avg("vo2_s"), "_my": F.avg("vco2_s")}).where(F.col("_m") >= 20)
-    low, high = F.floor(F.col("_m") * 0.2), F.floor(F.col("_m") * 0.8)
-    segment = F.lit(0)
-    for z in range(CANDIDATES):
-        split = F.rint(low + F.lit(z) * (high - low) / (CANDIDATES - 1))
-        segment = segment + (split < F.col("_r")).cast("int")
-    x, y = F.col("vo2_s") - F.col("_mx"), F.col("vco2_s") - F.col("_my")
-    sums = {"c": F.count(F.lit(1)), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y)}
-    segments = pairs.groupBy(KEY, "_m", segment.alias("_seg")).agg(
-        *[v.alias(k) for k, v in sums.items()], F.max("vo2_s").alias("_vo2")
-    )
-    upto = W.partitionBy(KEY).orderBy("_seg").rowsBetween(W.unboundedPreceding, 0)
-    rest = W.partitionBy(KEY).orderBy(F.desc("_seg")).rowsBetween(W.unboundedPreceding, -1)
-    segments = segments.select(
-        KEY, "_m", "_seg", "_vo2",
-        *[F.sum(k).over(upto).alias("l_" + k) for k in sums],
-        *[F.sum(k).over(rest).alias("r_" + k) for k in sums],
-    )
-    usable = (F.col("_seg") < CANDIDATES) & (F.col("l_c") >= 5) & (F.col("l_c") <= F.col("_m") - 5)
-    error = _sse(*["l_" + k for k in sums]) + _sse(*["r_" + k for k in sums])
-    return (
-        segments.where(usable)
-        .withColumn("sse", error)
-        .groupBy(KEY)
-        .agg(F.min(F.struct("sse", "l_c", "_vo2")).alias("_best"))
-        .select(KEY, F.col("_best.l_c").alias("split_row"), F.col("_best._vo2").alias("v_slope_vo2"), F.col("_best.sse").alias("sse"))
+    df = _mark_segments(attach(smooth, _pair_values()))
+    segments = df.where(F.col("_seg") >= 0).groupBy(KEY, "_m", "_seg").agg(*_segment_sums())
+    best = _with_errors(segments).groupBy(KEY).agg(F.min("split").alias("_best")).where(F.col("_best").isNotNull())
+    return best.select(
+        KEY, F.col("_best.row").alias("split_row"), F.col("_best.vo2").alias("v_slope_vo2"), F.col("_best.sse").alias("sse")
     )
 
 
+def threshold_candidates(smooth: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """VO2 candidate of each method (``cand_<method>``), all from one pass over the rows."""
+    series = {f"{m}_s": kind for m, kind in _SERIES.items() if m in methods}
+    split = "v_slope" in methods
+    df = attach(smooth, {**_turning_points(series), **(_pair_values() if split else {})})
+    if series:
+        df = _mark_changes(df, series)
+    hits = [F.min(f"_hit_{c}").alias(f"_hit_{c}") for c in series]
+    if split:
+        parts = _mark_segments(df).groupBy(KEY, "_m", "_seg").agg(*_segment_sums(), *hits)
+        df = _with_errors(parts)
+        hits = [*hits, F.min("split").alias("_hit_v_slope_s")]
+    found = df.groupBy(KEY).agg(*hits) if hits else df.select(KEY).distinct()
+    return found.select(KEY, *[
+        F.col(f"_hit_{m}_s.vo2").alias(f"cand_{m}") for m in (*VT1_METHODS, *VT2_METHODS) if m in methods
+    ])
+
+
 def nearest_values(breaths: DataFrame, targets: DataFrame, target: str, values: Sequence[str]) -> DataFrame:
     """Values of the breath whose VO2 is nearest to the target, first on ties."""
     df = spread(breaths, targets.select(KEY, target), "inner")
@@ -150,16 +208,19 @@ def _median_of(values: list[Column]) -> Column:
     return F.when(m > 0, (F.get(known, low) + F.get(known, high)) / 2)
 
 
+def _check(methods: Sequence[str]) -> None:
+    unknown = [m for m in methods if m not in {*VT1_METHODS, *VT2_METHODS}]
+    if unknown:
+        raise ValueError(f"unknown threshold methods: {unknown}")
+
+
 def combine_candidates(candidates: DataFrame, methods: Sequence[str]) -> DataFrame:
     """Medians, the VT2 > VT1 rule, method names and confidence from ``cand_*`` columns.
 
     Only candidates that were found count.  A VT2 not above VT1 is dropped together
     with its candidates.
     """
-    known = {*VT1_METHODS, *VT2_METHODS}
-    unknown = [m for m in methods if m not in known]
-    if unknown:
-        raise ValueError(f"unknown threshold methods: {unknown}")
+    _check(methods)
     first = [m for m in VT1_METHODS if m in methods]
     second = [m for m in VT2_METHODS if m in methods]
 
@@ -199,24 +260,19 @@ def detect_thresholds(
     Tests with fewer than 20 rows get ``confidence = unable`` and nulls.
     """
     df = prepare(breaths)
-    smooth = smooth_for_thresholds(df, window_s)
-    series = {f"{m}_s": kind for m, kind in _SERIES.items() if m in methods}
-    found = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows"))
-    if series:
-        changes = sustained_changes(smooth, series)
-        found = found.join(
-            changes.select(KEY, *[F.col(f"{c}_vo2").alias(f"cand_{c[:-2]}") for c in series]), KEY, "left"
-        )
-    if "v_slope" in methods:
-        found = found.join(v_slope(smooth).select(KEY, F.col("v_slope_vo2").alias("cand_v_slope")), KEY, "left")
-    found = combine_candidates(found, methods)
-    rows = spread(df, found.select(KEY, "vt1_vo2", "vt2_vo2"), "inner")
+    _check(methods)
+    candidates = threshold_candidates(smooth_for_thresholds(df, window_s), methods)
+    verdict = ["vt1_vo2", "vt1_method", "vt2_vo2", "vt2_method", "confidence"]
+    found = combine_candidates(candidates, methods).select(KEY, *verdict)
+    rows = spread(df.select(KEY, "rn", "vo2_ml", "hr_bpm", "power_w"), found)
     lookups = []
     for t in ("vt1", "vt2"):
         distance = F.abs(F.col("vo2_ml") - F.col(f"{t}_vo2"))
         key = F.when(distance.isNotNull(), F.struct(distance, F.col("rn")))
         lookups += [F.min_by("hr_bpm", key).alias(f"{t}_hr"), F.min_by("power_w", key).alias(f"{t}_power")]
-    values = rows.groupBy(KEY).agg(*lookups)
-    return found.join(values, KEY, "left").select(
+    # The verdict is constant within a test, so grouping by it keeps one row per test.
+    values = rows.groupBy(KEY, *verdict).agg(*lookups)
+    values = values.withColumn("confidence", F.coalesce("confidence", F.lit("unable")))
+    return values.select(
         KEY, "vt1_vo2", "vt1_hr", "vt1_power", "vt1_method", "vt2_vo2", "vt2_hr", "vt2_power", "vt2_method", "confidence"
     )
