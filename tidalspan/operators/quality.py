@@ -1,4 +1,9 @@
-"""Effort, protocol and data quality."""
+"""Effort, protocol and data quality.
+
+Most measures are aggregates over the rows of a test.  Each is kept as a pair: the
+aggregates (``_*_values``) and the columns made from them (``_*_columns``), so that a
+composite takes all of its measures from one pass over the rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rating, steps, t_critical, tally, test_modality
-from ..schema import KEY
+from ..schema import KEY, named
 from .layout import attach, prepare, rank_rows
 from .rolling import outlier_scores, rolling
 from .stages import power_levels
@@ -33,6 +38,14 @@ def end_plateau(breaths: DataFrame, threshold: float = 150.0, window_s: float =
     smoothed values: not detected, delta null.
     """
     df = prepare(breaths)
+    tests = df.select(KEY).distinct()
+    return tests.join(_plateau(df, threshold, window_s), KEY, "left").select(
+        KEY, F.coalesce("_flat", F.lit(False)).alias("plateau_detected"), "plateau_delta"
+    )
+
+
+def _plateau(df: DataFrame, threshold: float, window_s: float = 30.0) -> DataFrame:
+    """Verdict and delta of the tests that have enough rows."""
     gap = F.when(F.col("interval") > 0, F.col("interval")).otherwise(F.lit(1.0))
     wanted = F.greatest(F.lit(5.0), F.rint(F.lit(float(window_s)) / gap))
     df = df.withColumn("_k", F.least(wanted, F.floor(F.col("n") / 2)).cast("bigint"))
@@ -56,11 +69,7 @@ def end_plateau(breaths: DataFrame, threshold: float = 150.0, window_s: float =
         by_power, (F.col("_power_range") > 10) & (F.col("_vo2_range") < threshold)
     ).otherwise((F.col("_rise") < threshold) & (F.col("_rise") >= 0))
     delta = F.when(by_power, F.col("_vo2_range")).otherwise(F.col("_rise"))
-    found = found.select(KEY, flat.alias("_flat"), delta.alias("plateau_delta"))
-    tests = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    return tests.join(found, KEY, "left").select(
-        KEY, F.coalesce("_flat", F.lit(False)).alias("plateau_detected"), "plateau_delta"
-    )
+    return found.select(KEY, flat.alias("_flat"), delta.alias("plateau_delta"))
 
 
 def assess_maximal_criteria(
@@ -77,9 +86,29 @@ def assess_maximal_criteria(
     null and does not count as available.
     """
     df = prepare(breaths)
-    raw = df.groupBy(KEY).agg(F.max("rer").alias("peak_rer"), F.max("hr_bpm").alias("peak_hr"))
+    raw = df.groupBy(KEY).agg(*named(_effort_values()))
+    out = _effort(raw, df, participants, reports, rer_threshold, hr_threshold_pct, plateau_threshold)
+    return out.select(KEY, *EFFORT)
+
+
+EFFORT = [
+    "peak_rer", "rer_met", "peak_hr", "predicted_hr_max", "hr_pct_predicted", "hr_met", "plateau_detected", "plateau_delta",
+    "plateau_met", "rpe", "rpe_met", "lactate", "lactate_met", "criteria_met", "criteria_available", "is_maximal", "determination",
+]
+
+
+def _effort_values() -> dict[str, Column]:
+    return {"peak_rer": F.max("rer"), "peak_hr": F.max("hr_bpm")}
+
+
+def _effort(
+    raw: DataFrame, rows: DataFrame, participants: DataFrame, reports: DataFrame | None,
+    rer_threshold: float = 1.10, hr_threshold_pct: float = 85.0, plateau_threshold: float = 150.0,
+) -> DataFrame:
+    """Add the effort columns to a per-test frame that has ``_effort_values``."""
     out = raw.join(participants.select(KEY, "age"), KEY, "left")
-    out = out.join(end_plateau(df, plateau_threshold), KEY, "left")
+    out = out.join(_plateau(rows, plateau_threshold), KEY, "left")
+    out = out.withColumn("plateau_detected", F.coalesce("_flat", F.lit(False)))
     if reports is None:
         out = out.withColumns({"rpe": F.lit(None).cast("double"), "lactate": F.lit(None).cast("double")})
     else:
@@ -110,7 +139,7 @@ def assess_maximal_criteria(
     return out.withColumns({
         "is_maximal": (count >= 3) | ((count >= 2) & by_rer),
         "determination": determination,
-    }).drop("age")
+    }).drop("age", "_flat")
 
 
 def exercise_score(criteria: DataFrame) -> DataFrame:
@@ -134,26 +163,25 @@ def exercise_duration(breaths: DataFrame) -> DataFrame:
     By phase where the test has phases (null if the part is missing), else by power
     above 20 W (more than 10 rows), else all but the first 120 s.
     """
+    return breaths.groupBy(KEY).agg(*named(_duration_values())).select(KEY, *named(_duration_columns()))
+
+
+def _duration_values() -> dict[str, Column]:
     phase, t = F.lower("phase"), F.col("time_s")
-    working, easy = phase.isin(EXERCISE_NAMES), phase.isin(WARMUP_NAMES)
-    loaded = F.col("power_w") > 20
+    working, easy, loaded = phase.isin(EXERCISE_NAMES), phase.isin(WARMUP_NAMES), F.col("power_w") > 20
     span = lambda c: F.max(F.when(c, t)) - F.min(F.when(c, t))
-    parts = breaths.groupBy(KEY).agg(
-        F.count("phase").alias("_phases"), span(working).alias("_ex"), span(easy).alias("_warm"),
-        F.count_if(loaded).alias("_loaded"), span(loaded).alias("_load_span"),
-        F.min(F.when(loaded, t)).alias("_load_start"), F.min(t).alias("_t0"), F.max(t).alias("_t1"),
-    )
+    return {
+        "_phases": F.count("phase"), "_ex": span(working), "_warm": span(easy), "_loaded": F.count_if(loaded),
+        "_load_span": span(loaded), "_load_start": F.min(F.when(loaded, t)), "_t0": F.min(t), "_t1": F.max(t),
+    }
+
+
+def _duration_columns() -> dict[str, Column]:
     by_phase, by_power = F.col("_phases") > 0, F.col("_loaded") > 10
     total = F.col("_t1") - F.col("_t0")
-    return parts.select(
-        KEY,
-        F.when(by_phase, F.col("_ex")).when(by_power, F.col("_load_span")).otherwise(total - 120).alias("exercise_s"),
-        F.when(by_phase, F.col("_warm"))
-        .when(by_power, F.col("_load_start") - F.col("_t0"))
-        .otherwise(F.lit(120.0))
-        .alias("warmup_s"),
-        total.alias("test_s"),
-    )
+    exercise = F.when(by_phase, F.col("_ex")).when(by_power, F.col("_load_span")).otherwise(total - 120)
+    warmup = F.when(by_phase, F.col("_warm")).when(by_power, F.col("_load_start") - F.col("_t0")).otherwise(F.lit(120.0))
+    return {"exercise_s": exercise, "warmup_s": warmup, "test_s": total}
 
 
 def loaded_rows(breaths: DataFrame) -> DataFrame:
@@ -166,20 +194,27 @@ def workload_regression(breaths: DataFrame, expected_slope: float | None = EXPEC
 
     R2 is null for constant VO2.  The caller restricts the result to cycling.
     """
-    fit = loaded_rows(breaths).groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_loaded"),
-        F.regr_slope("vo2_ml", "power_w").alias("slope"),
-        F.regr_sxx("vo2_ml", "power_w").alias("_xx"),
-        F.regr_sxy("vo2_ml", "power_w").alias("_xy"),
-        F.regr_syy("vo2_ml", "power_w").alias("_yy"),
-    ).where(F.col("n_loaded") >= 30)
+    fit = loaded_rows(breaths).groupBy(KEY).agg(*named(_fit_values())).where(F.col("n_loaded") >= 30)
+    return fit.select(KEY, "n_loaded", *named(_fit_columns(F.lit(expected_slope).cast("double"))))
+
+
+def _fit_values() -> dict[str, Column]:
+    loaded = (F.col("power_w") > 20) & F.col("vo2_ml").isNotNull()
+    y, x = F.when(loaded, F.col("vo2_ml")), F.when(loaded, F.col("power_w"))
+    return {
+        "n_loaded": F.count_if(loaded), "_slope": F.regr_slope(y, x),
+        "_xx": F.regr_sxx(y, x), "_xy": F.regr_sxy(y, x), "_yy": F.regr_syy(y, x),
+    }
+
+
+def _fit_columns(expected: Column) -> dict[str, Column]:
     xx, xy, yy = F.col("_xx"), F.col("_xy"), F.col("_yy")
     explained = F.when(xx > 0, xy * xy / F.nullif(xx, F.lit(0.0))).otherwise(0.0)
-    expected = F.lit(expected_slope).cast("double")
-    fit = fit.withColumn("r_squared", F.when(yy > 0, explained / F.nullif(yy, F.lit(0.0))))
-    fit = fit.withColumn("slope_deviation_pct", (F.col("slope") - expected) * 100 / expected)
-    fit = fit.withColumn("slope_acceptable", F.abs("slope_deviation_pct") <= 15)
-    return fit.drop("_xx", "_xy", "_yy")
+    deviation = (F.col("_slope") - expected) * 100 / expected
+    return {
+        "slope": F.col("_slope"), "r_squared": F.when(yy > 0, explained / F.nullif(yy, F.lit(0.0))),
+        "slope_deviation_pct": deviation, "slope_acceptable": F.abs(deviation) <= 15,
+    }
 
 
 def _level_rows(breaths: DataFrame) -> DataFrame:
@@ -215,24 +250,35 @@ def assess_protocol_quality(
 
     The lowest possible score is 40, so ``unable_to_assess`` never occurs in practice.
     """
-    powers = breaths.groupBy(KEY).agg(F.count("power_w").alias("_np"), F.max("power_w").alias("_maxp"))
-    out = powers.join(tests.select(KEY, "protocol"), KEY, "left")
-    if modality == "auto":
-        out = out.withColumn("modality", test_modality(F.col("protocol"), F.col("_np"), F.col("_maxp")))
-    else:
-        out = out.withColumn("modality", F.lit(modality))
-    out = out.drop("protocol", "_np", "_maxp")
+    facts = breaths.groupBy(KEY).agg(*named(_protocol_values()))
+    return _protocol(facts, breaths, tests, modality, expected_slope).select(KEY, *PROTOCOL)
+
+
+PROTOCOL = [
+    "modality", "expected_slope", "slope", "slope_deviation_pct", "slope_acceptable", "r_squared", "r_squared_acceptable",
+    "n_stages", "stage_cv", "stage_cv_acceptable", "test_s", "exercise_s", "duration_optimal", "warmup_s", "warmup_adequate",
+    "protocol_score", "protocol_rating",
+]
+
+
+def _protocol_values() -> dict[str, Column]:
+    powers = {"_np": F.count("power_w"), "_top": F.max("power_w")}
+    return {**powers, **_duration_values(), **_fit_values()}
+
+
+def _protocol(
+    facts: DataFrame, rows: DataFrame, tests: DataFrame, modality: str = "auto", expected_slope: float | None = None
+) -> DataFrame:
+    """Add the protocol columns to a per-test frame that has ``_protocol_values``."""
+    out = facts.join(tests.select(KEY, "protocol"), KEY, "left").join(stage_consistency(rows), KEY, "left")
+    found = test_modality(F.col("protocol"), F.col("_np"), F.col("_top")) if modality == "auto" else F.lit(modality)
+    out = out.withColumn("modality", found)
     cycling = F.col("modality") == "cycling"
     given = F.lit(expected_slope).cast("double")
-    out = out.withColumn(
-        "expected_slope", F.coalesce(given, F.when(cycling, F.lit(EXPECTED_SLOPE)))
-    )
-    slope = EXPECTED_SLOPE if expected_slope is None else expected_slope
-    fit = workload_regression(breaths, slope).drop("n_loaded")
-    out = out.join(fit, KEY, "left")
-    for c in ("slope", "r_squared", "slope_deviation_pct", "slope_acceptable"):
-        out = out.withColumn(c, F.when(cycling, F.col(c)))
-    out = out.join(stage_consistency(breaths), KEY, "left").join(exercise_duration(breaths), KEY, "left")
+    out = out.withColumn("expected_slope", F.coalesce(given, F.when(cycling, F.lit(EXPECTED_SLOPE))))
+    fitted = cycling & (F.col("n_loaded") >= 30)
+    fit = _fit_columns(F.col("expected_slope"))
+    out = out.withColumns({**_duration_columns(), **{name: F.when(fitted, c) for name, c in fit.items()}})
     out = out.withColumns({
         "r_squared_acceptable": F.col("r_squared").isNotNull() & (F.col("r_squared") >= 0.90),
         "stage_cv_acceptable": F.col("stage_cv").isNotNull() & (F.col("stage_cv") <= 10),
@@ -256,15 +302,22 @@ def assess_protocol_quality(
 
 def baseline_stability(breaths: DataFrame) -> DataFrame:
     """CV of VO2 over >= 10 rest rows, else over the first 2 min (>= 10 rows), else null."""
-    df = prepare(breaths)
-    resting = F.lower("phase").isin(BASELINE_NAMES)
-    early = F.col("time_s") <= F.col("t_first") + 120
-    value = {"rest": F.when(resting, F.col("vo2_ml")), "early": F.when(early, F.col("vo2_ml"))}
-    aggs = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"_n_{k}") for k, c in (("rest", resting), ("early", early))]
-    for k, v in value.items():
-        aggs.append((F.stddev_samp(v) * 100 / F.avg(v)).alias(f"_cv_{k}"))
+    return prepare(breaths).groupBy(KEY).agg(*named(_baseline_values())).select(KEY, *named(_baseline_columns()))
+
+
+def _baseline_values() -> dict[str, Column]:
+    parts = {"rest": F.lower("phase").isin(BASELINE_NAMES), "early": F.col("time_s") <= F.col("t_first") + 120}
+    values = {}
+    for name, inside in parts.items():
+        vo2 = F.when(inside, F.col("vo2_ml"))
+        values[f"_n_{name}"] = F.count_if(F.coalesce(inside, F.lit(False)))
+        values[f"_cv_{name}"] = F.stddev_samp(vo2) * 100 / F.avg(vo2)
+    return values
+
+
+def _baseline_columns() -> dict[str, Column]:
     cv = F.when(F.col("_n_rest") >= 10, F.col("_cv_rest")).when(F.col("_n_early") >= 10, F.col("_cv_early"))
-    return df.groupBy(KEY).agg(*aggs).select(KEY, cv.alias("baseline_cv"))
+    return {"baseline_cv": cv}
 
 
 def calibration_drift(breaths: DataFrame) -> DataFrame:
@@ -272,36 +325,47 @@ def calibration_drift(breaths: DataFrame) -> DataFrame:
 
     Significance is |t| above the two-sided 5 % quantile; a perfect fit is significant.
     """
+    return breaths.groupBy(KEY).agg(*named(_drift_values())).select(KEY, *named(_drift_columns()))
+
+
+def _drift_values() -> dict[str, Column]:
     rest = F.lower("phase").isin(DRIFT_NAMES)
     rer, t = F.when(rest, F.col("rer")), F.when(rest, F.col("time_s"))
-    fit = breaths.groupBy(KEY).agg(
-        F.count_if(F.coalesce(rest, F.lit(False))).alias("n_rest"), F.regr_count(rer, t).alias("_n"),
-        F.regr_sxx(rer, t).alias("_xx"), F.regr_sxy(rer, t).alias("_xy"), F.regr_syy(rer, t).alias("_yy"),
-    )
-    xx, xy, yy = F.col("_xx"), F.col("_xy"), F.col("_yy")
-    slope = F.when(xx > 0, xy / F.nullif(xx, F.lit(0.0)))
-    freedom = F.col("_n") - 2
-    error = F.greatest(yy - xy * xy / F.nullif(xx, F.lit(0.0)), F.lit(0.0))
-    fit = fit.withColumns({"rest_slope": slope, "_se": F.sqrt(error / freedom / xx)})
-    t_value = F.abs("rest_slope") / F.nullif(F.col("_se"), F.lit(0.0))
-    significant = F.when(F.col("_se") == 0, F.col("rest_slope") != 0).otherwise(t_value > t_critical(freedom))
-    drift = (F.col("n_rest") >= 20) & (F.abs("rest_slope") > 0.001) & significant
-    return fit.select(
-        KEY, "n_rest", F.when(F.col("n_rest") >= 20, F.col("rest_slope")).alias("rest_slope"),
-        F.coalesce(drift, F.lit(False)).alias("drift_detected"),
-    )
+    return {
+        "_rest": F.count_if(F.coalesce(rest, F.lit(False))), "_dn": F.regr_count(rer, t),
+        "_dxx": F.regr_sxx(rer, t), "_dxy": F.regr_sxy(rer, t), "_dyy": F.regr_syy(rer, t),
+    }
+
+
+def _drift_columns() -> dict[str, Column]:
+    xx, xy, yy = F.nullif("_dxx", F.lit(0.0)), F.col("_dxy"), F.col("_dyy")
+    slope, freedom, enough = xy / xx, F.col("_dn") - 2, F.col("_rest") >= 20
+    # t = slope / se; compared without the division, so a perfect fit is significant.
+    se = F.sqrt(F.greatest(yy - xy * xy / xx, F.lit(0.0)) / freedom / xx)
+    significant = (slope != 0) & (F.abs(slope) > t_critical(freedom) * se)
+    drift = F.when(enough, (F.abs(slope) > 0.001) & significant)
+    return {
+        "n_rest": F.col("_rest"), "rest_slope": F.when(enough, slope), "drift_detected": F.coalesce(drift, F.lit(False)),
+    }
 
 
 def missing_signals(breaths: DataFrame) -> DataFrame:
     """A15 (data quality part): missing heart rate and power; null if never recorded."""
-    out = breaths.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_breaths"), F.count("hr_bpm").alias("_hr"), F.count("power_w").alias("_power")
-    )
+    return breaths.groupBy(KEY).agg(*named(_missing_values())).select(KEY, *named(_missing_columns()))
+
+
+def _missing_values() -> dict[str, Column]:
+    return {"_rows": F.count(F.lit(1)), "_hr": F.count("hr_bpm"), "_power": F.count("power_w")}
+
+
+def _missing_columns() -> dict[str, Column]:
+    rows = F.col("_rows")
+    columns = {"n_breaths": rows}
     for c in ("hr", "power"):
-        missing = F.when(F.col(f"_{c}") > 0, F.col("n_breaths") - F.col(f"_{c}"))
-        out = out.withColumn(f"n_missing_{c}", missing)
-        out = out.withColumn(f"pct_missing_{c}", F.col(f"n_missing_{c}") * 100 / F.col("n_breaths"))
-    return out.drop("_hr", "_power")
+        missing = F.when(F.col(f"_{c}") > 0, rows - F.col(f"_{c}"))
+        columns[f"n_missing_{c}"] = missing
+        columns[f"pct_missing_{c}"] = missing * 100 / rows
+    return columns
 
 
 def signal_score(pct_aberrant: Column, pct_missing_hr: Column, baseline_cv: Column) -> Column:
@@ -346,11 +410,25 @@ def assess_data_quality(breaths: DataFrame, aberrant_threshold: float = 3.0) ->
     The time stamps of the aberrant breaths are a table of their own
     (``rolling.aberrant_breaths``), since their number grows with the test.
     """
-    df = prepare(breaths)
-    scored = outlier_scores(df)
-    flagged = scored.groupBy(KEY).agg(F.count_if(F.col("z") > aberrant_threshold).alias("n_aberrant"))
-    out = missing_signals(df).join(flagged, KEY).join(baseline_stability(df), KEY, "left")
-    out = out.join(calibration_drift(df).select(KEY, "drift_detected"), KEY, "left")
+    scored = outlier_scores(prepare(breaths))
+    return _data(scored.groupBy(KEY).agg(*named(_data_values(aberrant_threshold)))).select(KEY, *DATA)
+
+
+DATA = [
+    "n_breaths", "n_aberrant", "pct_aberrant", "aberrant_acceptable", "n_missing_hr", "pct_missing_hr", "hr_acceptable",
+    "n_missing_power", "pct_missing_power", "baseline_cv", "baseline_stable", "drift_detected", "signal_score", "signal_rating",
+    "data_score", "data_rating", "recommendations",
+]
+
+
+def _data_values(aberrant_threshold: float = 3.0) -> dict[str, Column]:
+    flagged = {"n_aberrant": F.count_if(F.col("z") > aberrant_threshold)}
+    return {**flagged, **_missing_values(), **_baseline_values(), **_drift_values()}
+
+
+def _data(facts: DataFrame) -> DataFrame:
+    """Add the data quality columns to a per-test frame that has ``_data_values``."""
+    out = facts.withColumns({**_missing_columns(), **_baseline_columns(), **_drift_columns()})
     out = out.withColumn("pct_aberrant", F.col("n_aberrant") * 100 / F.col("n_breaths"))
     ab, hr, power, cv, drift = (
         F.col(c) for c in ("pct_aberrant", "pct_missing_hr", "pct_missing_power", "baseline_cv", "drift_detected")
@@ -399,11 +477,14 @@ def assess_quality(
 ) -> DataFrame:
     """40 % effort, 30 % protocol, 30 % data; grade, interpretability and summary."""
     df = prepare(breaths)
-    effort = exercise_score(assess_maximal_criteria(df, participants, reports))
-    out = effort.join(assess_protocol_quality(df, tests), KEY).join(assess_data_quality(df), KEY)
+    values = {**_effort_values(), **_protocol_values(), **_data_values()}
+    facts = outlier_scores(df).groupBy(KEY).agg(*named(values))
+    out = _data(_protocol(exercise_score(_effort(facts, df, participants, reports)), df, tests))
     score = F.col("exercise_score") * 0.40 + F.col("protocol_score") * 0.30 + F.col("data_score") * 0.30
     out = out.withColumn("overall_score", score)
     s = F.col("overall_score")
     grade = F.when(s >= 90, "A").when(s >= 80, "B").when(s >= 70, "C").when(s >= 60, "D").otherwise("F")
     out = out.withColumns({"grade": grade, "interpretable": (s >= 60) & (F.col("data_rating") != "poor")})
-    return out.withColumn("summary", quality_summary(F.col("criteria_met"), F.col("criteria_available")))
+    out = out.withColumn("summary", quality_summary(F.col("criteria_met"), F.col("criteria_available")))
+    overall = ["exercise_score", "overall_score", "grade", "interpretable", "summary"]
+    return out.select(KEY, *EFFORT, *PROTOCOL, *DATA, *overall)

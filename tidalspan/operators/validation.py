@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import KEY, REQUIRED
-from .layout import attach, framed, prepare
+from ..schema import KEY, REQUIRED, named
+from .layout import framed, prepare
 from .rolling import outlier_scores
-from pyspark.sql import Window as W
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:
@@ -21,18 +21,24 @@ def rest_phase_check(breaths: DataFrame, participants: DataFrame, rest_minutes:
 
     Tests without any phase use the first minutes as a proxy for RER only.
     """
-    df = prepare(breaths)
+    facts = prepare(breaths).groupBy(KEY).agg(*named(_rest_values(rest_minutes)))
+    facts = facts.join(participants.select(KEY, "weight_kg"), KEY, "left")
+    return facts.select(KEY, "rest_rows", "rest_min", "rest_vo2", "rest_rer", *named(_rest_columns(rest_minutes)))
+
+
+def _rest_values(rest_minutes: float) -> dict[str, Column]:
     rest = F.coalesce(F.lower("phase") == "rest", F.lit(False))
     early = F.col("time_s") < F.col("t_first") + F.lit(rest_minutes * 60)
     t = F.when(rest, F.col("time_s"))
-    out = df.groupBy(KEY).agg(
-        F.count("phase").alias("_phases"), F.count_if(rest).alias("rest_rows"),
-        ((F.max(t) - F.min(t)) / 60).alias("rest_min"),
-        F.avg(F.when(rest, F.col("vo2_ml"))).alias("rest_vo2"), F.avg(F.when(rest, F.col("rer"))).alias("rest_rer"),
-        F.avg(F.when(early, F.col("rer"))).alias("_early_rer"),
-    ).join(participants.select(KEY, "weight_kg"), KEY, "left")
-    has = F.col("_phases") > 0
-    normal = F.col("weight_kg") * 3.5
+    return {
+        "_phases": F.count("phase"), "rest_rows": F.count_if(rest), "rest_min": (F.max(t) - F.min(t)) / 60,
+        "rest_vo2": F.avg(F.when(rest, F.col("vo2_ml"))), "rest_rer": F.avg(F.when(rest, F.col("rer"))),
+        "_early_rer": F.avg(F.when(early, F.col("rer"))),
+    }
+
+
+def _rest_columns(rest_minutes: float) -> dict[str, Column]:
+    has, normal = F.col("_phases") > 0, F.col("weight_kg") * 3.5
     warnings = _codes(
         (has & (F.col("rest_rows") == 0), "no_rest_phase"),
         (has & (F.col("rest_min") < rest_minutes), "rest_too_short"),
@@ -40,20 +46,28 @@ def rest_phase_check(breaths: DataFrame, participants: DataFrame, rest_minutes:
         (has & (F.col("rest_vo2") > normal * 1.5), "rest_vo2_high"),
         (has & ((F.col("rest_rer") < 0.70) | (F.col("rest_rer") > 0.90)), "rest_rer_unusual"),
     )
-    return out.withColumns({
-        "early_rer": F.when(~has, F.col("_early_rer")), "rest_warnings": warnings,
-        "rest_info": _codes((has & (F.col("rest_rows") > 0), "rest_phase"), (~has, "early_rer_only")),
-    }).drop("_phases", "_early_rer", "weight_kg")
+    info = _codes((has & (F.col("rest_rows") > 0), "rest_phase"), (~has, "early_rer_only"))
+    return {"early_rer": F.when(~has, F.col("_early_rer")), "rest_warnings": warnings, "rest_info": info}
+
+
+_RANGES = ["vo2_min", "vo2_max", "rer_min", "rer_max", "hr_min", "hr_max", "ve_max"]
 
 
 def physiological_check(breaths: DataFrame, participants: DataFrame) -> DataFrame:
     """Implausible VO2, RER, heart rate and ventilation."""
-    out = breaths.groupBy(KEY).agg(
-        F.min("vo2_ml").alias("vo2_min"), F.max("vo2_ml").alias("vo2_max"),
-        F.min("rer").alias("rer_min"), F.max("rer").alias("rer_max"),
-        F.min("hr_bpm").alias("hr_min"), F.max("hr_bpm").alias("hr_max"), F.max("ve_l").alias("ve_max"),
-    ).join(participants.select(KEY, "age"), KEY, "left")
-    return out.withColumns({
+    facts = breaths.groupBy(KEY).agg(*named(_range_values())).join(participants.select(KEY, "age"), KEY, "left")
+    return facts.select(KEY, *_RANGES, *named(_range_columns()))
+
+
+def _range_values() -> dict[str, Column]:
+    return {
+        "vo2_min": F.min("vo2_ml"), "vo2_max": F.max("vo2_ml"), "rer_min": F.min("rer"), "rer_max": F.max("rer"),
+        "hr_min": F.min("hr_bpm"), "hr_max": F.max("hr_bpm"), "ve_max": F.max("ve_l"),
+    }
+
+
+def _range_columns() -> dict[str, Column]:
+    return {
         "range_errors": _codes((F.col("vo2_min") < 0, "negative_vo2")),
         "range_warnings": _codes(
             (F.col("vo2_max") > 7000, "very_high_vo2"),
@@ -65,66 +79,84 @@ def physiological_check(breaths: DataFrame, participants: DataFrame) -> DataFram
             (F.col("hr_max") > F.lit(220.0) - F.col("age") + 20, "hr_above_predicted"),
             (F.col("vo2_min").isNotNull(), "vo2_range"), (F.col("rer_min").isNotNull(), "rer_range"),
         ),
-    }).drop("age")
+    }
+
+
+_SHARES = ["hr_bpm", "power_w", *REQUIRED]
 
 
 def completeness_check(breaths: DataFrame) -> DataFrame:
     """A15 (validation part): share of missing heart rate, power and required values."""
-    share = lambda c: (F.count_if(F.col(c).isNull()) * 100 / F.count(F.lit(1)))
-    columns = ["hr_bpm", "power_w", *REQUIRED]
-    out = breaths.groupBy(KEY).agg(
-        *[share(c).alias(f"missing_{c}") for c in columns],
-        F.count("hr_bpm").alias("_hr"), F.count("power_w").alias("_power"),
-    )
+    facts = breaths.groupBy(KEY).agg(*named(_share_values()))
+    return facts.select(KEY, *[f"missing_{c}" for c in _SHARES], *named(_share_columns()))
+
+
+def _share_values() -> dict[str, Column]:
+    shares = {f"missing_{c}": F.count_if(F.col(c).isNull()) * 100 / F.count(F.lit(1)) for c in _SHARES}
+    return {**shares, "_hr": F.count("hr_bpm"), "_power": F.count("power_w")}
+
+
+def _share_columns() -> dict[str, Column]:
     has_hr, has_power = F.col("_hr") > 0, F.col("_power") > 0
-    out = out.withColumns({
+    return {
         "missing_warnings": _codes(
             (has_hr & (F.col("missing_hr_bpm") > 10), "hr_missing"),
             *[(F.col(f"missing_{c}") > 0, f"{c}_missing") for c in REQUIRED],
         ),
         "missing_info": _codes((~has_hr, "no_hr"), (has_power & (F.col("missing_power_w") > 10), "power_missing")),
-    })
-    return out.drop("_hr", "_power")
+    }
 
 
 def effort_check(breaths: DataFrame, participants: DataFrame) -> DataFrame:
     """Effort level by peak RER and by heart rate relative to 220 - age."""
-    out = breaths.groupBy(KEY).agg(F.max("rer").alias("peak_rer"), F.max("hr_bpm").alias("peak_hr"))
-    out = out.join(participants.select(KEY, "age"), KEY, "left")
-    out = out.withColumn("hr_pct", F.col("peak_hr") * 100 / (F.lit(220.0) - F.col("age")))
-    r, h = F.col("peak_rer"), F.col("hr_pct")
-    return out.withColumns({
+    facts = breaths.groupBy(KEY).agg(F.max("rer").alias("peak_rer"), F.max("hr_bpm").alias("peak_hr"))
+    facts = facts.join(participants.select(KEY, "age"), KEY, "left")
+    return facts.select(KEY, "peak_rer", "peak_hr", *named(_effort_columns(F.col("peak_rer"), F.col("peak_hr"))))
+
+
+def _effort_columns(r: Column, peak_hr: Column) -> dict[str, Column]:
+    h = peak_hr * 100 / (F.lit(220.0) - F.col("age"))
+    return {
+        "hr_pct": h,
         "rer_effort": F.when(r >= 1.15, "strong").when(r >= 1.10, "good").when(r >= 1.05, "moderate").otherwise("submaximal"),
         "hr_effort": F.when(h >= 95, "maximal").when(h >= 85, "near_maximal").when(h.isNotNull(), "submaximal"),
-    }).drop("age")
+    }
 
 
 def duration_check(breaths: DataFrame) -> DataFrame:
     """Fewer than 10 rows is an error, less than 5 minutes a warning."""
-    out = breaths.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_breaths"), ((F.max("time_s") - F.min("time_s")) / 60).alias("duration_min")
-    )
-    return out.withColumns({
+    facts = breaths.groupBy(KEY).agg(*named(_length_values()))
+    return facts.select(KEY, "n_breaths", "duration_min", *named(_length_columns()))
+
+
+def _length_values() -> dict[str, Column]:
+    return {"n_breaths": F.count(F.lit(1)), "duration_min": (F.max("time_s") - F.min("time_s")) / 60}
+
+
+def _length_columns() -> dict[str, Column]:
+    return {
         "length_errors": _codes((F.col("n_breaths") < 10, "too_few_breaths")),
         "length_warnings": _codes((F.col("duration_min") < 5, "short_test")),
-    })
+    }
 
 
 def validate(
     breaths: DataFrame, participants: DataFrame, rest_minutes: float = 2.0, aberrant_threshold: float = 3.0
 ) -> DataFrame:
-    """Seven checks; arrays of finding codes and ``is_valid`` (no errors)."""
-    df = prepare(breaths)
-    flagged = outlier_scores(df, "validate").groupBy(KEY).agg(F.count_if(F.col("z") > aberrant_threshold).alias("n_aberrant"))
-    out = (
-        duration_check(df)
-        .join(rest_phase_check(df, participants, rest_minutes), KEY)
-        .join(physiological_check(df, participants), KEY)
-        .join(flagged, KEY)
-        .join(completeness_check(df), KEY)
-        .join(effort_check(df, participants).select(KEY, "rer_effort", "hr_effort"), KEY)
-    )
-    out = out.withColumn("pct_aberrant", F.col("n_aberrant") * 100 / F.col("n_breaths"))
+    """Seven checks; arrays of finding codes and ``is_valid`` (no errors).
+
+    All checks are aggregates, taken in one pass over the rows.
+    """
+    values = {
+        **_length_values(), **_rest_values(rest_minutes), **_range_values(), **_share_values(),
+        "n_aberrant": F.count_if(F.col("z") > aberrant_threshold),
+    }
+    out = outlier_scores(prepare(breaths), "validate").groupBy(KEY).agg(*named(values))
+    out = out.join(participants.select(KEY, "age", "weight_kg"), KEY, "left")
+    out = out.withColumns({
+        **_length_columns(), **_rest_columns(rest_minutes), **_range_columns(), **_share_columns(),
+        **_effort_columns(F.col("rer_max"), F.col("hr_max")), "pct_aberrant": F.col("n_aberrant") * 100 / F.col("n_breaths"),
+    })
     many, some = F.col("pct_aberrant") > 5, (F.col("n_aberrant") > 0) & (F.col("pct_aberrant") <= 5)
     errors = F.concat("length_errors", "range_errors")
     warnings = F.concat("length_warnings", "rest_warnings", "range_warnings", _codes((many, "many_aberrant")), "missing_warnings")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 KEY = "test_id"
@@ -59,3 +59,8 @@ def signals(df: DataFrame) -> list[str]:
 def texts(df: DataFrame) -> list[str]:
     """Text columns present in ``df``, in standard order."""
     return [c for c in TEXT if c in df.columns]
+
+
+def named(columns: dict[str, Column]) -> list[Column]:
+    """Columns aliased to their keys."""
+    return [c.alias(name) for name, c in columns.items()]
