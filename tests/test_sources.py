@@ -8,7 +8,8 @@ import pytest
 from helpers import breaths
 from pyspark.sql import functions as F
 
-from tidalspan.operators.layout import index_rows
+from tidalspan.operators.layout import index_rows, prepare
+from tidalspan.operators.peaks import find_peaks
 from tidalspan.sources import export, grid
 
 HEAD = ["t", "VO2", "VCO2", "VE", "RQ", "HR", "Phase"]
@@ -68,3 +69,15 @@ def test_export(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 20
     with pytest.raises(ValueError):
         export.export_breaths(df, str(tmp_path / "x"), "pdf")
+
+
+def test_stored_breaths_need_no_exchange(spark, tmp_path):
+    df = prepare(breaths(spark, [{"time_s": i * 5, "vo2_ml": 300 + 3 * i} for i in range(40)]))
+    expected = find_peaks(df).first()
+    table = export.store_breaths(df, "stored_breaths", str(tmp_path / "store"), buckets=4)
+    try:
+        peaks = find_peaks(table)
+        assert peaks.first() == expected
+        assert "Exchange" not in peaks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("DROP TABLE stored_breaths")

@@ -262,13 +262,14 @@ def carry_forward(df: DataFrame, value: str, into: str, index: str = "rn") -> Da
 
 
 def medians(df: DataFrame, value: str, into: str) -> DataFrame:
-    """Exact per-test median of ``value`` (nulls skipped), one row per test."""
+    """Exact per-test median of ``value`` (nulls skipped), one row per test of ``df``."""
     if not is_split(df):
         return df.groupBy(KEY).agg(F.median(value).alias(into))
     ranked = rank_rows(df.where(F.col(value).isNotNull()), [value], "_r", "_m")
     low, high = F.floor((F.col("_m") + 1) / 2), F.floor(F.col("_m") / 2) + 1
     middle = (F.col("_r") == low) | (F.col("_r") == high)
-    return ranked.groupBy(KEY).agg(F.avg(F.when(middle, F.col(value))).alias(into))
+    found = ranked.groupBy(KEY).agg(F.avg(F.when(middle, F.col(value))).alias(into))
+    return df.select(KEY).distinct().join(found, KEY, "left")
 
 
 def prepare(df: DataFrame, order: Sequence[str] = ("time_s",)) -> DataFrame:

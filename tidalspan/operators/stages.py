@@ -20,9 +20,9 @@ def power_increment(breaths: DataFrame, power: str = "power_w") -> DataFrame:
     """Typical step between distinct positive power values, one row per test.
 
     Half-even median of the steps above 5 W, to the nearest 5 W, at least 10 W; 25 W
-    with fewer than two levels or no such step.
+    with fewer than two levels or no such step.  Tests without power yield no row.
     """
-    levels = breaths.where(F.col(power) > 0).select(KEY, power, *carried(breaths)).distinct()
+    levels = breaths.where(F.col(power).isNotNull()).select(KEY, power, *carried(breaths)).distinct()
     if is_split(levels):
         levels = with_chunks(rank_rows(levels, [power], "_i"), "_i")
         lag = lambda part: {"_prev": F.lag(power).over(W.partitionBy(*part).orderBy("_i"))}
@@ -30,14 +30,10 @@ def power_increment(breaths: DataFrame, power: str = "power_w") -> DataFrame:
     else:
         levels = levels.withColumn("_prev", F.lag(power).over(W.partitionBy(KEY).orderBy(power)))
     step = F.col(power) - F.col("_prev")
-    levels = levels.withColumn("_step", F.when(step > 5, step))
-    typical = medians(levels, "_step", "_typical")
-    tests = breaths.groupBy(KEY).agg(F.count(power).alias("_powers"))
+    levels = levels.withColumn("_step", F.when((F.col("_prev") > 0) & (step > 5), step))
     increment = F.greatest(F.rint(F.col("_typical") / 5) * 5, F.lit(10.0))
-    return (
-        tests.join(typical, KEY, "left")
-        .where(F.col("_powers") > 0)
-        .select(KEY, F.when(F.col("_typical").isNotNull(), increment).otherwise(F.lit(25.0)).alias("power_increment"))
+    return medians(levels, "_step", "_typical").select(
+        KEY, F.when(F.col("_typical").isNotNull(), increment).otherwise(F.lit(25.0)).alias("power_increment")
     )
 
 

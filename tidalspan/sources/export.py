@@ -1,4 +1,4 @@
-"""Export of breath tables."""
+"""Export of breath tables (S8) and the bucketed breath store."""
 
 from __future__ import annotations
 
@@ -26,3 +26,18 @@ def export_breaths(breaths: DataFrame, path: str, fmt: str = "csv", folders: int
         writer.parquet(path)
     else:
         raise ValueError(f"unknown export format: {fmt}")
+
+
+def store_breaths(prepared: DataFrame, name: str, path: str, buckets: int = 512) -> DataFrame:
+    """Write a prepared frame as a bucketed table in a shared folder and return the table.
+
+    Rows are bucketed by test (by test and chunk if some test is split) and sorted by row
+    number, so that the windows and aggregates of every operator read it without another
+    shuffle, and only the columns they need.  Pick ``buckets`` so that a bucket fits a task.
+    """
+    keys = [KEY, "chunk"] if "split" in prepared.columns else [KEY]
+    # Hashing on the bucket keys first makes one file per bucket instead of one per task and bucket.
+    hashed = prepared.repartition(buckets, *keys)
+    writer = hashed.write.bucketBy(buckets, *keys).sortBy(*keys, "rn")
+    writer.option("path", path).mode("errorifexists").format("parquet").saveAsTable(name)
+    return prepared.sparkSession.table(name)

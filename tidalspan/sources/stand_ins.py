@@ -180,4 +180,4 @@ def grids(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lit(""), fill("who"), F.lit(""), F.lit(""), fill("what"), F.lit(""), F.lit(""), fill("air"), F.lit("")),
         F.slice("cells", g.FIRST_COLUMN, g.MAX_COLUMNS),
     )
-    return sheet.select(KEY, "row", merged.alias("cells"))
+    return index_rows(sheet.select(KEY, "row", merged.alias("cells")), ["row"]).drop("rn")
