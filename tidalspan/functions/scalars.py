@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that yields null for a zero denominator."""
-    return F.when(bottom != 0, top / bottom)
+    return F.try_divide(top, bottom)
 
 
 def ve_vo2() -> Column:
@@ -29,12 +29,12 @@ def o2_pulse(vo2: Column, hr: Column) -> Column:
 def bmi(weight_kg: Column, height_cm: Column) -> Column:
     """P5: body mass index."""
     metres = height_cm / 100
-    return weight_kg / (metres * metres)
+    return ratio(weight_kg, metres * metres)
 
 
 def running_economy(vo2_kg: Column, speed_kmh: Column) -> Column:
     """mL/kg/km to 1 decimal; null for speed <= 0 or VO2 < 0."""
-    return F.when((speed_kmh > 0) & (vo2_kg >= 0), F.bround(vo2_kg / speed_kmh * 60, 1))
+    return F.when((speed_kmh > 0) & (vo2_kg >= 0), F.bround(ratio(vo2_kg, speed_kmh) * 60, 1))
 
 
 def gross_efficiency(vo2_ml: Column, power_w: Column, rer: Column) -> Column:
@@ -47,7 +47,7 @@ def gross_efficiency(vo2_ml: Column, power_w: Column, rer: Column) -> Column:
     # Kcal per litre at RER 0.70, its rise up to RER 1.00, watts per kcal/min.
     kcal_per_litre = F.lit(4.69) + (clamped - 0.70) * (5.05 - 4.69) / 0.30
     watts = vo2_ml / 1000 * kcal_per_litre * 69.78
-    return F.when((power_w > 0) & (vo2_ml > 0), F.bround(power_w / watts * 100, 1))
+    return F.when((power_w > 0) & (vo2_ml > 0), F.bround(ratio(power_w, watts) * 100, 1))
 
 
 def predicted_values(
@@ -69,7 +69,7 @@ def predicted_values(
         "pred_vo2": vo2,
         "pred_ve": vo2 / 1000 * 25,
         "pred_power": power,
-        "pred_o2_pulse": vo2 / hr,
+        "pred_o2_pulse": ratio(vo2, hr),
     }
 
 
@@ -155,5 +155,5 @@ def t_critical(df: Column) -> Column:
     g1 = (z**3 + z) / 4
     g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
     g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    d = df.cast("double")
+    d = F.nullif(df.cast("double"), F.lit(0.0))
     return F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d)

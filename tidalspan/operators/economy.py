@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import economy_modality, gross_efficiency, running_economy
+from ..functions.scalars import economy_modality, gross_efficiency, ratio, running_economy
 from ..schema import KEY
 
 
@@ -58,7 +58,7 @@ def economy_metrics(
         "modality",
         F.lit(reference_stage).alias("reference_stage"),
         gross_efficiency(F.col("vo2_ml"), power, rer).alias("gross_efficiency"),
-        running_economy(F.col("vo2_ml") / F.col("weight_kg"), speed).alias("running_economy"),
+        running_economy(ratio(F.col("vo2_ml"), F.col("weight_kg")), speed).alias("running_economy"),
         power.alias("reference_power"),
         speed.alias("reference_speed"),
     )

@@ -287,5 +287,4 @@ def prepare(df: DataFrame, order: Sequence[str] = ("time_s",)) -> DataFrame:
     values = {"t_first": F.min("time_s"), "t_last": F.max("time_s")}
     values |= {name: F.count(c) if c in df.columns else F.count(F.lit(None)) for name, c in present.items()}
     df = attach(df, values)
-    gap = (F.col("t_last") - F.col("t_first")) / (F.col("n") - 1)
-    return df.withColumn("interval", F.when(F.col("n") > 1, gap))
+    return df.withColumn("interval", F.try_divide(F.col("t_last") - F.col("t_first"), F.col("n") - 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..schema import KEY
 from .layout import prepare
 from .rolling import rolling
@@ -19,7 +20,7 @@ _PEAKS = {
 def _smoothed(breaths: DataFrame, averaging: float, columns: list[str]) -> DataFrame:
     """Centred rolling means over max(3, round(averaging / interval)) rows, at most n."""
     df = prepare(breaths)
-    wanted = F.rint(F.lit(float(averaging)) / F.col("interval"))
+    wanted = F.coalesce(F.rint(ratio(F.lit(float(averaging)), F.col("interval"))), F.col("n"))
     df = df.where(F.col("n") >= 3)
     df = df.withColumn("_k", F.least(F.greatest(F.lit(3.0), wanted), F.col("n")).cast("bigint"))
     return rolling(df, columns, "_k")
@@ -44,7 +45,7 @@ def find_peaks(
     weights = participants.select(KEY, "weight_kg")
     return (
         peaks.join(weights, KEY, "left")
-        .withColumn("vo2_kg_peak", F.col("vo2_peak") / F.col("weight_kg"))
+        .withColumn("vo2_kg_peak", ratio(F.col("vo2_peak"), F.col("weight_kg")))
         .drop("weight_kg")
     )
 

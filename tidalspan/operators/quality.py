@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import rating, steps, t_critical, tally, test_modality
+from ..functions.scalars import ratio, rating, steps, t_critical, tally, test_modality
 from ..schema import KEY, named
 from .layout import attach, prepare, rank_rows
 from .rolling import outlier_scores, rolling
@@ -115,7 +115,7 @@ def _effort(
         out = out.join(reports.select(KEY, "rpe", "lactate"), KEY, "left")
     hr_max = F.when(F.col("peak_hr").isNotNull(), F.lit(220.0) - F.col("age"))
     out = out.withColumn("predicted_hr_max", hr_max)
-    out = out.withColumn("hr_pct_predicted", F.col("peak_hr") * 100 / F.col("predicted_hr_max"))
+    out = out.withColumn("hr_pct_predicted", ratio(F.col("peak_hr") * 100, F.col("predicted_hr_max")))
     out = out.withColumns({
         "rer_met": F.col("peak_rer") >= rer_threshold,
         "hr_met": F.col("hr_pct_predicted") >= hr_threshold_pct,
@@ -210,7 +210,7 @@ def _fit_values() -> dict[str, Column]:
 def _fit_columns(expected: Column) -> dict[str, Column]:
     xx, xy, yy = F.col("_xx"), F.col("_xy"), F.col("_yy")
     explained = F.when(xx > 0, xy * xy / F.nullif(xx, F.lit(0.0))).otherwise(0.0)
-    deviation = (F.col("_slope") - expected) * 100 / expected
+    deviation = ratio((F.col("_slope") - expected) * 100, expected)
     return {
         "slope": F.col("_slope"), "r_squared": F.when(yy > 0, explained / F.nullif(yy, F.lit(0.0))),
         "slope_deviation_pct": deviation, "slope_acceptable": F.abs(deviation) <= 15,
@@ -227,7 +227,7 @@ def expected_vo2_by_level(breaths: DataFrame, expected_slope: float = EXPECTED_S
         F.avg("vo2_ml").alias("actual_vo2"), F.count(F.lit(1)).alias("n_breaths")
     ).where(F.col("n_breaths") >= 5)
     levels = levels.withColumn("expected_vo2", F.lit(REST_VO2) + F.col("power_level_w") * expected_slope)
-    deviation = (F.col("actual_vo2") - F.col("expected_vo2")) * 100 / F.col("expected_vo2")
+    deviation = ratio((F.col("actual_vo2") - F.col("expected_vo2")) * 100, F.col("expected_vo2"))
     return levels.withColumn("deviation_pct", deviation)
 
 
@@ -236,7 +236,7 @@ def stage_consistency(breaths: DataFrame) -> DataFrame:
     levels = _level_rows(breaths).groupBy(KEY, "power_rounded").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("vo2_ml").alias("_mean"), F.stddev_samp("vo2_ml").alias("_sd")
     ).where(F.col("_n") >= 5)
-    cv = F.col("_sd") * 100 / F.col("_mean")
+    cv = ratio(F.col("_sd") * 100, F.col("_mean"))
     return levels.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_stages"), F.avg(cv).alias("stage_cv"))
 
 
@@ -311,7 +311,7 @@ def _baseline_values() -> dict[str, Column]:
     for name, inside in parts.items():
         vo2 = F.when(inside, F.col("vo2_ml"))
         values[f"_n_{name}"] = F.count_if(F.coalesce(inside, F.lit(False)))
-        values[f"_cv_{name}"] = F.stddev_samp(vo2) * 100 / F.avg(vo2)
+        values[f"_cv_{name}"] = ratio(F.stddev_samp(vo2) * 100, F.avg(vo2))
     return values
 
 
@@ -339,7 +339,7 @@ def _drift_values() -> dict[str, Column]:
 
 def _drift_columns() -> dict[str, Column]:
     xx, xy, yy = F.nullif("_dxx", F.lit(0.0)), F.col("_dxy"), F.col("_dyy")
-    slope, freedom, enough = xy / xx, F.col("_dn") - 2, F.col("_rest") >= 20
+    slope, freedom, enough = xy / xx, F.nullif(F.col("_dn") - 2, F.lit(0)), F.col("_rest") >= 20
     # t = slope / se; compared without the division, so a perfect fit is significant.
     se = F.sqrt(F.greatest(yy - xy * xy / xx, F.lit(0.0)) / freedom / xx)
     significant = (slope != 0) & (F.abs(slope) > t_critical(freedom) * se)

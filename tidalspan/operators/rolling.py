@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..schema import KEY, LAYOUT, PREPARED, signals
 from .layout import framed, prepare
 
@@ -55,8 +56,10 @@ def average_rolling(breaths: DataFrame, window: float = 30.0) -> DataFrame:
     Row numbers are dropped, since rows at both ends of a test go away.
     """
     df = prepare(breaths)
-    width = F.greatest(F.lit(1.0), F.rint(F.lit(float(window)) / F.col("interval")))
-    df = df.withColumn("k", F.coalesce(width, F.lit(1.0)).cast("bigint"))
+    # Without any time between the breaths no window is full.
+    wanted = F.coalesce(F.rint(ratio(F.lit(float(window)), F.col("interval"))), F.col("n") + 1)
+    width = F.when(F.col("n") < 2, 1).otherwise(F.greatest(F.lit(1.0), wanted))
+    df = df.withColumn("k", width.cast("bigint"))
     cols = signals(breaths)
     rolled = rolling(df, cols, "k")
     kept = rolled.where(F.col("vo2_ml_roll").isNotNull() | (F.col("n") < 2))

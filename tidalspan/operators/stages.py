@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..schema import KEY, signals
 from .layout import (
     attach, carried, carry_forward, framed, is_split, medians, prepare, rank_rows, running_sum, spread, with_chunks,
@@ -59,7 +60,7 @@ def _stage_of_level(df: DataFrame) -> DataFrame:
     return df.withColumn("_stage_power", stage).drop("_level", "_rank")
 
 
-def _ramp_power(df: DataFrame, stage_duration: float) -> DataFrame:
+def ramp_power(df: DataFrame, stage_duration: float) -> DataFrame:
     """Power smoothed over min(30, max(10, duration / 6)) s; raw value at the edges.
 
     Smoothing runs over the rows that have power.
@@ -70,7 +71,7 @@ def _ramp_power(df: DataFrame, stage_duration: float) -> DataFrame:
     powered = attach(powered, {
         "_m": F.count(F.lit(1)), "_t0": F.min("time_s"), "_t1": F.max("time_s"),
     })
-    gap = (F.col("_t1") - F.col("_t0")) / (F.col("_m") - 1)
+    gap = ratio(F.col("_t1") - F.col("_t0"), F.col("_m") - 1)
     gap = F.when(gap > 0, gap).otherwise(F.lit(1.0))
     width = F.least(F.greatest(F.lit(5.0), F.rint(F.lit(seconds) / gap)), F.col("_m"))
     powered = powered.withColumn("_k", width.cast("bigint"))
@@ -87,7 +88,7 @@ def stages_from_power(breaths: DataFrame, protocol: str = "step", stage_duration
     """
     df = prepare(breaths)
     if protocol == "ramp":
-        df = power_levels(_ramp_power(df, stage_duration), "power_used").drop("power_used")
+        df = power_levels(ramp_power(df, stage_duration), "power_used").drop("power_used")
     else:
         df = power_levels(df)
     df = _stage_of_level(df).withColumnRenamed("_stage_power", "stage")
@@ -165,7 +166,7 @@ def extract_stages(breaths: DataFrame, protocol: str = "step", stage_duration: f
     df = prepare(breaths)
     df = _phase_stage(df, stage_duration)
     if protocol == "ramp":
-        df = power_levels(_ramp_power(df, stage_duration), "power_used").drop("power_used")
+        df = power_levels(ramp_power(df, stage_duration), "power_used").drop("power_used")
     else:
         df = power_levels(df)
     df = _stage_of_level(df)

@@ -121,7 +121,7 @@ def _mark_segments(df: DataFrame) -> DataFrame:
     df = df.withColumn("_absent", ~_paired())
     df = rank_rows(df, ["_absent", "vo2_s", "rn"], "_r")
     low, high = F.floor(F.col("_m") * 0.2), F.floor(F.col("_m") * 0.8)
-    below = F.ceil((F.col("_r") - 0.5 - low) * (CANDIDATES - 1) / (high - low))
+    below = F.ceil(F.try_divide((F.col("_r") - 0.5 - low) * (CANDIDATES - 1), high - low))
     segment = F.least(F.greatest(below, F.lit(0)), F.lit(CANDIDATES)).cast("int")
     return df.withColumn("_seg", F.when(_paired() & (F.col("_m") >= 20), segment).otherwise(-1))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..schema import KEY, REQUIRED, named
 from .layout import framed, prepare
 from .rolling import outlier_scores
@@ -115,7 +116,7 @@ def effort_check(breaths: DataFrame, participants: DataFrame) -> DataFrame:
 
 
 def _effort_columns(r: Column, peak_hr: Column) -> dict[str, Column]:
-    h = peak_hr * 100 / (F.lit(220.0) - F.col("age"))
+    h = ratio(peak_hr * 100, F.lit(220.0) - F.col("age"))
     return {
         "hr_pct": h,
         "rer_effort": F.when(r >= 1.15, "strong").when(r >= 1.10, "good").when(r >= 1.05, "moderate").otherwise("submaximal"),

@@ -50,7 +50,7 @@ def analyse(
     raw = prepare(breaths)
     averaged = average(raw, averaging_method, window).drop("n_breaths")
     # Averaging never adds rows, so only a split source can have an oversized average.
-    averaged = prepare(index_rows(averaged, ["time_s"], check=is_split(raw)))
+    averaged = prepare(index_rows(averaged, ["time_s", "vo2_ml", "vco2_ml", "ve_l"], check=is_split(raw)))
     peaks = find_peaks(raw if peaks_on == "raw" else averaged, participants, window)
     thresholds = detect_thresholds(averaged, methods)
     stages = summarize_stages(extract_stages(raw, protocol, stage_duration), summary)

@@ -280,7 +280,7 @@ def _(s, d):
 
 @query("j2_smoothed_power")
 def _(s, d):
-    smooth = stages._ramp_power(breaths(s, d), 180.0)
+    smooth = stages.ramp_power(breaths(s, d), 180.0)
     return out(smooth, *ROW, F.coalesce("power_used", "power_w").alias("power_used"))
 
 
@@ -468,7 +468,7 @@ def _(s, d):
 @query("w2_right_rolling")
 def _(s, d):
     df = breaths(s, d)
-    k = F.least(F.greatest(F.lit(5.0), F.rint(F.lit(30.0) / F.col("interval"))), F.floor(F.col("n") / 2))
+    k = F.least(F.greatest(F.lit(5.0), F.rint(fx.ratio(F.lit(30.0), F.col("interval")))), F.floor(F.col("n") / 2))
     df = rolling.rolling(df.withColumn("k", k.cast("bigint")), ["vo2_ml", "power_w"], "k", "right")
     return out(df, *ROW, "k", "vo2_ml_roll", "power_w_roll")
 

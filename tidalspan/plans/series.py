@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import o2_pulse, ratio, t_critical, ve_vco2, ve_vo2
-from ..operators.layout import attach, prepare, spread
+from ..operators.layout import attach, is_split, prepare, spread
 from ..operators.peaks import find_peaks
 from ..operators.stages import display_stages
 from ..operators.thresholds import nearest_values
-from ..schema import KEY
+from ..schema import KEY, named
 
 # Two-sided 5 % Student t quantiles for 1 to 30 degrees of freedom.
 T_TABLE = [
@@ -100,11 +100,13 @@ def panel_series(breaths: DataFrame, window: float = 30.0, axis: str = "auto") -
     """
     df = prepare(breaths)
     averages = display_stages(df, window)
-    shape = averages.groupBy(KEY).agg(
-        F.max("power_w").alias("_power"), F.count("hr_bpm").alias("_hr"), F.count("peto2_mmhg").alias("_pet")
-    )
+    shape = {"_power": F.max("power_w"), "_hr": F.count("hr_bpm"), "_pet": F.count("peto2_mmhg")}
+    if is_split(df):
+        averages = averages.join(averages.groupBy(KEY).agg(*named(shape)), KEY)
+    else:
+        averages = attach(averages, shape)
     last = df.groupBy(KEY).agg(F.max("time_s").alias("_t_last"))
-    averages = averages.join(shape, KEY).join(last, KEY)
+    averages = averages.join(last, KEY)
     minutes = F.col("_t_last") > 300 if axis == "auto" else F.lit(axis == "minutes")
     time = F.when(minutes, F.col("time_s") / 60).otherwise(F.col("time_s"))
     powered, has_hr, has_pet = F.col("_power") > 0, F.col("_hr") > 0, F.col("_pet") > 0

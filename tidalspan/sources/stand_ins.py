@@ -27,7 +27,7 @@ def _signals(df: DataFrame, e: Column, tag: Column) -> DataFrame:
     """Breath signals from the position in the test, a noise value and a row tag."""
     layout = [c for c in ("rn", "n", "split", "chunk") if c in df.columns]
     test = F.col(KEY)
-    u = (F.col("rn") - 1).cast("double") / (F.col("n") - 1).cast("double")
+    u = F.try_divide((F.col("rn") - 1).cast("double"), (F.col("n") - 1).cast("double"))
     df = df.select(KEY, *layout, e.alias("e"), tag.alias("tag"), u.alias("u"))
     u, e = F.col("u"), F.col("e")
     treadmill = test % 3 == 0
