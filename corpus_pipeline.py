@@ -1,4 +1,8 @@
-"""A corpus from raw documents to shards, in stages that each call one operator."""
+"""A corpus from raw documents to shards, in stages that each call one operator.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept and returns a DataFrame, which is
+written as Parquet and read again for the next one.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +11,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidalspan.llm.decontaminate import contamination
+from tidalspan.llm.language_id import UNKNOWN, identify, train
+from tidalspan.llm.mixing import mix_sources
 from tidalspan.llm.near_dedup import near_duplicates
+from tidalspan.llm.sharding import shuffle_into_shards
 from tidalspan.llm.store import keep
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents get the language they are written in; those without any letter go."""
+    known = identify(docs, train(docs)).where(F.col("lang_pred") != UNKNOWN)
+    return known.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id.
+    """One document of each group of near duplicates stays: that with the smallest id.
 
-    Repeated rows of that document stay one row.  Documents without an id can't be named as kept and all stay.
+    Repeated rows of that document become one row.  Documents without an id can't be named as kept and all stay.
     """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null"))
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go; the rest stays untouched."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    found = found.select(F.col("doc_id").alias("bad_id"), F.col("text_xxh").alias("bad_text")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: the part files, read in turn, hold the sources by their weights."""
+    return mix_sources(docs).orderBy("slot", "row_in_block").select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard and their place in it."""
+    return shuffle_into_shards(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mixing", mixing),
+    ("sharding", sharding),
 ]
-#: The last stages draw at random, which SQL can't repeat; the stages are tested against brute force.
+#: Learned languages and random shards are nothing that SQL can repeat; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

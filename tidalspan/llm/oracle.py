@@ -6,7 +6,7 @@ OP8 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -19,6 +19,51 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
 
+OP4 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+  lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+p AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+h AS (SELECT doc_id, item_id, dw.k, i FROM dw JOIN bw ON bw.g = dw.g AND bw.k = dw.k),
+nh AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+ni AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(nh.n, 0) AS n_hit, coalesce(ni.n, 0) AS n_items,
+  sha256(coalesce(ni.items, '')) AS items_sha256, coalesce(nh.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN nh ON nh.doc_id = d.doc_id LEFT JOIN ni ON ni.doc_id = d.doc_id
+"""
+
+# The schedule slot by slot: among the blocks that may start, the earliest deadline wins; a source that runs out begins a new phase.
+OP10 = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+s AS (SELECT list(source ORDER BY source) AS names, list(CAST(ceil(n / 16.0) AS BIGINT) ORDER BY source) AS blocks,
+  list(greatest(1, CAST(floor(1000 * sqrt(n) / t + 0.5) AS BIGINT)) ORDER BY source) AS shares FROM n, (SELECT sum(sqrt(n)) AS t FROM n) GROUP BY ALL),
+one AS (SELECT list(names) AS x, any_value(names) AS names, any_value(blocks) AS blocks, any_value(shares) AS shares FROM
+  (SELECT flatten(list(names)) AS names, flatten(list(blocks)) AS blocks, flatten(list(shares)) AS shares FROM s)),
+r(slot, t, phase, first, done, q, pick, release, deadline) AS (
+  SELECT -1::BIGINT, 0::BIGINT, 0, 0::BIGINT, list_transform(blocks, lambda x: 0::BIGINT), list_transform(blocks, lambda x: 0::BIGINT), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM one
+  UNION ALL
+  SELECT slot + 1, CASE WHEN done[i] + 1 = blocks[i] THEN 0 ELSE t + 1 END, CASE WHEN done[i] + 1 = blocks[i] THEN phase + 1 ELSE phase END,
+    CASE WHEN done[i] + 1 = blocks[i] THEN slot + 2 ELSE first END,
+    list_transform(range(1, len(done) + 1), lambda k: done[k] + CASE WHEN k = i THEN 1 ELSE 0 END),
+    list_transform(range(1, len(done) + 1), lambda k: CASE WHEN done[i] + 1 = blocks[i] THEN 0 ELSE q[k] + CASE WHEN k = i THEN 1 ELSE 0 END END),
+    i, first + q[i] * total // shares[i], first + -((-(q[i] + 1) * total) // shares[i])
+  FROM (SELECT *, list_transform(list_sort(list_transform(list_filter(range(1, len(done) + 1),
+      lambda k: done[k] < blocks[k] AND q[k] * total // shares[k] <= t), lambda k: [CAST(ceil((q[k] + 1) * total / shares[k]) AS BIGINT), k])), lambda e: e[2])[1] AS i
+    FROM (SELECT r.*, blocks, shares, list_sum(list_transform(range(1, len(done) + 1), lambda k: CASE WHEN done[k] < blocks[k] THEN shares[k] ELSE 0 END))::BIGINT AS total
+      FROM r, one) WHERE total > 0)),
+placed AS (SELECT slot, CASE WHEN pick > 0 THEN names[pick] END AS source, pick, release, deadline, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS source_block,
+  lag(phase) OVER (ORDER BY slot) AS phase FROM r, one),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS i FROM documents)
+SELECT d.doc_id, d.source, (i // 16)::BIGINT AS source_block, (i % 16)::INTEGER AS row_in_block, p.phase::INTEGER AS phase,
+  p.release::BIGINT AS release, p.deadline::BIGINT AS deadline, p.slot AS slot
+FROM d JOIN placed p ON p.pick > 0 AND p.source = d.source AND p.source_block = d.i // 16
+"""
+
 ORACLE = {
+    "op4_decontamination": OP4,
+    "op10_mixing": OP10,
     "op8_near_dedup": OP8,
 }

@@ -3,18 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidalspan.llm.decontaminate import contamination
+from tidalspan.llm.language_id import identify, is_held_out, train
+from tidalspan.llm.mixing import mix_sources
 from tidalspan.llm.near_dedup import near_duplicates
+from tidalspan.llm.sharding import shuffle_into_shards
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """A null text has no bytes: size 1, CRC 0."""
+    digest = _table(spark, folder, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"))
+    return shuffle_into_shards(digest).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                                              F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("text_xxh")
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = train(docs)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(_table(spark, folder, "documents").select("doc_id", "source"))
+
+
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op8_near_dedup": op8_near_dedup,
+    "op10_mixing": op10_mixing,
 }
