@@ -138,7 +138,7 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _predict(shared, position: int):
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         folding = Folding(model.letters)
         for batch in batches:
             texts = [t or "" for t in batch.column(position).to_pylist()]
@@ -194,6 +194,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     get equal results; an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the sample's bound and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # its size follows the sample's bound and the languages
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "score double"])
     return docs.mapInArrow(_predict(shared, docs.columns.index(text_col)), fields)

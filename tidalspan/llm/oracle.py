@@ -62,7 +62,15 @@ SELECT d.doc_id, d.source, (i // 16)::BIGINT AS source_block, (i % 16)::INTEGER
 FROM d JOIN placed p ON p.pick > 0 AND p.source = d.source AND p.source_block = d.i // 16
 """
 
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n < 1000 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM q
+"""
+
 ORACLE = {
+    "op9_warc": OP9,
     "op4_decontamination": OP4,
     "op10_mixing": OP10,
     "op8_near_dedup": OP8,

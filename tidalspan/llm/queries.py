@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidalspan.llm.ann import search
 from tidalspan.llm.decontaminate import contamination
 from tidalspan.llm.language_id import identify, is_held_out, train
 from tidalspan.llm.mixing import mix_sources
 from tidalspan.llm.near_dedup import near_duplicates
+from tidalspan.llm.quality import fit, score_quality
+from tidalspan.llm.quality import is_held_out as quality_held_out
+from tidalspan.llm.secrets import secret_scan
 from tidalspan.llm.sharding import shuffle_into_shards
+from tidalspan.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A document is a repository of its own, its source the owner."""
+    return secret_scan(_table(spark, folder, "documents"))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """A null text has no bytes: size 1, CRC 0."""
     digest = _table(spark, folder, "documents").select(
@@ -25,6 +35,10 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
                                               F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("text_xxh")
 
@@ -35,18 +49,34 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, folder, "labels"))
+    return score_quality(docs, model).select("doc_id", quality_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = read_archives(write_archives(_table(spark, folder, "pages")))
+    return read.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("bigint").alias("refers_to"), "problem")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents").select("doc_id", "source"))
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
+    "op3_nearest": op3_nearest,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
     "op8_near_dedup": op8_near_dedup,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
