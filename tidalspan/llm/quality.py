@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from tidalspan.llm.textbytes import NOT_SPACE, buffers, slices, words
 
 SHRINKAGE, RIDGE, CUT = 0.1, 1e-3, 0.3
-FEATURES = ("length", "word_length", "upper", "digits", "punctuation", "marks", "bars", "distinct_words", "same_as_last", "line_length", "top_word")
-_COUNTED = np.zeros((256, 6), np.float32)
+FEATURES = ("word_length", "upper", "digits", "punctuation", "marks", "bars", "distinct_words", "same_as_last", "top_word")
+#: Every text is taken to begin with so many ordinary words, so that a very short one says little either way.
+PRIOR_WORDS, PRIOR_BYTES = 20, 120
+_PRIOR = np.array([2.5, 0.5, 3.0, 0.0, 0.0])  # upper, digits, punctuation, marks, bars
+_COUNTED = np.zeros((256, 5), np.int8)
 _COUNTED[65:91, 0] = 1
 _COUNTED[48:58, 1] = 1
 for _c in b".,;:'\"-()":
@@ -27,7 +30,6 @@ for _c in b"!?#$%&*@^~=+<>\\/_":
     _COUNTED[_c, 3] = 1
 for _c in b"|{}[]`":
     _COUNTED[_c, 4] = 1
-_COUNTED[10, 5] = 1
 
 
 class Discriminant(NamedTuple):
@@ -37,7 +39,7 @@ class Discriminant(NamedTuple):
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """A row of transformed statistics per text; an empty one has zeros."""
+    """A row of transformed statistics per text; an empty one has those of the ordinary words alone."""
     data, offsets = buffers(texts)
     out = np.zeros((len(offsets) - 1, len(FEATURES)))
     for lo, hi in slices(offsets):
@@ -46,9 +48,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
         hashes, first = words(data, at, NOT_SPACE)
         n = np.diff(first).astype(float)
         piece = data[at[0]: at[-1]]
-        counts = np.zeros((hi - lo, 6))
-        for k in range(6):
-            total = np.concatenate([[0], np.cumsum(_COUNTED[:, k].astype(np.int8)[piece], dtype=np.int64)])
+        counts = np.zeros((hi - lo, 5))
+        for k in range(5):
+            total = np.concatenate([[0], np.cumsum(_COUNTED[:, k][piece], dtype=np.int64)])
             counts[:, k] = np.diff(total[at - at[0]])
         row = np.repeat(np.arange(hi - lo), np.diff(first))
         again = np.zeros(hi - lo)
@@ -62,11 +64,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
         runs = np.diff(np.flatnonzero(np.concatenate([new, [True]])))
         top = np.zeros(hi - lo)
         np.maximum.at(top, r[new], runs)
-        one = np.maximum(size, 1)
-        many = np.maximum(n, 1)
-        share = np.sqrt(counts[:, :5] / one[:, None])
-        out[lo:hi] = np.column_stack([np.log1p(size), np.log1p(size / many), share, np.log1p(distinct) / np.log1p(many), np.sqrt(again / many),
-                                      np.log1p(size / (counts[:, 5] + 1)), np.sqrt(top / many)])
+        many, bytes_ = n + PRIOR_WORDS, size + PRIOR_BYTES
+        out[lo:hi] = np.column_stack([np.log(bytes_ / many), np.sqrt((counts + _PRIOR) / bytes_[:, None]), np.log(distinct + PRIOR_WORDS) / np.log(many),
+                                      np.sqrt(again / many), np.sqrt((top + 2) / many)])
     return out
 
 
