@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps, and what buckets leave to compare."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidalspan.llm.store import keep
 
+BLOCK = 64
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the smallest node it sees."""
@@ -39,3 +41,24 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = mark
         now = keep(_small_star(_large_star(now)), "stars")
+
+
+def blocks_across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of the rows (bucket, comp, cls) of every bucket with several components, to be compared across them.
+
+    (bucket, x, y, side, comp, cls): rows of side 0 are held against those of side 1, or each other if there is none.
+    The largest component of a bucket meets the others but not itself.
+    """
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    several = several.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / block).cast("int").alias("n_top"),
+                             F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("n_rest"))
+    rows = rows.join(several, "bucket").withColumn("is_top", F.col("comp") == F.col("top"))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("cls"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    top = rows.where("is_top").select("*", upto("n_rest").alias("o")).select("bucket", F.col("o").alias("x"), (-1 - F.col("k")).alias("y"), F.lit(1).alias("side"), "comp", "cls")
+    rest = rows.where("not is_top")
+    met = rest.select("*", upto("n_top").alias("o")).select("bucket", F.col("k").alias("x"), (-1 - F.col("o")).alias("y"), F.lit(0).alias("side"), "comp", "cls")
+    own = rest.select("*", upto("n_rest").alias("o")).select(
+        "bucket", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), (F.col("k") > F.col("o")).cast("int").alias("side"), "comp", "cls")
+    return top.union(met).union(own)

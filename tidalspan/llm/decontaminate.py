@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalspan.llm.bits import bit_table, may_hold
 from tidalspan.llm.store import keep
 from tidalspan.llm.textbytes import _PLACE, LETTERS_DIGITS, buffers, grams, mix, slices, words
 
 WINDOW, GRAM = 10, 5
-LOG_BITS = 25
 _HITS = pa.list_(pa.struct([("fp", pa.int64()), ("win", pa.int64()), ("len", pa.int32()), ("starts", pa.list_(pa.int32()))]))
 
 
@@ -66,13 +66,7 @@ def _item_windows(batches):
 
 def _scan(table, lengths: list[int]):
     """Words of each document, and its windows whose fingerprint the benchmark may have."""
-    def may(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
-        low, high = fp & np.uint64((1 << LOG_BITS) - 1), fp >> np.uint64(64 - LOG_BITS)
-        one = np.uint64(1)
-        return ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & (bits[high >> np.uint64(6)] >> (high & np.uint64(63))) & one).astype(bool)
-
     def run(batches):
-        bits = np.frombuffer(table.value, np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -87,7 +81,7 @@ def _scan(table, lengths: list[int]):
                     if len(hashes) < k:
                         continue
                     fp = _fingerprints(hashes) if k == WINDOW else grams(hashes, k)
-                    at = np.flatnonzero((row[: len(fp)] == row[k - 1:]) & may(bits, fp))
+                    at = np.flatnonzero((row[: len(fp)] == row[k - 1:]) & may_hold(table.value, fp))
                     for r, f, w, s in zip(row[at].tolist(), fp[at].astype(np.int64).tolist(), _at(hashes, at, k).astype(np.int64).tolist(),
                                           (at - first[row[at] - lo]).tolist()):
                         hits.setdefault(r, {}).setdefault((f, w, k), []).append(s)
@@ -99,18 +93,6 @@ def _scan(table, lengths: list[int]):
     return run
 
 
-def _bit_table(fingerprints: DataFrame) -> bytes:
-    """Two bits of each fingerprint in a table of fixed size; at most 2^19 numbers come to the driver."""
-    low = F.col("fp").bitwiseAND((1 << LOG_BITS) - 1)
-    high = F.shiftrightunsigned("fp", 64 - LOG_BITS)
-    bit = fingerprints.select(F.explode(F.array(low, high)).alias("bit"))
-    words_ = bit.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
-    table = np.zeros(1 << (LOG_BITS - 6), np.int64)
-    for w, v in words_.collect():
-        table[w] = v
-    return table.tobytes()
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_xxh (xxhash64 of the text).
@@ -124,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     windows = keep(items.mapInArrow(_item_windows, "item string, fp bigint, win bigint, len int").distinct(), "windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # ten values at most
-    table = spark.sparkContext.broadcast(_bit_table(windows.select("fp")))
+    table = spark.sparkContext.broadcast(bit_table(windows.select("fp")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = keep(docs.mapInArrow(
         _scan(table, lengths),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidalspan.llm.ann import search
 from tidalspan.llm.decontaminate import contamination
 from tidalspan.llm.language_id import identify, is_held_out, train
+from tidalspan.llm.line_dedup import fuzzy_line_dedup
 from tidalspan.llm.mixing import mix_sources
 from tidalspan.llm.near_dedup import near_duplicates
 from tidalspan.llm.quality import fit, score_quality
@@ -49,6 +50,10 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_line_dedup(_table(spark, folder, "documents"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = fit(docs, _table(spark, folder, "labels"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
