@@ -24,14 +24,13 @@ SEGMENT, SLICE = 1024, 1 << 21
 #: Bound of the sample that the automata are made of: documents per language, and letters of each.
 SAMPLE_DOCS, SAMPLE_LETTERS = 100, 300
 UNKNOWN = "und"
-TEXT_SPACE = 0
 
 
 class Model(NamedTuple):
     languages: list[str]
     letters: str  # symbol i + 1 is letters[i]; 0 is a space; len + 1 any other letter
-    table: np.ndarray  # row offset of the next state at [state row + symbol]; negative if the phrase ends before it
-    roots: np.ndarray  # row offsets
+    table: np.ndarray  # row offset of the next state at [state row + symbol]; negative if a phrase begins with the symbol
+    starts: np.ndarray  # row offsets
     log_size: float
 
 
@@ -70,20 +69,21 @@ def build(texts: dict[str, list[str]]) -> Model:
     folded = {k: v for k, v in folded.items() if v.strip()}
     letters = "".join(sorted({c for v in folded.values() for c in v} - {" "}))
     symbol = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
-    wide, at, tables, roots = len(letters) + 2, 0, [], []
+    wide, at, tables, starts = len(letters) + 2, 0, [], []
     for text in folded.values():
         to = automaton([symbol[c] for c in text])
-        rows = np.full((len(to), wide), -1, np.int64)
+        rows = np.full((len(to) + 1, wide), -1, np.int64)  # the last: nothing of a phrase yet
         for i, d in enumerate(to):
             for c, j in d.items():
                 rows[i, c] = at + j * wide
-        again = np.where(rows[0] >= 0, rows[0], at)  # a new phrase begins with the letter that ended the last
+        start = at + len(to) * wide
+        again = np.where(rows[0] >= 0, rows[0], start)  # a new phrase begins here; a letter never seen is one by itself
         rows = np.where(rows >= 0, rows + 1, -(again[None, :] + 1))  # one more, for a sign at 0 too
         tables.append(rows)
-        roots.append(at)
+        starts.append(start)
         at += rows.size
     table = np.concatenate([t.ravel() for t in tables]).astype(np.int32) if tables else np.zeros(0, np.int32)
-    return Model(list(folded), letters, table, np.array(roots, np.int32), math.log(max([2, *map(len, folded.values())])))
+    return Model(list(folded), letters, table, np.array(starts, np.int32), math.log(max([2, *map(len, folded.values())])))
 
 
 class Folding:
@@ -116,8 +116,8 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     size = np.minimum(SEGMENT, lengths[owner] - nth * SEGMENT)
     order = np.argsort(-size, kind="stable")
     start, size, owner = start[order], size[order], owner[order]
-    langs = len(model.roots)
-    state = np.repeat(model.roots[:, None], len(size), axis=1)
+    langs = len(model.starts)
+    state = np.repeat(model.starts[:, None], len(size), axis=1)
     missed = np.zeros((langs, len(size)), np.int32)
     padded = np.concatenate([symbols, np.zeros(1, symbols.dtype)]).astype(np.int32)
     live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
@@ -132,7 +132,7 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         state[:, :n] = got
     total = np.zeros((len(lengths), langs))
     for k in range(langs):
-        total[:, k] = np.bincount(owner, missed[k] + 1, minlength=len(lengths))
+        total[:, k] = np.bincount(owner, missed[k], minlength=len(lengths))
     return total
 
 

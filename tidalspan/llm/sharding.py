@@ -31,13 +31,12 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
         return n
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    from scipy.special import gammaln  # only needed at this size
-
     total = good + bad
     mean = n * good / total
     wide = 40 * (mean * bad / total * (total - n) / max(1, total - 1)) ** 0.5 + 10
     x = np.arange(max(0, n - bad, int(mean - wide)), min(n, good, int(mean + wide)) + 1, dtype=float)
-    log = -gammaln(x + 1) - gammaln(good - x + 1) - gammaln(n - x + 1) - gammaln(bad - n + x + 1)
+    ratio = (good - x[:-1]) * (n - x[:-1]) / ((x[:-1] + 1) * (bad - n + x[:-1] + 1))  # of each chance to the one before
+    log = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
     odds = np.exp(log - log.max()).cumsum()
     return int(x[np.searchsorted(odds, rng.random() * odds[-1], "right")])
 
