@@ -81,3 +81,45 @@ def test_stored_breaths_need_no_exchange(spark, tmp_path):
         assert "Exchange" not in peaks._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.sql("DROP TABLE stored_breaths")
+
+
+@pytest.mark.parametrize("chunk", [None, "6"])
+def test_odd_sheets(spark, tmp_path, chunk):
+    """An empty line keeps its place, columns may stand far to the right, and each file has its own format."""
+    if chunk:
+        spark.conf.set("spark.tidalspan.chunkRows", chunk)
+    try:
+        rows = [[i, 500 + i, 400 + i, 15, *[""] * 70, 0.8, f'"a, ""b"" {i}"'] for i in range(12)]
+        write_grid(tmp_path / "wide.csv", names=["t", "VO2", "VCO2", "VE", *[""] * 70, "RQ", "Marker"], rows=rows)
+        text = (tmp_path / "wide.csv").read_text().split("\n")
+        text[2] = ""  # the line of the first name and the humidity
+        text.insert(9, "")
+        (tmp_path / "wide.csv").write_text("\n".join(text))
+        write_grid(tmp_path / "other.TXT", rows=[[i, 500, 400, 15, 0.8, 100, "REST"] for i in range(12)])
+        made = grid.ingest(spark, str(tmp_path), date(2020, 1, 1))
+        who = made["participants"].collect()
+        assert [(r.name, r.sex, r.age, r.height_cm) for r in who] == [("Doe", "F", 41, 168)]
+        test = made["tests"].first()
+        assert (test.pressure_mmhg, test.humidity_pct, test.protocol) == (760, None, "Ramp 20")
+        got = made["breaths"].orderBy("time_s").collect()
+        assert [round(r.vo2_ml) for r in got] == [500 + i for i in range(12)] and {r.rer for r in got} == {0.8}
+        assert [r.source_row for r in got] == [4, 5, 6, 7, 8, 9, *range(11, 17)] and got[3].marker == 'a, "b" 3'
+        assert [(r.test_id[-9:], r.reason) for r in made["rejects"].collect()] == [("other.TXT", "unsupported format: unknown")]
+    finally:
+        spark.conf.unset("spark.tidalspan.chunkRows")
+
+
+def test_equal_gaps_of_a_split_test_are_spread(spark):
+    df = breaths(spark, [{"time_s": float(i)} for i in range(400)]).repartition(4)
+    spark.conf.set("spark.tidalspan.chunkRows", "50")
+    try:
+        found = grid.detect_data_type(df).collect()
+    finally:
+        spark.conf.unset("spark.tidalspan.chunkRows")
+    assert [(r.median_gap, r.is_averaged) for r in found] == [(1.0, False)]
+
+
+def test_equal_times_have_one_order(spark):
+    rows = [{"time_s": float(i // 3), "vo2_ml": 500.0 + (i * 37) % 11, "phase": f"p{i % 4}"} for i in range(60)]
+    one = [prepare(breaths(spark, rows).repartition(n)).orderBy("rn").select("vo2_ml", "phase").collect() for n in (1, 8)]
+    assert one[0] == one[1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, signals, texts
-from .layout import index_rows
+from .layout import index_rows, total_order
 from .rolling import average_rolling
 
 
@@ -24,14 +24,14 @@ def average_by_time(breaths: DataFrame, window: float = 30.0) -> DataFrame:
 
     Partial aggregation runs before the shuffle, which is keyed on (test_id, bin).
     """
-    df = breaths if "rn" in breaths.columns else breaths.withColumn("rn", F.lit(0))
+    df = breaths if "rn" in breaths.columns else breaths.withColumn("rn", total_order(breaths)[1] if "source_row" not in breaths.columns else F.col("source_row"))
     bins = df.withColumn("bin", F.floor(F.col("time_s") / F.lit(float(window))))
     return _bin_means(bins, "bin").drop("bin")
 
 
 def average_by_breath(breaths: DataFrame, window: int = 30) -> DataFrame:
     """A2: mean of every signal per group of ``window`` consecutive breaths."""
-    df = breaths if "rn" in breaths.columns else index_rows(breaths, ["time_s"])
+    df = breaths if "rn" in breaths.columns else index_rows(breaths, total_order(breaths))
     groups = df.withColumn("bin", F.floor((F.col("rn") - 1) / F.lit(window)))
     return _bin_means(groups, "bin").drop("bin")
 

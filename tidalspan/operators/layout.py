@@ -24,15 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from ..shared import shared_folder
 
 CHUNK_ROWS_CONF = "spark.tidalspan.chunkRows"
 DEFAULT_CHUNK_ROWS = 1_000_000
 
-# Only the largest tests are split.  A test outside this many largest ones holds
-# at most 1/10,000 of all rows, which is an ordinary task, so the list of split
-# tests - and every per-test table joined for them - has a proven row bound.
-MAX_SPLIT_TESTS = 10_000
-
 
 def chunk_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(CHUNK_ROWS_CONF, str(DEFAULT_CHUNK_ROWS)))
@@ -52,43 +48,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` to the reliable folder the session names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = "/tmp/tidalspan-checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def _oversized(df: DataFrame, limit: int) -> list:
-    """The (at most MAX_SPLIT_TESTS) largest tests above ``limit`` rows."""
-    sizes = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        sizes.where(F.col("n") > limit)
-        .orderBy(F.desc("n"), KEY)
-        .limit(MAX_SPLIT_TESTS)
-        .collect()
-    )
-
-
 def index_rows(df: DataFrame, order: Sequence[str], check: bool = True) -> DataFrame:
     """Add ``rn`` (1-based position in ``order``) and ``n`` (rows of the test).
 
     ``order`` must be total within a test.  Adds ``split`` and ``chunk`` if some
-    test is oversized.  ``check=False`` skips that test-size query; pass it only for
+    test is oversized, which one count per test tells; how many are is not limited.
+    ``check=False`` skips that query; pass it only for
     rows derived one-to-one or fewer from a frame that is known not to be split.
     """
     spark = df.sparkSession
     limit = chunk_rows(spark)
-    big = _oversized(df, limit) if check else []
-    if not big:
+    big = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(KEY, F.lit(True).alias("split"))
+    if not check or big.isEmpty():
         return _number_whole(df, order, "rn", "n")
-    key_type = df.schema[KEY].dataType.simpleString()
-    marks = spark.createDataFrame([(r[KEY], True) for r in big], f"{KEY} {key_type}, split boolean")
-    marked = df.join(F.broadcast(marks), KEY, "left").withColumn(
-        "split", F.coalesce("split", F.lit(False))
-    )
+    marked = df.join(big, KEY, "left").withColumn("split", F.coalesce("split", F.lit(False)))
     return with_chunks(rank_rows(marked, order, "rn", "n"), "rn")
 
 
@@ -101,22 +78,25 @@ def with_chunks(df: DataFrame, index: str) -> DataFrame:
     return df.withColumn("chunk", F.when(F.col("split"), position).otherwise(F.lit(0)).cast("bigint"))
 
 
-def _number_whole(df: DataFrame, order: Sequence, into: str, total: str | None) -> DataFrame:
-    ranked = F.row_number().over(W.partitionBy(KEY).orderBy(*order)).cast("bigint").alias(into)
-    extra = [] if total is None else [F.count(F.lit(1)).over(W.partitionBy(KEY)).alias(total)]
+def _number_whole(df: DataFrame, order: Sequence, into: str, total: str | None, weight: str | None = None) -> DataFrame:
+    window = W.partitionBy(KEY).orderBy(*order)
+    place = F.sum(weight).over(window.rowsBetween(W.unboundedPreceding, 0)) if weight else F.row_number().over(window)
+    ranked = place.cast("bigint").alias(into)
+    every = F.sum(weight) if weight else F.count(F.lit(1))
+    extra = [] if total is None else [every.over(W.partitionBy(KEY)).alias(total)]
     return df.select("*", ranked, *extra)
 
 
-def rank_rows(df: DataFrame, order: Sequence, into: str, total: str | None = None) -> DataFrame:
-    """Add the 1-based position of each row within its test in ``order``.
+def rank_rows(df: DataFrame, order: Sequence, into: str, total: str | None = None, weight: str | None = None) -> DataFrame:
+    """Add the 1-based position of each row within its test in ``order``; with ``weight`` its running sum.
 
     Split tests are range-partitioned on ``(test_id, order)``, so a test spreads
     over as many tasks as its size asks for; positions are the local row numbers
     plus the number of rows in earlier pieces.
     """
     if not is_split(df):
-        return _number_whole(df, order, into, total)
-    whole = _number_whole(df.where(~F.col("split")), order, into, total)
+        return _number_whole(df, order, into, total, weight)
+    whole = _number_whole(df.where(~F.col("split")), order, into, total, weight)
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.where(F.col("split"))
@@ -125,18 +105,19 @@ def rank_rows(df: DataFrame, order: Sequence, into: str, total: str | None = Non
     )
     # Piece ids must not change if an executor is lost between the two passes.
     ranged = cut_lineage(ranged)
-    sizes = ranged.groupBy(KEY, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = ranged.groupBy(KEY, "_piece").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_rows"))
     earlier = W.partitionBy(KEY).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    # Range pieces are contiguous, so there are at most pieces + MAX_SPLIT_TESTS rows here.
+    # Range pieces are contiguous, so there is one row per piece and one more per split test at most.
     offsets = sizes.select(
         KEY,
         "_piece",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(W.partitionBy(KEY)).alias("_total"),
     )
-    local = F.row_number().over(W.partitionBy(KEY, "_piece").orderBy(*order))
+    window = W.partitionBy(KEY, "_piece").orderBy(*order)
+    local = F.sum(weight).over(window.rowsBetween(W.unboundedPreceding, 0)) if weight else F.row_number().over(window)
     extra = [] if total is None else [F.col("_total").alias(total)]
-    numbered = ranged.join(F.broadcast(offsets), [KEY, "_piece"]).select(
+    numbered = ranged.join(offsets, [KEY, "_piece"]).select(
         *df.columns, (F.col("_before") + local).cast("bigint").alias(into), *extra
     )
     return whole.unionByName(numbered)
@@ -155,8 +136,6 @@ def attach(df: DataFrame, values: dict[str, Column], by: Sequence[str] = ()) ->
         .groupBy(*keys)
         .agg(*[c.alias(f"_far_{name}") for name, c in values.items()])
     )
-    if not by:
-        totals = F.broadcast(totals)  # one row per split test: at most MAX_SPLIT_TESTS
     near, totals = near.alias("a"), totals.alias("b")
     same = F.col(f"a.{KEY}") == F.col(f"b.{KEY}")
     for c in by:
@@ -265,16 +244,25 @@ def medians(df: DataFrame, value: str, into: str) -> DataFrame:
     """Exact per-test median of ``value`` (nulls skipped), one row per test of ``df``."""
     if not is_split(df):
         return df.groupBy(KEY).agg(F.median(value).alias(into))
-    ranked = rank_rows(df.where(F.col(value).isNotNull()), [value], "_r", "_m")
+    # Equal values are counted first, so that a value that most rows share is one row here.
+    counts = df.where(F.col(value).isNotNull()).groupBy(KEY, "split", value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = rank_rows(counts, [value], "_r", "_m", "_c")
+    holds = lambda place: F.max(F.when((F.col("_r") >= place) & (F.col("_r") - F.col("_c") < place), F.col(value)))
     low, high = F.floor((F.col("_m") + 1) / 2), F.floor(F.col("_m") / 2) + 1
-    middle = (F.col("_r") == low) | (F.col("_r") == high)
-    found = ranked.groupBy(KEY).agg(F.avg(F.when(middle, F.col(value))).alias(into))
+    found = ranked.groupBy(KEY).agg(((holds(low) + holds(high)) / 2).alias(into))
     return df.select(KEY).distinct().join(found, KEY, "left")
 
 
-def prepare(df: DataFrame, order: Sequence[str] = ("time_s",)) -> DataFrame:
+def total_order(df: DataFrame) -> list:
+    """By time, then by the row of the source, or by the whole row if that is not known."""
+    return ["time_s", "source_row" if "source_row" in df.columns else F.xxhash64(*df.columns)]
+
+
+def prepare(df: DataFrame, order: Sequence | None = None) -> DataFrame:
     """Number the rows (unless done) and add the per-test values most operators use.
 
+    Without ``order`` the rows come by ``total_order``.
+
     Adds ``t_first``, ``t_last``, ``interval`` (mean gap between breaths, W15) and
     the non-null counts ``n_hr``, ``n_power``, ``n_speed`` and ``n_phase``.  Prepared
     frames are returned as they are.
@@ -282,7 +270,7 @@ def prepare(df: DataFrame, order: Sequence[str] = ("time_s",)) -> DataFrame:
     if "interval" in df.columns:
         return df
     if "rn" not in df.columns:
-        df = index_rows(df, order)
+        df = index_rows(df, order or total_order(df))
     present = {"n_hr": "hr_bpm", "n_power": "power_w", "n_speed": "speed_kmh", "n_phase": "phase"}
     values = {"t_first": F.min("time_s"), "t_last": F.max("time_s")}
     values |= {name: F.count(c) if c in df.columns else F.count(F.lit(None)) for name, c in present.items()}

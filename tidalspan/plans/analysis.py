@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.averaging import average
-from ..operators.layout import index_rows, is_split, prepare
+from ..operators.layout import index_rows, is_split, prepare, total_order
 from ..operators.peaks import find_peaks
 from ..operators.stages import extract_stages, summarize_stages
 from ..operators.thresholds import DEFAULT_METHODS, detect_thresholds
@@ -50,7 +50,7 @@ def analyse(
     raw = prepare(breaths)
     averaged = average(raw, averaging_method, window).drop("n_breaths")
     # Averaging never adds rows, so only a split source can have an oversized average.
-    averaged = prepare(index_rows(averaged, ["time_s", "vo2_ml", "vco2_ml", "ve_l"], check=is_split(raw)))
+    averaged = prepare(index_rows(averaged, total_order(averaged), check=is_split(raw)))
     peaks = find_peaks(raw if peaks_on == "raw" else averaged, participants, window)
     thresholds = detect_thresholds(averaged, methods)
     stages = summarize_stages(extract_stages(raw, protocol, stage_duration), summary)

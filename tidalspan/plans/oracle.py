@@ -210,7 +210,7 @@ SELECT test_id, test_date, 'COSMED Quark CPET - ' || device AS device, protocol,
   pressure_mmhg, humidity_pct FROM tst WHERE test_id IN (SELECT test_id FROM b)""")
 ORACLE["s4_breaths_from_grid"] = sql(f"SELECT test_id, rn, {rnd('time_s', 'vo2_ml', 'vco2_ml', 've_l', 'rer', 'hr_bpm', 'power_w')}, phase FROM b")
 ORACLE["s5_day_fraction_time"] = sql(f"SELECT test_id, rn, {rnd('time_s')} FROM b")
-ORACLE["s6_format_routing"] = sql("SELECT DISTINCT test_id, 'cosmed' AS format, true AS supported FROM b")
+ORACLE["s6_format_routing"] = sql("SELECT DISTINCT test_id, CASE WHEN test_id % 9 = 0 THEN 'unknown' ELSE 'cosmed' END AS format, test_id % 9 <> 0 AS supported FROM b")
 ORACLE["s7_data_type"] = sql("""
 SELECT test_id, round(mid, 4) AS median_gap, round(cv, 4) AS gap_cv, coalesce(ok, false) AS is_averaged,
   CASE WHEN ok THEN CAST(w AS DOUBLE) END AS averaging_window

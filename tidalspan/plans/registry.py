@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fx
 from ..operators import averaging, economy, labels, norms, peaks, quality, rolling, stages, thresholds, validation
-from ..operators.layout import cut_lineage, prepare, rank_rows
+from ..operators.layout import prepare, rank_rows
 from ..schema import KEY
+from ..shared import new_folder
 from ..sources import export, grid
 from ..sources import stand_ins as src
 from . import analysis, report, series
@@ -55,9 +55,8 @@ ROW = [KEY, "rn"]
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    cut_lineage(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """A new folder below the shared folder."""
+    return new_folder(spark, "scratch")
 
 
 @query("s1_read_grids")
@@ -99,7 +98,8 @@ def _(s, d):
 
 @query("s6_format_routing")
 def _(s, d):
-    return grid.detect_format(src.grids(s, d)).select(KEY, "format", "supported")
+    ending = F.when(F.col(KEY) % 9 == 0, "txt").otherwise("csv")
+    return grid.detect_format(src.grids(s, d).withColumn("extension", ending)).select(KEY, "format", "supported")
 
 
 @query("s7_data_type")

@@ -148,11 +148,13 @@ def grids(spark: SparkSession, folder: str) -> DataFrame:
     names = ["time_s", "vo2_ml", "vco2_ml", "ve_l", "rer", "hr_bpm", "power_w", "phase"]
     back = {v: k for k, v in g.NAMES.items()}
     blank = [F.lit("") for _ in range(g.FIRST_COLUMN - 1)]
+    gap = [F.lit("") for _ in range(60)]  # the last signal stands far to the right
     body = rows.select(
         KEY, (F.col("rn") + g.FIRST_ROW - 1).alias("row"),
-        F.array(*blank, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("cells"),
+        F.array(*blank, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names[:-1]], *gap,
+                F.coalesce(F.col(names[-1]).cast("string"), F.lit(""))).alias("cells"),
     )
-    top = [(1, [back[c] for c in names]), (2, ["s"] + ["-"] * 7), (3, [""] * 8)]
+    top = [(1, [back[c] for c in names[:-1]] + [""] * 60 + [back[names[-1]]]), (2, ["s"] + ["-"] * 7), (3, [""] * 8)]
     lines = F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("row"), F.array(*blank, *[F.lit(x) for x in tail]).alias("cells"))
         for i, tail in top
@@ -178,6 +180,6 @@ def grids(spark: SparkSession, folder: str) -> DataFrame:
     fill = lambda c: F.coalesce(F.col(c), F.lit(""))
     merged = F.concat(
         F.array(F.lit(""), fill("who"), F.lit(""), F.lit(""), fill("what"), F.lit(""), F.lit(""), fill("air"), F.lit("")),
-        F.slice("cells", g.FIRST_COLUMN, g.MAX_COLUMNS),
+        F.slice("cells", F.lit(g.FIRST_COLUMN), F.size("cells")),
     )
     return index_rows(sheet.select(KEY, "row", merged.alias("cells")), ["row"]).drop("rn")
