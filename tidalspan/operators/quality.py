@@ -450,25 +450,12 @@ def _data(facts: DataFrame) -> DataFrame:
 
 
 def quality_summary(criteria_met: Column, criteria_available: Column) -> Column:
-    """C14: summary text from the determination, ratings and grade columns."""
-    effort = (
-        F.when(F.col("determination") == "maximal", "Maximal effort was reached")
-        .when(F.col("determination") == "likely_maximal", "Maximal effort was probably reached")
-        .when(F.col("determination") == "submaximal", "Maximal effort was not reached")
-        .otherwise("Effort cannot be judged")
-    )
-    trust = (
-        F.when(F.col("grade").isin("A", "B", "C"), "Results can be used with confidence.")
-        .when(F.col("grade") == "D", "Results need caution.")
-        .otherwise("Results may be unreliable.")
-    )
-    met = F.concat(effort, F.lit(" ("), criteria_met.cast("string"), F.lit("/"), criteria_available.cast("string"), F.lit(" criteria)."))
-    return F.concat_ws(
-        " ",
-        met,
-        F.concat(F.lit("Protocol: "), F.col("protocol_rating"), F.lit(".")),
-        F.concat(F.lit("Data: "), F.col("data_rating"), F.lit(".")),
-        trust,
+    """C14: one line with the grade first, then what it rests on; ratings and verdict are given as codes."""
+    use = F.when(F.col("grade").isin("A", "B", "C"), "usable").when(F.col("grade") == "D", "use with care").otherwise("do not rely on it")
+    return F.concat(
+        F.lit("Grade "), F.col("grade"), F.lit(", "), use,
+        F.lit(": effort "), F.col("determination"), F.lit(" by "), criteria_met.cast("string"), F.lit(" of "), criteria_available.cast("string"),
+        F.lit(" signs, recording "), F.col("data_rating"), F.lit(", course "), F.col("protocol_rating"),
     )
 
 

@@ -163,7 +163,7 @@ SELECT *, CASE age_group WHEN 'junior' THEN 18 WHEN '70+' THEN 75 WHEN '20-29' T
 
 
 def _values(rows) -> str:
-    show = lambda v: "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)")
+    show = lambda v: "NULL" if v is None else ("'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)")
     return ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
 
 
@@ -769,10 +769,8 @@ SELECT *, CASE WHEN overall_score >= 90 THEN 'A' WHEN overall_score >= 80 THEN '
 ORACLE["c12_assess_quality"] = sql(f"SELECT test_id, exercise_score, protocol_score, data_score, {rnd('overall_score')}, grade, overall_score >= 60 AND data_rating <> 'poor' AS interpretable FROM grade")
 ORACLE["c13_exercise_score"] = sql("SELECT test_id, determination, exercise_score FROM xs")
 ORACLE["c14_quality_summary"] = sql("""
-SELECT test_id, CASE determination WHEN 'maximal' THEN 'Maximal effort was reached' WHEN 'likely_maximal' THEN 'Maximal effort was probably reached'
-  WHEN 'submaximal' THEN 'Maximal effort was not reached' ELSE 'Effort cannot be judged' END || ' (' || criteria_met || '/' || criteria_available || ' criteria). Protocol: ' || protocol_rating
-  || '. Data: ' || data_rating || '. ' || CASE WHEN grade IN ('A', 'B', 'C') THEN 'Results can be used with confidence.' WHEN grade = 'D' THEN 'Results need caution.'
-  ELSE 'Results may be unreliable.' END AS summary FROM grade""")
+SELECT test_id, 'Grade ' || grade || ', ' || CASE WHEN grade IN ('A', 'B', 'C') THEN 'usable' WHEN grade = 'D' THEN 'use with care' ELSE 'do not rely on it' END
+  || ': effort ' || determination || ' by ' || criteria_met || ' of ' || criteria_available || ' signs, recording ' || data_rating || ', course ' || protocol_rating AS summary FROM grade""")
 CTE["eco"] = f"""
 SELECT test_id, modality, 2 AS reference_stage, {GE.format(v='vo2_ml', w='pw', r='rer')} AS gross_efficiency, {RE.format(v='(vo2_ml / weight_kg)', s='sp')} AS running_economy, pw AS reference_power, sp AS reference_speed FROM (
   SELECT s.*, c.modality, weight_kg, CASE WHEN c.modality = 'cycling' AND power_w > 0 THEN power_w END AS pw,
@@ -783,6 +781,9 @@ CTE["cmp"] = f"""
 SELECT pkw.*, pred_hr, pred_vo2, pred_vo2_kg, pred_ve, pred_power, pred_o2_pulse, weight_kg, norm_typical, norm_efficiency, sport,
   CASE WHEN sport = 'cycling' AND norm_efficiency IS NOT NULL THEN {GE.format(v='vo2_peak', w='power_peak', r='rer_peak')} END AS ge
 FROM pkw JOIN pred ON pred.test_id = pkw.test_id JOIN nrm ON nrm.test_id = pkw.test_id"""
+CTE["every"] = """
+SELECT pred.test_id, weight_kg, vo2_peak, vo2_kg_peak, ve_peak, hr_peak, rer_peak, power_peak, pred_hr, pred_vo2, pred_ve, pred_power
+FROM pred LEFT JOIN pkw ON pkw.test_id = pred.test_id"""
 ORACLE["c16_compare_with_norms"] = sql("""
 SELECT test_id, parameter, pct_predicted, series, round(value, 4) AS value FROM (
   SELECT test_id, 'vo2max_kg' AS parameter, round_even(vo2_kg_peak * 100 / pred_vo2_kg, 0) AS pct_predicted, 'measured' AS series, vo2_kg_peak AS value FROM cmp
@@ -792,29 +793,37 @@ SELECT test_id, parameter, pct_predicted, series, round(value, 4) AS value FROM
   UNION ALL SELECT test_id, 'gross_efficiency', NULL, 'norm', norm_efficiency FROM cmp WHERE ge IS NOT NULL) WHERE value IS NOT NULL""")
 ORACLE["c17_summary_table"] = sql("""
 SELECT test_id, parameter, value, predicted, round_even(value * 100 / predicted, 0) AS pct_predicted FROM (
-  SELECT test_id, 'vo2_peak' AS parameter, round_even(vo2_peak, 0) AS value, round_even(pred_vo2, 0) AS predicted FROM cmp
-  UNION ALL SELECT test_id, 'vo2_kg_peak', round_even(vo2_kg_peak, 1), round_even(pred_vo2 / weight_kg, 1) FROM cmp
-  UNION ALL SELECT test_id, 've_peak', round_even(ve_peak, 1), round_even(pred_ve, 0) FROM cmp
-  UNION ALL SELECT test_id, 'hr_peak', round_even(hr_peak, 0), round_even(pred_hr, 0) FROM cmp
-  UNION ALL SELECT test_id, 'rer_peak', round_even(rer_peak, 2), NULL FROM cmp
-  UNION ALL SELECT test_id, 'power_peak', round_even(power_peak, 0), round_even(pred_power, 0) FROM cmp)""")
+  SELECT test_id, 'vo2_peak' AS parameter, round_even(vo2_peak, 0) AS value, round_even(pred_vo2, 0) AS predicted FROM every
+  UNION ALL SELECT test_id, 'vo2_kg_peak', round_even(vo2_kg_peak, 1), round_even(pred_vo2 / weight_kg, 1) FROM every
+  UNION ALL SELECT test_id, 've_peak', round_even(ve_peak, 1), round_even(pred_ve, 0) FROM every
+  UNION ALL SELECT test_id, 'hr_peak', round_even(hr_peak, 0), round_even(pred_hr, 0) FROM every
+  UNION ALL SELECT test_id, 'rer_peak', round_even(rer_peak, 2), NULL FROM every
+  UNION ALL SELECT test_id, 'power_peak', round_even(power_peak, 0), round_even(pred_power, 0) FROM every)""")
 COLOUR = "CASE WHEN {v} >= 100 THEN 'green' WHEN {v} >= 85 THEN 'blue' WHEN {v} >= 70 THEN 'amber' WHEN {v} >= 50 THEN 'orange' ELSE 'red' END"
+CTE["gau"] = """
+SELECT *, v IS NOT NULL AS known FROM (SELECT test_id, hr_peak, rer_peak AS r, round_even(vo2_peak * 100 / pred_vo2, 0) AS v,
+  CASE WHEN vo2_peak IS NOT NULL THEN coalesce(round_even(hr_peak * 100 / pred_hr, 0), 0) END AS h FROM every)"""
 ORACLE["c18_interpretation_gauges"] = sql(f"""
-SELECT test_id, CASE WHEN v >= 100 THEN 'aerobic_excellent' WHEN v >= 85 THEN 'aerobic_normal' WHEN v >= 70 THEN 'aerobic_mildly_reduced' WHEN v >= 50 THEN 'aerobic_moderately_reduced' ELSE 'aerobic_severely_reduced' END AS aerobic_rating,
-  {COLOUR.format(v='v')} AS aerobic_color, least(v, 100) AS aerobic_percent,
-  CASE WHEN hr_peak IS NULL THEN 'hr_not_available' WHEN h >= 95 THEN 'hr_maximal' WHEN h >= 85 THEN 'hr_adequate' ELSE 'hr_submaximal' END AS cardiovascular_rating,
-  CASE WHEN hr_peak IS NULL THEN 'gray' ELSE {COLOUR.format(v='h')} END AS cardiovascular_color, least(h, 100) AS cardiovascular_percent,
-  CASE WHEN r >= 1.15 THEN 'rer_maximal' WHEN r >= 1.1 THEN 'rer_near_maximal' WHEN r >= 1 THEN 'rer_submaximal' ELSE 'rer_inconclusive' END AS ventilatory_rating,
-  CASE WHEN r >= 1.15 THEN 'green' WHEN r >= 1.1 THEN 'amber' WHEN r >= 1 THEN 'red' ELSE 'gray' END AS ventilatory_color,
-  least(100, greatest(0, round_even((r - 0.7) / 0.6 * 100, 0))) AS ventilatory_percent, v AS vo2_pct, h AS hr_pct, r >= 1.1 AS rer_reached,
-  concat_ws('; ', 'VO2max at ' || CAST(v AS INTEGER) || '% of predicted', CASE WHEN h > 0 THEN 'HR max at ' || CAST(h AS INTEGER) || '% of predicted' END,
-    CASE WHEN r >= 1.1 THEN 'maximal effort reached (RER 1.10 or more)' ELSE printf('peak RER = %.2f', r) END) || '.' AS sentence
-FROM (SELECT *, round_even(vo2_peak * 100 / pred_vo2, 0) AS v, coalesce(round_even(hr_peak * 100 / pred_hr, 0), 0) AS h, rer_peak AS r FROM cmp)""")
+SELECT test_id, CASE WHEN NOT known THEN 'insufficient_data' WHEN v >= 100 THEN 'aerobic_excellent' WHEN v >= 85 THEN 'aerobic_normal' WHEN v >= 70 THEN 'aerobic_mildly_reduced' WHEN v >= 50 THEN 'aerobic_moderately_reduced' ELSE 'aerobic_severely_reduced' END AS aerobic_rating,
+  CASE WHEN NOT known THEN 'gray' ELSE {COLOUR.format(v='v')} END AS aerobic_color, CASE WHEN known THEN least(v, 100) ELSE 0 END AS aerobic_percent,
+  CASE WHEN NOT known THEN 'insufficient_data' WHEN hr_peak IS NULL THEN 'hr_not_available' WHEN h >= 95 THEN 'hr_maximal' WHEN h >= 85 THEN 'hr_adequate' ELSE 'hr_submaximal' END AS cardiovascular_rating,
+  CASE WHEN NOT known OR hr_peak IS NULL THEN 'gray' ELSE {COLOUR.format(v='h')} END AS cardiovascular_color, CASE WHEN known THEN least(h, 100) ELSE 0 END AS cardiovascular_percent,
+  CASE WHEN NOT known THEN 'insufficient_data' WHEN r >= 1.15 THEN 'rer_maximal' WHEN r >= 1.1 THEN 'rer_near_maximal' WHEN r >= 1 THEN 'rer_submaximal' ELSE 'rer_inconclusive' END AS ventilatory_rating,
+  CASE WHEN NOT known THEN 'gray' WHEN r >= 1.15 THEN 'green' WHEN r >= 1.1 THEN 'amber' WHEN r >= 1 THEN 'red' ELSE 'gray' END AS ventilatory_color,
+  CASE WHEN known AND r IS NOT NULL THEN least(100, greatest(0, round_even((r - 0.7) / 0.6 * 100, 0))) ELSE 0 END AS ventilatory_percent, v AS vo2_pct, h AS hr_pct,
+  CASE WHEN known THEN coalesce(r >= 1.1, false) END AS rer_reached,
+  CASE WHEN NOT known THEN 'There are no peak values to judge.' ELSE concat_ws(' ', 'Oxygen uptake peaked at ' || CAST(v AS INTEGER) || ' % of what was predicted.',
+    CASE WHEN h > 0 THEN 'The heart rate rose to ' || CAST(h AS INTEGER) || ' % of its predicted limit.' END,
+    CASE WHEN r >= 1.1 THEN printf('With an RER of %.2f at the peak, the person went to the limit.', r) WHEN r IS NOT NULL THEN printf('The RER went up to %.2f only.', r) END) END AS sentence
+FROM gau""")
 ORACLE["c19_interpretation_codes"] = sql("""
-SELECT test_id, CASE WHEN v >= 100 THEN 'normal_to_elevated' WHEN v >= 85 THEN 'within_normal_limits' WHEN v >= 70 THEN 'mildly_reduced' WHEN v >= 50 THEN 'moderately_reduced' ELSE 'severely_reduced' END AS aerobic,
-  CASE WHEN h >= 95 THEN 'maximal' WHEN h >= 85 THEN 'adequate' WHEN h IS NOT NULL THEN 'submaximal' END AS cardiovascular,
-  CASE WHEN rer_peak >= 1.15 THEN 'maximal' WHEN rer_peak >= 1.1 THEN 'near_maximal' ELSE 'possibly_submaximal' END AS ventilatory
-FROM (SELECT *, vo2_peak * 100 / pred_vo2 AS v, hr_peak * 100 / pred_hr AS h FROM cmp)""")
+SELECT i.*, coalesce(a.fr, '') AS aerobic_text, coalesce(c.fr, '') AS cardiovascular_text, coalesce(e.fr, '') AS ventilatory_text FROM (
+SELECT test_id, CASE WHEN v IS NULL THEN 'insufficient_data' WHEN v >= 100 THEN 'capacity_normal_to_elevated' WHEN v >= 85 THEN 'capacity_within_normal_limits'
+    WHEN v >= 70 THEN 'capacity_mildly_reduced' WHEN v >= 50 THEN 'capacity_moderately_reduced' ELSE 'capacity_severely_reduced' END AS aerobic,
+  CASE WHEN v IS NULL THEN NULL WHEN h >= 95 THEN 'heart_maximal' WHEN h >= 85 THEN 'heart_adequate' WHEN h IS NOT NULL THEN 'heart_submaximal' END AS cardiovascular,
+  CASE WHEN v IS NULL THEN NULL WHEN rer_peak >= 1.15 THEN 'effort_maximal' WHEN rer_peak >= 1.1 THEN 'effort_near_maximal' WHEN rer_peak IS NOT NULL THEN 'effort_possibly_submaximal' END AS ventilatory
+FROM (SELECT *, vo2_peak * 100 / pred_vo2 AS v, hr_peak * 100 / pred_hr AS h FROM every)) i
+LEFT JOIN lab a ON a.key = aerobic LEFT JOIN lab c ON c.key = cardiovascular LEFT JOIN lab e ON e.key = ventilatory""")
 CTE["dtype"] = """
 SELECT test_id, n >= 10 AND gaps >= 5 AND cv < 0.05 AND abs(mid - w) < 1 AS ok, w FROM (
   SELECT *, (SELECT w FROM (VALUES (5), (10), (15), (20), (30)) v(w) ORDER BY abs(w - mid), w LIMIT 1) AS w FROM (

@@ -720,14 +720,14 @@ def _(s, d):
 def _(s, d):
     p = src.participants(s, d)
     found = peaks.find_peaks(breaths(s, d), p)
-    gauges = report.interpretation_gauges(found, p).join(found.select(KEY, "rer_peak"), KEY)
+    gauges = report.interpretation_gauges(found, p)
     return out(gauges.withColumn("sentence", report.gauge_sentence()).drop("rer_peak"))
 
 
 @query("c19_interpretation_codes")
 def _(s, d):
     p = src.participants(s, d)
-    return report.interpretation_codes(peaks.find_peaks(breaths(s, d), p), p)
+    return report.interpretation_texts(peaks.find_peaks(breaths(s, d), p), p, "fr")
 
 
 @query("c20_report_record")
