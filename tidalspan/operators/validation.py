@@ -204,7 +204,8 @@ RANGES: dict[str, list[tuple[str, float, float]]] = {
         ("hr_peak", 30, 250), ("power_peak", 0, 600), ("speed_peak", 0, 40),
     ],
     "quality": [
-        ("overall_score", 0, 100), ("r_squared", 0, 1), ("pct_aberrant", 0, 100),
+        ("peak_rer", 0.5, 2), ("rpe", 6, 20), ("lactate", 0, 30),
+        ("overall_score", 0, 100), ("protocol_score", 0, 100), ("data_score", 0, 100), ("r_squared", 0, 1), ("pct_aberrant", 0, 100),
         ("pct_missing_hr", 0, 100), ("pct_missing_power", 0, 100), ("signal_score", 0, 100),
     ],
 }
@@ -217,7 +218,13 @@ CODES: dict[str, dict[str, list[str]]] = {
     "protocol": {"modality": ["cycling", "treadmill", "other"]},
     "economy": {"modality": ["cycling", "treadmill"]},
     "peaks": {},
-    "quality": {"grade": ["A", "B", "C", "D", "F"]},
+    "quality": {
+        "grade": ["A", "B", "C", "D", "F"],
+        "determination": ["maximal", "likely_maximal", "submaximal", "indeterminate"],
+        "protocol_rating": ["excellent", "good", "acceptable", "poor", "unable_to_assess"],
+        "signal_rating": ["excellent", "good", "acceptable", "poor"],
+        "data_rating": ["excellent", "good", "acceptable", "poor"],
+    },
 }
 
 

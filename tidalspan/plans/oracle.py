@@ -227,7 +227,7 @@ FROM (SELECT test_id, t, lag(t) OVER (PARTITION BY test_id ORDER BY rn) AS prev
   FROM (SELECT test_id, rn, CASE WHEN rn % 13 = 0 THEN time_s - 60 ELSE time_s END AS t FROM b))
 GROUP BY test_id""")
 ORACLE["s10_range_audit"] = sql(f"""
-SELECT test_id, source, property, round(v, 4) AS value FROM (
+SELECT test_id, source, property, round(v, 4) AS value, CAST(NULL AS VARCHAR) AS code FROM (
   SELECT test_id, 'tests' AS source, 'temperature_c' AS property, temperature_c AS v FROM tst WHERE temperature_c NOT BETWEEN 10 AND 40
   UNION ALL SELECT test_id, 'tests', 'pressure_mmhg', pressure_mmhg FROM tst WHERE pressure_mmhg NOT BETWEEN 600 AND 900
   UNION ALL SELECT test_id, 'tests', 'humidity_pct', humidity_pct FROM tst WHERE humidity_pct NOT BETWEEN 0 AND 100
@@ -235,7 +235,24 @@ SELECT test_id, source, property, round(v, 4) AS value FROM (
   UNION ALL SELECT test_id, 'pretest', 'caffeine_mg', caffeine_mg FROM pre WHERE caffeine_mg NOT BETWEEN 0 AND 1000
   UNION ALL SELECT test_id, 'participants', 'age', age FROM part WHERE age NOT BETWEEN 0 AND 120
   UNION ALL SELECT test_id, 'economy', 'gross_efficiency', ge FROM (
-    SELECT test_id, {GE.format(v='height_cm * 20', w='age * 4', r='0.9')} AS ge FROM part) WHERE ge NOT BETWEEN 10 AND 35)""")
+    SELECT test_id, {GE.format(v='height_cm * 20', w='age * 4', r='0.9')} AS ge FROM part) WHERE ge NOT BETWEEN 10 AND 35
+  UNION ALL SELECT test_id, 'peaks', 'vo2_peak', height_cm * 50 FROM part WHERE height_cm * 50 NOT BETWEEN 0 AND 8000
+  UNION ALL SELECT test_id, 'peaks', 'vo2_kg_peak', height_cm / 2 FROM part WHERE height_cm / 2 NOT BETWEEN 0 AND 100
+  UNION ALL SELECT test_id, 'peaks', 've_peak', height_cm * 1.5 FROM part WHERE height_cm * 1.5 NOT BETWEEN 0 AND 250
+  UNION ALL SELECT test_id, 'peaks', 'rer_peak', test_id % 30 / 10 FROM part WHERE test_id % 30 / 10 NOT BETWEEN 0.5 AND 2
+  UNION ALL SELECT test_id, 'peaks', 'hr_peak', (test_id % 280)::DOUBLE FROM part WHERE (test_id % 280)::DOUBLE NOT BETWEEN 30 AND 250
+  UNION ALL SELECT test_id, 'peaks', 'power_peak', height_cm * 4 - 50 FROM part WHERE height_cm * 4 - 50 NOT BETWEEN 0 AND 600
+  UNION ALL SELECT test_id, 'peaks', 'speed_peak', (test_id % 45)::DOUBLE FROM part WHERE (test_id % 45)::DOUBLE NOT BETWEEN 0 AND 40
+  UNION ALL SELECT test_id, 'quality', 'peak_rer', test_id % 30 / 10 FROM rep WHERE test_id % 30 / 10 NOT BETWEEN 0.5 AND 2
+  UNION ALL SELECT test_id, 'quality', 'rpe', rpe + test_id % 3 * 4 FROM rep WHERE rpe + test_id % 3 * 4 NOT BETWEEN 6 AND 20
+  UNION ALL SELECT test_id, 'quality', 'lactate', lactate * 3 FROM rep WHERE lactate * 3 NOT BETWEEN 0 AND 30
+  UNION ALL SELECT test_id, 'quality', 'overall_score', (test_id % 110)::DOUBLE FROM rep WHERE (test_id % 110)::DOUBLE NOT BETWEEN 0 AND 100
+  UNION ALL SELECT test_id, 'quality', 'r_squared', test_id % 13 / 10 FROM rep WHERE test_id % 13 / 10 NOT BETWEEN 0 AND 1
+  UNION ALL SELECT test_id, 'protocol', 'stage_duration_s', (test_id % 80 * 10)::DOUBLE FROM tst WHERE (test_id % 80 * 10)::DOUBLE NOT BETWEEN 30 AND 600)
+UNION ALL SELECT test_id, 'quality', 'grade', NULL, 'E' FROM rep WHERE test_id % 6 = 5
+UNION ALL SELECT test_id, 'quality', 'protocol_rating', NULL, 'fair' FROM rep WHERE test_id % 6 = 5
+UNION ALL SELECT test_id, 'quality', 'data_rating', NULL, CASE test_id % 6 WHEN 4 THEN 'unable_to_assess' ELSE 'fair' END FROM rep WHERE test_id % 6 >= 4
+UNION ALL SELECT test_id, 'protocol', 'modality', NULL, 'rowing' FROM tst WHERE test_id % 4 = 3""")
 
 # ------------------------------------------------------------------ projections
 

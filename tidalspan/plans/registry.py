@@ -130,8 +130,21 @@ def _(s, d):
     eco = src.participants(s, d).select(
         KEY, fx.gross_efficiency(F.col("height_cm") * 20, F.col("age") * 4, F.lit(0.9)).alias("gross_efficiency")
     )
-    found = found.unionByName(validation.range_audit(eco, "economy"))
-    return found.select(KEY, "source", "property", F.round(F.col("value").cast("double"), 4).alias("value"))
+    # Values that leave every range for some tests.
+    key, tall = F.col(KEY), F.col("height_cm")
+    peak = src.participants(s, d).select(
+        KEY, (tall * 50).alias("vo2_peak"), (tall / 2).alias("vo2_kg_peak"), (tall * 1.5).alias("ve_peak"), (key % 30 / 10).alias("rer_peak"),
+        (key % 280).cast("double").alias("hr_peak"), (tall * 4 - 50).alias("power_peak"), (key % 45).cast("double").alias("speed_peak"))
+    grade = src.reports(s, d).select(
+        KEY, (key % 30 / 10).alias("peak_rer"), (F.col("rpe") + key % 3 * 4).alias("rpe"), (F.col("lactate") * 3).alias("lactate"),
+        (key % 110).cast("double").alias("overall_score"), (key % 13 / 10).alias("r_squared"), F.get(F.split(F.lit("A,B,C,D,F,E"), ","), key % 6).alias("grade"),
+        F.get(F.split(F.lit("excellent,good,acceptable,poor,unable_to_assess,fair"), ","), key % 6).alias("protocol_rating"),
+        F.get(F.split(F.lit("excellent,good,acceptable,poor,unable_to_assess,fair"), ","), key % 6).alias("data_rating"))
+    plan = src.tests(s, d).select(KEY, (key % 80 * 10).cast("double").alias("stage_duration_s"), F.get(F.split(F.lit("cycling,treadmill,other,rowing"), ","), key % 4).alias("modality"))
+    for table, df in (("economy", eco), ("peaks", peak), ("quality", grade), ("protocol", plan)):
+        found = found.unionByName(validation.range_audit(df, table))
+    number = F.col("value").try_cast("double")
+    return found.select(KEY, "source", "property", F.round(number, 4).alias("value"), F.when(number.isNull(), F.col("value")).alias("code"))
 
 
 # ------------------------------------------- projections and scalar expressions
