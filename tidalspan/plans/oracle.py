@@ -820,7 +820,7 @@ COLOUR = "CASE WHEN {v} >= 100 THEN 'green' WHEN {v} >= 85 THEN 'blue' WHEN {v}
 CTE["gau"] = """
 SELECT *, v IS NOT NULL AS known FROM (SELECT test_id, hr_peak, rer_peak AS r, round_even(vo2_peak * 100 / pred_vo2, 0) AS v,
   CASE WHEN vo2_peak IS NOT NULL THEN coalesce(round_even(hr_peak * 100 / pred_hr, 0), 0) END AS h FROM every)"""
-ORACLE["c18_interpretation_gauges"] = sql(f"""
+CTE["gauges"] = f"""
 SELECT test_id, CASE WHEN NOT known THEN 'insufficient_data' WHEN v >= 100 THEN 'aerobic_excellent' WHEN v >= 85 THEN 'aerobic_normal' WHEN v >= 70 THEN 'aerobic_mildly_reduced' WHEN v >= 50 THEN 'aerobic_moderately_reduced' ELSE 'aerobic_severely_reduced' END AS aerobic_rating,
   CASE WHEN NOT known THEN 'gray' ELSE {COLOUR.format(v='v')} END AS aerobic_color, CASE WHEN known THEN least(v, 100) ELSE 0 END AS aerobic_percent,
   CASE WHEN NOT known THEN 'insufficient_data' WHEN hr_peak IS NULL THEN 'hr_not_available' WHEN h >= 95 THEN 'hr_maximal' WHEN h >= 85 THEN 'hr_adequate' ELSE 'hr_submaximal' END AS cardiovascular_rating,
@@ -832,7 +832,8 @@ SELECT test_id, CASE WHEN NOT known THEN 'insufficient_data' WHEN v >= 100 THEN
   CASE WHEN NOT known THEN 'There are no peak values to judge.' ELSE concat_ws(' ', 'Oxygen uptake peaked at ' || CAST(v AS INTEGER) || ' % of what was predicted.',
     CASE WHEN h > 0 THEN 'The heart rate rose to ' || CAST(h AS INTEGER) || ' % of its predicted limit.' END,
     CASE WHEN r >= 1.1 THEN printf('With an RER of %.2f at the peak, the person went to the limit.', r) WHEN r IS NOT NULL THEN printf('The RER went up to %.2f only.', r) END) END AS sentence
-FROM gau""")
+FROM gau"""
+ORACLE["c18_interpretation_gauges"] = sql("SELECT * FROM gauges")
 ORACLE["c19_interpretation_codes"] = sql("""
 SELECT i.*, coalesce(a.fr, '') AS aerobic_text, coalesce(c.fr, '') AS cardiovascular_text, coalesce(e.fr, '') AS ventilatory_text FROM (
 SELECT test_id, CASE WHEN v IS NULL THEN 'insufficient_data' WHEN v >= 100 THEN 'capacity_normal_to_elevated' WHEN v >= 85 THEN 'capacity_within_normal_limits'
@@ -848,7 +849,7 @@ SELECT test_id, n >= 10 AND gaps >= 5 AND cv < 0.05 AND abs(mid - w) < 1 AS ok,
       SELECT test_id, CASE WHEN d > 0 AND d < 60 THEN d END AS g FROM (
         SELECT test_id, time_s - lag(time_s) OVER (PARTITION BY test_id ORDER BY rn) AS d FROM b)) GROUP BY test_id))"""
 ORACLE["c20_report_record"] = sql(f"""
-SELECT tst.test_id, part.name, test_date, regexp_replace(protocol, '^_+', '') AS protocol, device, coalesce(technician, '-') AS technician, part.age,
+SELECT tst.test_id, part.participant_id, part.name, CAST(NULL AS VARCHAR) AS date_of_birth, test_date, regexp_replace(protocol, '^_+', '') AS protocol, device, coalesce(technician, '-') AS technician, part.age,
   CASE part.sex WHEN 'M' THEN 'male' WHEN 'F' THEN 'female' ELSE 'other' END AS sex_label, part.height_cm, part.weight_kg,
   round(round_even(part.weight_kg / ((part.height_cm / 100) * (part.height_cm / 100)), 1), 4) AS bmi, coalesce(part.sport, conf.modality, '-') AS sport_shown,
   CASE WHEN tl IS NOT NULL THEN {DURATION.format(t='tl')} END AS test_duration,
@@ -863,15 +864,18 @@ SELECT tst.test_id, part.name, test_date, regexp_replace(protocol, '^_+', '') AS
   vt1_vo2 IS NOT NULL AS thresholds_detected, round_even(vt1_vo2, 0) AS vt1_vo2, round_even(vt1_vo2 * 100 / vo2_peak, 0) AS vt1_percent, round_even(vt1_hr, 0) AS vt1_hr,
   round_even(vt1_power, 0) AS vt1_power, round_even(vt2_vo2, 0) AS vt2_vo2, round_even(vt2_vo2 * 100 / vo2_peak, 0) AS vt2_percent, round_even(vt2_hr, 0) AS vt2_hr, round_even(vt2_power, 0) AS vt2_power,
   vt1_method AS threshold_method, CASE WHEN vt1_vo2 IS NOT NULL THEN confidence END AS threshold_confidence,
-  true AS has_pretest, nutritional_state, fatigue_state, caffeine_mg, conf.test_id IS NOT NULL AS has_protocol_details, conf.modality,
+  true AS has_pretest, nutritional_state, fatigue_state, last_meal_hours, CAST(NULL AS VARCHAR) AS medications, caffeine_mg, caffeine_mg > 0 AS had_caffeine, CAST(NULL AS VARCHAR) AS clinical_notes,
+  CAST(NULL AS VARCHAR) AS equipment, CAST(NULL AS VARCHAR) AS analyzer, CAST(NULL AS DOUBLE) AS starting_grade, CAST(NULL AS DOUBLE) AS grade_increment, conf.test_id IS NOT NULL AS has_protocol_details, conf.modality,
   CASE WHEN conf.test_id IS NOT NULL THEN CASE WHEN tm THEN 'km/h' ELSE 'W' END END AS intensity_unit, starting_intensity, CAST(increment_size AS DOUBLE) AS increment_size, CAST(stage_duration_s AS DOUBLE) AS stage_duration_s,
-  coalesce(n_stages > 0, false) AS has_stage_table, eco.test_id IS NOT NULL AS has_economy, gross_efficiency, running_economy,
+  coalesce(n_stages > 0, false) AS has_stage_table, eco.test_id IS NOT NULL AS has_economy, reference_stage AS economy_stage, {rnd('reference_power', 'reference_speed').replace('AS reference_', 'AS economy_')}, gross_efficiency, running_economy,
+  aerobic_rating, aerobic_color, aerobic_percent, cardiovascular_rating, cardiovascular_color, cardiovascular_percent, ventilatory_rating, ventilatory_color, ventilatory_percent,
   CASE WHEN ok THEN 'time_averaged' ELSE 'breath_by_breath' END AS data_type, CASE WHEN ok THEN CAST(w AS DOUBLE) END AS data_window_s,
   concat_ws('; ', '{PREDICTION_SOURCE}', CASE WHEN part.sport IS NOT NULL THEN norm_source END, CASE WHEN part.sport IS NOT NULL THEN metric_source END) AS bibliography
 FROM tst JOIN part ON part.test_id = tst.test_id JOIN pred ON pred.test_id = tst.test_id JOIN nrm ON nrm.test_id = tst.test_id JOIN pre ON pre.test_id = tst.test_id
 LEFT JOIN (SELECT test_id, max(time_s) AS tl FROM b GROUP BY test_id) du ON du.test_id = tst.test_id LEFT JOIN pkw ON pkw.test_id = tst.test_id
 LEFT JOIN qthr ON qthr.test_id = tst.test_id LEFT JOIN (SELECT *, modality = 'treadmill' AS tm0 FROM conf) conf ON conf.test_id = tst.test_id
 LEFT JOIN (SELECT test_id, count(*) AS n_stages FROM s30 GROUP BY test_id) sc ON sc.test_id = tst.test_id LEFT JOIN eco ON eco.test_id = tst.test_id LEFT JOIN dtype ON dtype.test_id = tst.test_id
+LEFT JOIN gauges ON gauges.test_id = tst.test_id
 JOIN (SELECT t.test_id, coalesce(c.modality = 'treadmill', false) AS tm FROM tst t LEFT JOIN conf c ON c.test_id = t.test_id) tmm ON tmm.test_id = tst.test_id""")
 ORACLE["c21_stage_table"] = sql(f"""
 SELECT test_id, stage, {DURATION.format(t='duration_s')} AS duration, CASE WHEN power_w > 0 THEN round_even(power_w, 0) ELSE round_even(speed_kmh, 1) END AS intensity,

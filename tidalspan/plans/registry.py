@@ -12,7 +12,7 @@ from ..functions import scalars as fx
 from ..operators import averaging, economy, labels, norms, peaks, quality, rolling, stages, thresholds, validation
 from ..operators.layout import prepare, rank_rows
 from ..schema import KEY
-from ..shared import new_folder
+from ..shared import keep, new_folder
 from ..sources import export, grid
 from ..sources import stand_ins as src
 from . import analysis, report, series
@@ -745,14 +745,16 @@ def _(s, d):
 
 @query("c20_report_record")
 def _(s, d):
-    df, p, t = breaths(s, d), src.participants(s, d), src.tests(s, d)
-    summary = stages.summarize_stages(stages.extract_stages(df))
+    df, p, t = keep(breaths(s, d), "prepared"), src.participants(s, d), src.tests(s, d)
+    summary = keep(stages.summarize_stages(stages.extract_stages(df)), "stages")
     config = stages.detect_protocol_config(df)
+    found = keep(peaks.find_peaks(df, p), "peaks")
     return out(report.report_record(
-        p, t, df.groupBy(KEY).agg(F.max("time_s").alias("t_last")), peaks.find_peaks(df, p),
+        p, t, df.groupBy(KEY).agg(F.max("time_s").alias("t_last")), found,
         thresholds.detect_thresholds(df), summary.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_stages")),
         config=config, economy=economy.economy_metrics(summary, p, t, 2, config=config),
         pretest=src.pretest(s, d), averaging=grid.detect_data_type(df),
+        gauges=report.interpretation_gauges(found, p),
     ))
 
 
