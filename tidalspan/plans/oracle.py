@@ -14,13 +14,11 @@ CTE: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
 
 
-# Offset in units of the last digit, also used by ``registry.out``: it moves decimal
-# ties off the boundary, where two engines may round either way.
-TIE = 1.234567e-3
+SETTLED = 5  # as in ``registry``: digits after the last that both engines agree on
 
 
 def _rounding(text: str) -> str:
-    """Spell out rounding: offset for ``round``; exact decimal ties for ``round_even`` to >= 1 digit."""
+    """Spell out rounding: half to even on the decimal text, for ``round`` after the digits that sums may differ in."""
     out, i = "", 0
     while True:
         m = re.compile(r"\b(round|round_even)\(").search(text, i)
@@ -34,7 +32,8 @@ def _rounding(text: str) -> str:
         inner, digits = _rounding(text[m.end():comma]), int(text[comma + 1:j - 1])
         out += text[i:m.start()]
         if m.group(1) == "round":
-            out += f"round({inner} + {TIE * 10.0 ** -digits!r}, {digits})"
+            text_of = f"CAST(round(CAST({inner} AS DOUBLE), {digits + SETTLED}) AS VARCHAR)"
+            out += f"CAST(round_even(CAST({text_of} AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
         elif digits == 0:
             out += f"round_even({inner}, 0)"
         else:
