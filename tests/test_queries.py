@@ -6,6 +6,7 @@ import pytest
 from check_oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidalspan.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that together cover every layout helper, also run with tests cut into chunks.
@@ -22,7 +23,7 @@ def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
     assert compare(spark, con, FOLDER, name) is None
 

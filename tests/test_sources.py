@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
-from helpers import breaths
+from helpers import breaths, column
 from pyspark.sql import functions as F
 
 from tidalspan.operators.layout import index_rows, prepare
 from tidalspan.operators.peaks import find_peaks
+from tidalspan.operators.rolling import rolling
 from tidalspan.sources import export, grid
 
 HEAD = ["t", "VO2", "VCO2", "VE", "RQ", "HR", "Phase"]
@@ -123,3 +124,17 @@ def test_equal_times_have_one_order(spark):
     rows = [{"time_s": float(i // 3), "vo2_ml": 500.0 + (i * 37) % 11, "phase": f"p{i % 4}"} for i in range(60)]
     one = [prepare(breaths(spark, rows).repartition(n)).orderBy("rn").select("vo2_ml", "phase").collect() for n in (1, 8)]
     assert one[0] == one[1]
+
+
+def test_rolling_means_are_exact_and_do_not_slow_down_with_the_width(spark):
+    rows = [{"time_s": float(i), "vo2_ml": 500.0 + (i * 7919) % 613} for i in range(300)]
+    df = prepare(breaths(spark, rows))
+    values = [r["vo2_ml"] for r in rows]
+    for k in (1, 2, 7, 150, 300, 301):
+        got = column(rolling(df.withColumn("k", F.lit(k).cast("bigint")), ["vo2_ml"], "k"), "vo2_ml_roll")
+        for i, x in enumerate(got):
+            lo, hi = i - (k - 1) // 2, i + k // 2
+            assert x is None if lo < 0 or hi >= 300 else abs(x - sum(values[lo: hi + 1]) / k) < 1e-9
+    wide = rolling(df.withColumn("k", F.lit(6_000_000).cast("bigint")), ["vo2_ml"], "k")
+    with pytest.raises(Exception, match="rolling width"):
+        wide.collect()

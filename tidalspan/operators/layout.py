@@ -162,20 +162,23 @@ def spread(df: DataFrame, per_test: DataFrame, how: str = "left") -> DataFrame:
 
 def framed(
     df: DataFrame,
-    build: Callable[[list[str]], dict[str, Column]],
+    build: Callable[[list[str]], dict[str, Column]] | Sequence[Callable[[list[str]], dict[str, Column]]],
     reach: Column | int,
     index: str = "rn",
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``reach`` rows either way.
 
     ``build`` receives the partition columns and returns the columns to add; it
-    must order by ``index`` or a monotone function of it.  In the split layout the
+    must order by ``index`` or a monotone function of it.  Several are applied in turn,
+    each on what the one before has added.  In the split layout the
     rows within ``reach`` of a block border are copied to the neighbouring block,
     and only the home rows are kept afterwards.
     """
+    steps = [build] if callable(build) else build
     if not is_split(df):
-        added = build([KEY])
-        return df.select("*", *[c.alias(name) for name, c in added.items()])
+        for step in steps:
+            df = df.select("*", *[c.alias(name) for name, c in step([KEY]).items()])
+        return df
     reach = reach if isinstance(reach, Column) else F.lit(reach)
     length = F.greatest(F.lit(chunk_rows(df.sparkSession)), F.coalesce(reach, F.lit(1))).cast("bigint")
     offset = F.col("_offset")
@@ -190,12 +193,9 @@ def framed(
         F.when(F.col("split") & (offset >= F.col("_length") - reach), F.col("_home") + 1),
     ))
     copied = placed.withColumn("_block", F.explode(copies))
-    added = build([KEY, "_block"])
-    return (
-        copied.select("*", *[c.alias(name) for name, c in added.items()])
-        .where(F.col("_block") == F.col("_home"))
-        .drop("_block", "_home", "_length", "_offset")
-    )
+    for step in steps:
+        copied = copied.select("*", *[c.alias(name) for name, c in step([KEY, "_block"]).items()])
+    return copied.where(F.col("_block") == F.col("_home")).drop("_block", "_home", "_length", "_offset")
 
 
 def running_sum(df: DataFrame, value: str, into: str, index: str = "rn") -> DataFrame:
