@@ -1,31 +1,5 @@
 """Intermediate tables in the shared folder of the cluster."""
 
-from __future__ import annotations
+from tidalspan.shared import keep, new_folder, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder if it is unset and the master is local, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='tidalspan-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidalspan-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it again: lineage ends here, and a lost executor costs no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["keep", "new_folder", "shared_folder"]
