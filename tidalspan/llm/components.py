@@ -32,15 +32,28 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     an empty one.  A step aggregates before it joins, so a node with very many neighbours is no single task; the number
     of rounds grows with the logarithm of the longest path.  Each round is written to the shared folder.
     """
-    now = keep(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = mark
+    now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v")
+    now = keep(now.distinct(), "edges")
+    while not _is_stars(now):
         now = keep(_small_star(_large_star(now)), "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node, which hangs on none."""
+    ends = edges.groupBy("u").agg(F.count("*").alias("above")).select("u", "above", F.lit(0).alias("below"))
+    ends = ends.union(edges.select("v").distinct().select(F.col("v").alias("u"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    return ends.groupBy("u").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or above = 1 and below = 1").isEmpty()
+
+
+def apart(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose ends are not one link of ``first`` away from the same node."""
+    hub = first.groupBy("v").agg(F.min("u").alias("hub"))
+    a = hub.select(F.col("v").alias("u"), F.col("hub").alias("hub_u"))
+    b = hub.select("v", F.col("hub").alias("hub_v"))
+    both = pairs.join(a, "u", "left").join(b, "v", "left")
+    return both.where(F.coalesce("hub_u", "u") != F.coalesce("hub_v", "v")).select("u", "v")
 
 
 def blocks_across(rows: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -5,10 +5,11 @@ from the start, so copies cost nothing after the scan.  Every class gets univers
 that share a band are candidates.  Candidate pairs whose signatures agree too little are dropped, all others are
 decided by the exact similarity of the full sets.
 
-No bucket is expanded into all its pairs.  First every bucket is a star around its smallest class, and the links found
-make components.  Then only buckets that still hold several components are looked at again: their classes are compared
-across components, in blocks of bounded size, and what passes the signature check is verified too.  A pair sharing a
-band is thus either linked, compared, or already in one component.
+No bucket is expanded into all its pairs.  Every bucket is a star around its smallest class: first each class is held
+against one of its stars, then against those whose other end is not already one link away.  Buckets that hold several components
+even then are looked at again: their classes are compared across components in blocks of bounded size, by signature and
+then by full set, and a block gives links only, never candidate pairs.  A pair sharing a band is thus either linked,
+compared, or in one component.
 
 At similarity 0.75 a pair shares no band with probability 5e-6 (32 bands of 4 minima) and fails the signature check
 with about 1e-6.  Classes and shingles are told apart by 64-bit hashes.
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalspan.llm.components import components
+from tidalspan.llm.components import apart, blocks_across, components
 from tidalspan.llm.store import keep
 from tidalspan.llm.textbytes import NOT_SPACE, buffers, grams, mix, slices, words
 
-BANDS, ROWS, SHINGLE, BLOCK = 32, 4, 5, 64
+BANDS, ROWS, SHINGLE, UNIT = 32, 4, 5, 256
 MINIMA = BANDS * ROWS
 SLACK = 0.19  # five standard deviations of a signature's similarity at 0.75
 _rng = np.random.default_rng(8)
@@ -122,74 +123,101 @@ def _similar(percent: int):
     return run
 
 
-def _across(share: float):
-    """Pairs of different components in a block of one bucket, checked by signature; blocks come sorted and whole."""
+def _by_unit(handle):
+    """Runs of rows with equal bucket, x and y, which come sorted and whole, go to ``handle``."""
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            for unit in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if unit[:3] != key:
-                    yield from _block(rows, share)
-                    key, rows = unit[:3], []
-                rows.append(unit[3:])
-        yield from _block(rows, share)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        yield handle(key, *zip(*rows))
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        if len(rows) > 1:
+            yield handle(key, *zip(*rows))
     return run
 
 
-def _block(rows: list[tuple], share: float) -> Iterator[pa.RecordBatch]:
-    if len(rows) < 2:
-        return
-    side, comp, cls, minima = zip(*rows)
-    side, comp, cls = np.array(side), np.array(comp), np.array(cls)
-    m = np.frombuffer(b"".join(minima), np.uint32).reshape(-1, MINIMA)
-    us, vs = [], []
-    two = side.max() > 0  # rows of one block against those of another; else a block against itself
-    for i in np.flatnonzero(side == 0):
-        far = np.flatnonzero((comp != comp[i]) & ((side == 1) if two else (np.arange(len(side)) > i)))
-        near = far[(m[far] == m[i]).mean(axis=1) >= share]
-        us += [cls[i]] * len(near)
-        vs += cls[near].tolist()
-    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+def _facing(side: np.ndarray, comp: np.ndarray, i: int) -> np.ndarray:
+    """The rows of a unit that row ``i`` is held against: the other side's, or all if there is one, of other components."""
+    return (comp != comp[i]) & ((side == 1) | (not side.any()))
+
+
+def _open_rows(share: float):
+    """The rows of a unit whose signature is near to that of a facing row: never more than came in."""
+    def unit(key, side, comp, cls, minima):
+        side, comp = np.array(side), np.array(comp)
+        m = np.frombuffer(b"".join(minima), np.uint32).reshape(-1, MINIMA)
+        good = np.zeros(len(side), bool)
+        for i in np.flatnonzero(side == 0):
+            far = np.flatnonzero(_facing(side, comp, i))
+            near = far[(m[far] == m[i]).mean(axis=1) >= share]
+            good[near] = True
+            good[i] |= len(near) > 0
+        n = int(good.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array(side[good], pa.int32()),
+             pa.array(comp[good]), pa.array(np.array(cls)[good])], ["bucket", "x", "y", "side", "comp", "cls"])
+    return _by_unit(unit)
+
+
+def _linked_rows(percent: int):
+    """Links of a unit by the full sets: for each row one to every facing component that holds a similar row."""
+    def unit(key, side, comp, cls, shingles):
+        side, comp, cls = np.array(side), np.array(comp), np.array(cls)
+        sets = [np.frombuffer(x, np.uint64) for x in shingles]
+        sizes = np.array([len(x) for x in sets])
+        known, where = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(known), np.int64)
+        us, vs = [], []
+        for i in np.flatnonzero(side == 0):
+            mine = where[first[i]: first[i] + sizes[i]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[where], first)
+            mark[mine] = 0
+            near = np.flatnonzero(_facing(side, comp, i) & (100 * both >= percent * (sizes + sizes[i] - both)))
+            one = near[np.unique(comp[near], return_index=True)[1]]
+            us += [cls[i]] * len(one)
+            vs += cls[one].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+    return _by_unit(unit)
+
+
+def _likely(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
+    """Those of ``pairs`` whose signatures agree often enough."""
+    a = sigs.select(F.col("cls").alias("u"), F.col("minima").alias("a"))
+    b = sigs.select(F.col("cls").alias("v"), F.col("minima").alias("b"))
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_agreeing(share), "u bigint, v bigint")
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    # One document of each class; texts are hashed again, for these alone.
-    owners = sigs.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id").distinct()
+def _full_sets(nodes: DataFrame, ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The full shingle sets of some classes (column cls).  One document of each is hashed again, no other."""
+    owners = ids.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id").distinct()
     texts = docs.join(owners, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = keep(texts.mapInArrow(_sets, "cls bigint, shingles binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
+    return keep(texts.mapInArrow(_sets, "cls bigint, shingles binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
+
+
+def _verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose full sets are similar enough."""
+    sets = _full_sets(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), ids, docs, name)
     a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b")
     return keep(both.mapInArrow(_similar(percent), "u bigint, v bigint").distinct(), name)
 
 
+def _sorted_units(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+
 def _rest(buckets: DataFrame, found: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
-    """Candidate pairs of buckets that hold several components after the first links."""
-    comp = F.coalesce("root", "cls").alias("comp")
-    rows = buckets.join(found, buckets.cls == found.node, "left").select("band", "cls", comp)
-    rows = keep(rows, "bucket-rows")
-    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts"))
-    open_ = open_.where("parts > 1").select("band", F.col("top.comp").alias("top"), F.col("top.n").alias("n_top"),
-                                            (F.col("all") - F.col("top.n")).alias("n_rest"))
-    rows = rows.join(open_, "band")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    in_top = F.col("comp") == F.col("top")
-    # The largest component of a bucket is not compared with itself: its blocks (1, j) meet the others' blocks (0, i).
-    rows = rows.withColumn("k", F.when(in_top, F.pmod(F.xxhash64("cls"), blocks("n_top"))).otherwise(F.pmod(F.xxhash64("cls"), blocks("n_rest"))).cast("int"))
-    top = rows.where(in_top).select("*", F.explode(F.sequence(F.lit(0), (blocks("n_rest") - 1).cast("int"))).alias("i"))
-    rest = rows.where(~in_top)
-    with_top = rest.select("*", F.explode(F.sequence(F.lit(0), (blocks("n_top") - 1).cast("int"))).alias("j"))
-    within = rest.select("*", F.explode(F.sequence(F.lit(0), (blocks("n_rest") - 1).cast("int"))).alias("o"))
-    units = top.select("band", F.col("i").alias("x"), (-1 - F.col("k")).alias("y"), F.lit(1).alias("side"), "comp", "cls").union(
-        with_top.select("band", F.col("k").alias("x"), (-1 - F.col("j")).alias("y"), F.lit(0).alias("side"), "comp", "cls")).union(
-        within.select("band", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), (F.col("k") > F.col("o")).cast("int").alias("side"), "comp", "cls"))
-    units = units.join(sigs.select("cls", "minima"), "cls").select("band", "x", "y", "side", "comp", "cls", "minima")
-    units = units.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    pairs = units.mapInArrow(_across(share), "u bigint, v bigint")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    """Rows of buckets with several components, in units, that may be similar to a row of another component."""
+    rows = buckets.join(found, buckets.cls == found.node, "left").select("bucket", F.coalesce("root", "cls").alias("comp"), "cls")
+    units = blocks_across(keep(rows, "bucket-rows"), UNIT).join(sigs, "cls").select("bucket", "x", "y", "side", "comp", "cls", "minima")
+    fields = "bucket bigint, x int, y int, side int, comp bigint, cls bigint"
+    return keep(_sorted_units(units).mapInArrow(_open_rows(share), fields), "rest")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -207,19 +235,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets with more than one class; copies are one class, so they open no bucket.
     stars = rows.groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last")).where("u != last")
     buckets = keep(rows.join(stars.select("band", "u"), "band").distinct(), "buckets")
-    pairs = buckets.where("cls != u").select("u", F.col("cls").alias("v")).distinct()
+    stars = buckets.where("cls != u").select("u", F.col("cls").alias("v")).distinct()
     nodes = buckets.select("cls").distinct()
     sigs = keep(signed.select("cls", "minima").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "signatures")
     ids = signed.select("cls", "doc_id")
-    a = sigs.select(F.col("cls").alias("u"), F.col("minima").alias("a"))
-    b = sigs.select(F.col("cls").alias("v"), F.col("minima").alias("b"))
-    likely = keep(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_agreeing(share), "u bigint, v bigint"), "likely")
-    links = _verified(likely, ids, docs, percent, "links")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        return _verified(keep(_likely(pairs, sigs, share), f"{name}-likely"), ids, docs, percent, name)
+
+    # One star per class first: large groups hang together after it, and most of their other stars need no look.
+    first = linked(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
+    links = first.union(linked(apart(stars, first), "stars"))
     found = components(links)
-    more = keep(_rest(buckets.select("band", "cls"), found, sigs, share).join(likely, ["u", "v"], "left_anti"), "rest")
-    if not more.isEmpty():
-        links = links.union(_verified(more, ids, docs, percent, "more-links"))
-        found = components(links)
+    rest = _rest(buckets.select(F.col("band").alias("bucket"), "cls"), found, sigs, share)
+    if not rest.isEmpty():
+        units = rest.join(_full_sets(rest.select("cls").distinct(), ids, docs, "rest"), "cls")
+        units = _sorted_units(units.select("bucket", "x", "y", "side", "comp", "cls", "shingles"))
+        found = components(links.union(keep(units.mapInArrow(_linked_rows(percent), "u bigint, v bigint").distinct(), "more")))
     return _labelled(signed, found)
 
 
