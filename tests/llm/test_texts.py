@@ -14,7 +14,7 @@ from corpus import CLASHING, LOWER, documents, odd_rows, sentence
 
 from tidalspan.llm.decontaminate import contamination
 from tidalspan.llm.language_id import SEGMENT, Folding, automaton, build, fold, identify, phrases, train
-from tidalspan.llm.quality import Discriminant, fit, score_quality, scores, statistics
+from tidalspan.llm.quality import Discriminant, describe, fit, score_quality, scores, statistics
 from tidalspan.llm.secrets import ACCESS, ASSIGN, HEX, secret_scan
 
 SF = "/root/testdata/sf0.01"
@@ -117,14 +117,19 @@ def test_statistics_and_density():
 
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = fit(docs, labels.union(spark.createDataFrame([(None, 1, 0), (10**9, None, 0)], labels.schema)))
-    out = score_quality(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").collect()
+    described = describe(docs)
+    assert described.columns == ["doc_id", "lang", "source", "n_chars", "statistics"]
+    model = fit(described, labels.union(spark.createDataFrame([(None, 1, 0), (10**9, None, 0)], labels.schema)))
+    out = score_quality(described, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").collect()
     assert sum(r.predicted == r.quality for r in out) / len(out) > 0.95
-    odd = score_quality(documents(spark, odd_rows()), model).collect()
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
-    empty = fit(documents(spark, []), spark.createDataFrame([], "doc_id bigint, quality int"))
-    assert score_quality(documents(spark, odd_rows()), empty).count() == len(odd_rows())
-    assert score_quality(documents(spark, []), empty).count() == 0
+    odd = score_quality(describe(documents(spark, odd_rows())), model)
+    assert sorted(odd.columns) == sorted({"doc_id", "lang", "source", "n_chars", "score", "predicted", *CLASHING})
+    odd = odd.collect()
+    assert len(odd) == len(odd_rows()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
+    none = describe(documents(spark, []))
+    empty = fit(none, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert score_quality(describe(documents(spark, odd_rows())), empty).count() == len(odd_rows())
+    assert score_quality(none, empty).count() == 0
 
 
 def brute_base(text):

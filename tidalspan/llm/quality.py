@@ -70,12 +70,35 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, and its ``statistics``: the only thing that is ever moved or kept of it.
+
+    A column of that name is replaced.
+    """
+    docs = docs.drop("statistics")
+    position = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            x = pa.FixedSizeListArray.from_arrays(pa.array(statistics(batch.column(position)).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
+            columns, names = list(batch.columns), list(batch.schema.names)
+            del columns[position], names[position]
+            yield pa.RecordBatch.from_arrays([*columns, x], [*names, "statistics"])
+
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col] + ["statistics array<double>"])
+    return docs.mapInArrow(run, fields)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
 def _moments(batches):
     """Per class the sums of a partition: rows, vectors and products of vectors."""
     wide = len(FEATURES)
     sums = np.zeros((2, 1 + wide + wide * wide))
     for batch in batches:
-        x = statistics(batch.column(1))
+        x = _vectors(batch.column(1))
         label = batch.column(0).to_numpy(zero_copy_only=False).astype(int)
         for k in (0, 1):
             y = x[label == k]
@@ -88,15 +111,15 @@ def is_held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
-    """Class means and shrunk covariances of all labelled documents that are not held out.
+def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
+    """Class means and shrunk covariances of all labelled documents (see ``describe``) that are not held out.
 
     Labels other than 0 and 1 and rows without an id teach nothing.  A class without rows takes the other's covariance
     at the mean of all zeros, so that scores stay defined.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(~is_held_out("id")).distinct()
-    rows = known.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id").select("label", "text")
+    rows = known.join(described.select(F.col(id_col).alias("id"), "statistics"), "id").select("label", "statistics")
     sums = rows.mapInArrow(_moments, "label int, sums array<double>").select("label", F.posexplode("sums").alias("i", "x"))
     wide = len(FEATURES)
     total = np.zeros((2, 1 + wide + wide * wide))
@@ -120,20 +143,22 @@ def scores(model: Discriminant, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def score_quality(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.3).
+def score_quality(described: DataFrame, model: Discriminant) -> DataFrame:
+    """All rows of ``described`` without the statistics, with score and predicted.
 
-    A null or empty text is scored by the statistics of nothing.  Columns of ``docs`` of those names are replaced.
-    Repeated rows get equal results; an empty table stays empty.
+    The score is 0 to 1, higher if label 1 is likelier; predicted is 1 if it is 0.3 or more.  A null or empty text is
+    scored by the statistics of nothing.  Columns of those names are replaced.  Repeated rows get equal results; an
+    empty table stays empty.
     """
-    docs = docs.drop("score", "predicted")
-    position, parts = docs.columns.index(text_col), tuple(model)
+    described = described.drop("score", "predicted")
+    position, parts = described.columns.index("statistics"), tuple(model)
 
     def run(batches):
         for batch in batches:
-            p = scores(Discriminant(*parts), statistics(batch.column(position)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= CUT).astype(np.int32))],
-                                             [*batch.schema.names, "score", "predicted"])
+            p = scores(Discriminant(*parts), _vectors(batch.column(position)))
+            columns, names = list(batch.columns), list(batch.schema.names)
+            del columns[position], names[position]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= CUT).astype(np.int32))], [*names, "score", "predicted"])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score double", "predicted int"])
-    return docs.mapInArrow(run, fields)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in described.schema.fields if f.name != "statistics"]
+    return described.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))

@@ -11,10 +11,11 @@ from tidalspan.llm.language_id import identify, is_held_out, train
 from tidalspan.llm.line_dedup import fuzzy_line_dedup
 from tidalspan.llm.mixing import mix_sources
 from tidalspan.llm.near_dedup import near_duplicates
-from tidalspan.llm.quality import fit, score_quality
+from tidalspan.llm.quality import describe, fit, score_quality
 from tidalspan.llm.quality import is_held_out as quality_held_out
 from tidalspan.llm.secrets import secret_scan
 from tidalspan.llm.sharding import shuffle_into_shards
+from tidalspan.llm.store import keep
 from tidalspan.llm.warc import read_archives, write_archives
 
 
@@ -55,9 +56,9 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    model = fit(docs, _table(spark, folder, "labels"))
-    return score_quality(docs, model).select("doc_id", quality_held_out("doc_id").alias("held_out"), "score", "predicted")
+    described = keep(describe(_table(spark, folder, "documents").select("doc_id", "text")), "described")
+    model = fit(described, _table(spark, folder, "labels"))
+    return score_quality(described, model).select("doc_id", quality_held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
