@@ -11,66 +11,42 @@ from ..functions.scalars import ratio
 from ..schema import KEY, LAYOUT, PREPARED, signals
 from .layout import framed, prepare
 
-# A row d rows away is 1 away in rn / d.  The slack finds it for every d below 5 million rows.
-MAX_WIDTH = 5_000_000
-_AHEAD = "RANGE BETWEEN 0.9999999D FOLLOWING AND 1.0000001D FOLLOWING"
-_BEHIND = "RANGE BETWEEN 1.0000001D PRECEDING AND 0.9999999D PRECEDING"
-# A centred frame of k rows is a RANGE frame on rn / k.
-_CENTRED = "RANGE BETWEEN 0.4999999D PRECEDING AND 0.5000001D FOLLOWING"
-
-
-def _row(part: list[str], index: str) -> str:
-    """Position; in a block it counts from the block's start, so that it stays small."""
-    return "(_offset + (_home - _block) * _length)" if "_block" in part else index
-
-
-def rolling(df: DataFrame, columns: Sequence[str], k: str, align: str = "center", index: str = "rn") -> DataFrame:
-    """Add ``<column>_roll``: a mean over ``k`` rows, ``k`` a per-test column.
-
-    Centred frames hold ``(k - 1) div 2`` rows before and ``k div 2`` after; with ``align="right"`` all are before.
-    A value is null unless the frame holds ``k`` non-null values.  Means are differences of running sums, so the
-    cost does not grow with ``k``.
+# A frame of k rows is a RANGE frame on rn / k.  The slack separates "just inside"
+# from "just outside" for every k below 5 million rows.
+_FRAMES = {
+    "center": "RANGE BETWEEN 0.4999999D PRECEDING AND 0.5000001D FOLLOWING",
+    "right": "RANGE BETWEEN 0.9999999D PRECEDING AND CURRENT ROW",
+}
+
+
+def rolling(
+    df: DataFrame,
+    columns: Sequence[str],
+    k: str,
+    align: str = "center",
+    functions: dict[str, str] | None = None,
+    index: str = "rn",
+) -> DataFrame:
+    """Add ``<column><suffix>``: a mean over ``k`` rows (suffix ``_roll``), ``k`` a per-test column.
+
+    ``functions`` maps other suffixes to other SQL aggregates over the same frame.
+
+    Centred frames hold ``(k - 1) div 2`` rows before and ``k div 2`` after.  A value
+    is null unless the frame holds ``k`` non-null values.
     """
-    ahead, behind = (f"({k} div 2)", f"(({k} - 1) div 2 + 1)") if align == "center" else ("0", k)
-
-    def sums(part: list[str]) -> dict[str, Column]:
-        over = f"OVER (PARTITION BY {', '.join(part)} ORDER BY {_row(part, index)} ROWS UNBOUNDED PRECEDING)"
-        # Centred on the first value: sums of differences stay small.
-        first = {c: f"first({c}, true) OVER (PARTITION BY {', '.join(part)} ORDER BY {_row(part, index)} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-                 for c in columns}
-        return {f"_base_{c}": F.expr(first[c]) for c in columns} | {f"_count_{c}": F.expr(f"count({c}) {over}") for c in columns}
-
-    def totals(part: list[str]) -> dict[str, Column]:
-        over = f"OVER (PARTITION BY {', '.join(part)} ORDER BY {_row(part, index)} ROWS UNBOUNDED PRECEDING)"
-        return {f"_sum_{c}": F.expr(f"coalesce(sum({c} - _base_{c}) {over}, 0D)") for c in columns}
-
-    def means(part: list[str]) -> dict[str, Column]:
-        def at(c: str, distance: str, frame: str) -> str:
-            return f"last({c}) OVER (PARTITION BY {', '.join(part)} ORDER BY CAST({_row(part, index)} AS DOUBLE) / greatest({distance}, 1) {frame})"
-
-        out = {}
-        for c in columns:
-            ends = {}
-            for v in (f"_sum_{c}", f"_count_{c}"):
-                last = v if ahead == "0" else f"CASE WHEN {ahead} = 0 THEN {v} ELSE {at(v, ahead, _AHEAD)} END"
-                ends[v] = f"({last}) - (CASE WHEN {index} = {behind} THEN 0 ELSE {at(v, behind, _BEHIND)} END)"
-            wide = f"CASE WHEN {k} > {MAX_WIDTH} THEN raise_error('a rolling width above {MAX_WIDTH} rows') END"
-            out[c + "_roll"] = F.expr(f"coalesce({wide}, CASE WHEN {ends[f'_count_{c}']} = {k} THEN _base_{c} + ({ends[f'_sum_{c}']}) / {k} END)")
-        return out
-
-    rolled = framed(df, [sums, totals, means], F.col(k) + 1, index)
-    return rolled.drop(*[f"_{what}_{c}" for c in columns for what in ("base", "count", "sum")])
-
-
-def _spread(df: DataFrame, column: str, k: str) -> DataFrame:
-    """Add mean and standard deviation over a centred frame of ``k`` rows, a small number; null unless it is full."""
 
     def build(part: list[str]) -> dict[str, Column]:
-        over = f"OVER (PARTITION BY {', '.join(part)} ORDER BY CAST({_row(part, 'rn')} AS DOUBLE) / {k} {_CENTRED})"
-        return {f"{column}_{name}": F.expr(f"CASE WHEN count({column}) {over} = {k} THEN {function}({column}) {over} END")
-                for name, function in (("mean", "avg"), ("sd", "stddev_samp"))}
+        # In a block, count from its start so that the position stays small.
+        row = "(_offset + (_home - _block) * _length)" if "_block" in part else index
+        order = f"CAST({row} AS DOUBLE) / {k}"
+        over = f"OVER (PARTITION BY {', '.join(part)} ORDER BY {order} {_FRAMES[align]})"
+        return {
+            c + suffix: F.expr(f"CASE WHEN count({c}) {over} = {k} THEN {function}({c}) {over} END")
+            for c in columns
+            for suffix, function in (functions or {"_roll": "avg"}).items()
+        }
 
-    return framed(df, build, F.col(k))
+    return framed(df, build, F.col(k), index)
 
 
 def average_rolling(breaths: DataFrame, window: float = 30.0) -> DataFrame:
@@ -107,7 +83,7 @@ def outlier_scores(breaths: DataFrame, rule: str = "quality") -> DataFrame:
     else:
         raise ValueError(f"unknown rule: {rule}")
     df = df.withColumn("_k", width.cast("bigint"))
-    df = _spread(df, "vo2_ml", "_k")
+    df = rolling(df, ["vo2_ml"], "_k", functions={"_mean": "avg", "_sd": "stddev_samp"})
     z = F.abs(F.col("vo2_ml") - F.col("vo2_ml_mean")) / F.nullif(F.col("vo2_ml_sd"), F.lit(0.0))
     return df.withColumn("z", F.when(n >= 10, z)).drop("_k", "vo2_ml_mean", "vo2_ml_sd")
 
