@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from corpus import CLASHING, documents, odd_rows, sentence
 
-from tidalspan.llm.mixing import mix_sources, period, schedule
+from tidalspan.llm.mixing import mix_sources, period, places_of, schedule, shares_of
 from tidalspan.llm.sharding import hypergeometric, matrix, piece_sizes, shuffle_into_shards
 
 
@@ -71,6 +71,36 @@ def test_schedule_goes_on_when_sources_run_out():
     assert plan[3] == []
 
 
+@pytest.mark.parametrize("weights, blocks", [
+    ([1 / 3] + [2 / 57] * 19, [20_000] + [2000] * 19),  # thousandths are 14 blocks off
+    ([math.sqrt(n) for n in (90_000, 30_011, 7, 1234)], [5625, 1876, 1, 78]),
+    ([1 / 3] + [2 / 9000] * 3000, [3000] + [3] * 3000),  # more sources than thousandths
+])
+def test_schedule_keeps_to_the_weights_themselves(weights, blocks):
+    plan = schedule(dict(enumerate(blocks)), dict(enumerate(shares_of(weights))))
+    at = sorted((slot, phase, s, release, deadline) for s, _, phase, release, deadline, slot in places_of(plan))
+    assert [a[0] for a in at] == list(range(sum(blocks))) and all(r <= t < d for t, _, _, r, d in at)
+    live, done, phase, start = set(range(len(blocks))), Counter(), 0, 0
+    placed = Counter()
+    for t, p, s, *_ in at:
+        if p != phase:
+            live, phase, start = {x for x in live if placed[x] < blocks[x]}, p, t
+            done = Counter()
+        done[s] += 1
+        placed[s] += 1
+        if t % 50 == 0 or t < 1000:
+            total = sum(weights[x] for x in live)
+            assert all(abs(done[x] - (t + 1 - start) * weights[x] / total) < 1 + 1e-9 for x in live)
+    assert placed == Counter(dict(enumerate(blocks)))
+
+
+def test_mixture_keeps_to_the_weights_themselves(spark):
+    weights = {"a": 1.0, "b": 1999.0}  # thousandths give each of them 1 and 1000
+    df = spark.range(4001).selectExpr("id as doc_id", "if(id % 2000 = 0, 'a', 'b') as source", "'' as text")
+    slots = [r.slot for r in mix_sources(df, weights, block_rows=1).where("source = 'a'").orderBy("slot").collect()]
+    assert len(slots) == 3 and all(2000 * q <= t < 2000 * (q + 1) for q, t in enumerate(slots))
+
+
 def test_mixture(spark):
     rows = [(i, sentence(i, 3), None, "big") for i in range(300)] + [(1000 + i, "x", None, f"s{i % 3}") for i in range(90)] + odd_rows()
     df = documents(spark, rows)
