@@ -93,5 +93,28 @@ def test_lines_match_brute_force(spark):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def test_lines_with_one_edit_are_found(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for n in range(25, 71):  # one replaced, added or lost letter anywhere, so at edit distance 1
+        line = "".join(rng.choice(letters) for _ in range(n))
+        at, kind = rng.randrange(n), n % 3
+        edited = line[:at] + ["#", "#" + line[at], ""][kind] + line[at + 1:]
+        rows += [(n, line), (100 + n, edited)]
+    rows.append((500, "\n".join("".join(rng.choice(letters) for _ in range(n)) for n in range(25, 71))))  # nothing like them
+    by = {r.doc_id: r for r in fuzzy_line_dedup(documents(spark, rows)).collect()}
+    assert all(by[n].dropped == [] and by[100 + n].dropped == [0] for n in range(25, 71))
+    assert by[500].dropped == []
+
+
+def test_long_lines_of_the_same_few_letters_stay(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("etaoin shr") for _ in range(12_000))) for i in range(4)]
+    assert all(r.dropped == [] for r in fuzzy_line_dedup(documents(spark, rows)).collect())
+    rulers = fuzzy_line_dedup(documents(spark, [(1, "-" * 40), (2, "-" * 400)])).collect()
+    assert sorted((r.doc_id, r.dropped) for r in rulers) == [(1, []), (2, [0])]
+
+
 def test_lines_of_nothing(spark):
     assert fuzzy_line_dedup(documents(spark, [])).count() == 0
