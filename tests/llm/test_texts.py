@@ -98,6 +98,17 @@ def test_languages(spark):
     assert identify(documents(spark, []), known).count() == 0
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    licence = "permission is hereby granted free of charge to any person obtaining a copy of this software " * 14
+    bodies = {"en": "the house and the tree of the river are old ", "fr": "la maison et le bois de la rivière sont vieux ", "es": "la casa y el bosque del río son viejos "}
+    rows = [(1000 * k + i, (licence if lang != "es" else "12345 | " * 200) + f"{body}" * 200, lang) for k, (lang, body) in enumerate(bodies.items()) for i in range(60)]
+    asked = documents(spark, [(1, "le bois et la rivière sont vieux"), (2, "the tree and the river are old"), (3, "el bosque y la casa son viejos")])
+    got = {r.doc_id: r.lang_pred for r in identify(asked, train(documents(spark, rows))).collect()}
+    assert got == {1: "fr", 2: "en", 3: "es"}
+    few = train(documents(spark, rows), sample_docs=2, sample_letters=10)
+    assert few.languages == ["en", "es", "fr"] and len(few.table) < 3 * 2 * 23 * (len(few.letters) + 2)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = identify(docs, train(docs)).where("crc32(cast(doc_id as string)) % 4 = 2").collect()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT, SLICE = 1024, 1 << 21
-#: Bound of the sample that the automata are made of: documents per language, and letters of each.
+#: Bound of the sample that the automata are made of: documents per language, and letters of one piece of each.
 SAMPLE_DOCS, SAMPLE_LETTERS = 100, 300
 UNKNOWN = "und"
 
@@ -65,7 +65,7 @@ def fold(text: str) -> str:
 
 def build(texts: dict[str, list[str]]) -> Model:
     """Automata of some texts per language; only letters count."""
-    folded = {k: " ".join(" ".join(fold(t)[:SAMPLE_LETTERS].split()) for t in sorted(v)) for k, v in sorted(texts.items())}
+    folded = {k: " ".join(" ".join(fold(t).split()) for t in sorted(v)) for k, v in sorted(texts.items())}
     folded = {k: v for k, v in folded.items() if v.strip()}
     letters = "".join(sorted({c for v in folded.values() for c in v} - {" "}))
     symbol = {" ": 0} | {c: i + 1 for i, c in enumerate(letters)}
@@ -169,20 +169,26 @@ def is_held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Automata from at most ``SAMPLE_DOCS`` labelled documents per language that are not held out.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS) -> Model:
+    """Automata from a piece of at most ``sample_docs`` labelled documents per language that are not held out.
 
-    The sample is drawn by the hash of the id over all documents.  Rows without id, label or text teach nothing.
+    The sample is drawn by the hash of the id over all documents.  A piece is ``sample_letters`` long, not counting what
+    is no letter but one space between words, and begins anywhere in its text, also by the hash of the id.  Rows without
+    id, label or any letter teach nothing.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out("id"))
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 33) / float(1 << 31)
-    share = {r.lang: 3 * SAMPLE_DOCS / r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    draw, place = (F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 33) / float(1 << 31) for i in (5, 6))
+    share = {r.lang: 3 * sample_docs / r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not share:
         return build({})
     limit = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    drawn = rows.where(draw < limit).where("text is not null").select("lang", draw.alias("draw"), "id", F.substring("text", 1, 4 * SAMPLE_LETTERS).alias("text"))
-    taken = drawn.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "id", "text"))), 1, SAMPLE_DOCS).alias("rows"))
+    words = F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))
+    drawn = rows.where(draw < limit).select("lang", draw.alias("draw"), "id", words.alias("words")).where("words != ''")
+    begin = F.floor(place * (F.greatest(F.length("words") - sample_letters, F.lit(0)) + 1)).cast("int") + 1
+    drawn = drawn.select("lang", "draw", "id", F.substring("words", begin, F.lit(sample_letters)).alias("text"))
+    taken = drawn.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "id", "text"))), 1, sample_docs).alias("rows"))
     return build({r.lang: [x.text for x in r.rows] for r in taken.collect()})
 
 
