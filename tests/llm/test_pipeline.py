@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pytest
 from check_oracle import compare, connect
 from corpus import documents, odd_rows
 
 import corpus_pipeline
+from tidalspan.llm import queries
 from tidalspan.llm.oracle import ORACLE
 from tidalspan.llm.queries import QUERIES
+from tidalspan.llm.sharding import shuffle_into_shards
 from tests.llm.test_texts import brute_contamination
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +32,15 @@ def test_one_query_per_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
 
 
+def test_sharding_moves_the_texts(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(queries, "shuffle_into_shards", lambda df: given.append(df.columns) or shuffle_into_shards(df))
+    out = {r.doc_id: (r["size"], r.text_crc32) for r in QUERIES["op2_sharding"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert given == [docs.columns]
+    assert out == {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

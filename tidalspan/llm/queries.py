@@ -29,12 +29,14 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """A null text has no bytes: size 1, CRC 0."""
-    digest = _table(spark, folder, "documents").select(
+    """Whole documents are sharded and written; the digest is that of the texts as they arrived.
+
+    A null text has no bytes: size 1, CRC 0.
+    """
+    return keep(shuffle_into_shards(_table(spark, folder, "documents")), "shards").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"))
-    return shuffle_into_shards(digest).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                                              F.lit(None).cast("int").alias("grown_shard"))
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
