@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidalspan.llm.alignment import cross_tokenizer_alignment
 from tidalspan.llm.ann import search
 from tidalspan.llm.decontaminate import contamination
 from tidalspan.llm.language_id import identify, is_held_out, train
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents").select("doc_id", "source"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_tokenizer_alignment(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -88,4 +93,5 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op12_alignment": op12_alignment,
 }
