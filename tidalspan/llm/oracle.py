@@ -69,7 +69,22 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n < 1000
   CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM q
 """
 
+OP13 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, e.vec_id AS v, a.label = e.label AS same, CAST(list_inner_product(a.q::DOUBLE[], e.q::DOUBLE[]) AS BIGINT) AS s
+  FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, v) <= 5),
+n AS (
+  SELECT p.a, p.v AS p, s.v AS n, p.s AS ps, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.v ORDER BY s.s DESC, s.v) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
+"""
+
 ORACLE = {
+    "op13_hard_negatives": OP13,
     "op9_warc": OP9,
     "op4_decontamination": OP4,
     "op10_mixing": OP10,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidalspan.llm.alignment import cross_tokenizer_alignment
 from tidalspan.llm.ann import search
 from tidalspan.llm.decontaminate import contamination
+from tidalspan.llm.hard_negatives import mine_hard_negatives
 from tidalspan.llm.language_id import identify, is_held_out, train
 from tidalspan.llm.line_dedup import fuzzy_line_dedup
 from tidalspan.llm.mixing import mix_sources
@@ -65,7 +66,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(_table(spark, folder, "documents"))
+    return near_duplicates(_table(spark, folder, "documents")).drop("text_xxh", "group")
 
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +83,11 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return cross_tokenizer_alignment(_table(spark, folder, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, relabelled)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -94,4 +100,5 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
