@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +97,12 @@ class Tokenizers:
         return np.array(a, np.int64), np.array(b, np.int64)
 
 
-@lru_cache(maxsize=1)
-def _loaded(file_a: bytes, file_b: bytes) -> Tokenizers:
-    return Tokenizers(file_a, file_b)
+def _loaded(shared) -> Tokenizers:
+    """What the broadcast [file of A, file of B, None] holds, made once in a worker and kept in the third place."""
+    held = shared.value
+    if held[2] is None:
+        held[2] = Tokenizers(*held[:2])
+    return held[2]
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def _aligned(files, piece: int):
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _loaded(*files.value)
+        t = _loaded(files)
         for batch in batches:
             rows, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -228,7 +230,7 @@ def align_tokens(docs: DataFrame, files: tuple[bytes, bytes], id_col: str = "doc
     ``docs`` are not looked at; an empty table gives an empty one.  Texts are encoded whole, one after the other.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_aligned(docs.sparkSession.sparkContext.broadcast(files), piece), ALIGNED)
+    return docs.mapInArrow(_aligned(docs.sparkSession.sparkContext.broadcast([*files, None]), piece), ALIGNED)
 
 
 def count_links(aligned: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
@@ -238,7 +240,7 @@ def count_links(aligned: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
     pair with the same B id, ties included; count_sum: the counts of all its links.  0 for rows without links.  What
     comes to the driver and is broadcast has one number for each pair that the vocabularies allow.
     """
-    t = _loaded(*files)
+    t = Tokenizers(*files)
     size = len(t.pairs)
     by_pair = aligned.select("pairs", "times").mapInArrow(_counted(size), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     found = by_pair.toArrow()

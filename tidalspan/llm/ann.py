@@ -152,23 +152,26 @@ def calibrate(tree: Tree, queries: list[tuple[int, bytes]], near: list, recall:
     return visits[min(len(visits) - 1, int(np.ceil(recall * len(visits))) - 1)] if visits else 1
 
 
+_NEAR = "query bigint, query_id bigint, vec_id bigint, d double"
+
+
 def _search(dims: int, k: int):
-    """Sorted units of (leaf, chunk): first the rows of the index, at most a chunk, then the queries one by one."""
+    """Sorted units of (leaf, chunk): first the rows of the index, at most a chunk, then the queries (with a number) one by one."""
     def run(batches):
         unit, ids, vectors, x = None, [], [], None
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for leaf, chunk, asked, i, v in zip(*(batch.column(n).to_pylist() for n in range(5))):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for leaf, chunk, query, i, v in zip(*(batch.column(n).to_pylist() for n in range(5))):
                 if (leaf, chunk) != unit:
                     unit, ids, vectors, x = (leaf, chunk), [], [], None
-                if not asked:
+                if query is None:
                     ids.append(i), vectors.append(v)
                 elif ids:
                     if x is None:
                         x = np.frombuffer(b"".join(vectors), np.float64).reshape(-1, dims)
                     got, d = nearest(np.frombuffer(v, np.float64), i, np.array(ids), x, k)
-                    out[0].extend([i] * len(got)), out[1].extend(got.tolist()), out[2].extend(d.tolist())
-            yield _batch(out[0], out[1], [0] * len(out[0]), out[2])
+                    out[0].extend([query] * len(got)), out[1].extend([i] * len(got)), out[2].extend(got.tolist()), out[3].extend(d.tolist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64())], ["query", "query_id", "vec_id", "d"])
     return run
 
 
@@ -177,8 +180,9 @@ def search(rows: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_
 
     ``is_query`` is a condition on ``vec_id``.  Rows whose id is null, or whose vector is null, empty, zero or holds
     null or non-finite numbers take no part, nor do vectors of another length than most have.  Rows under the query's
-    id are its own and no candidates; other repeated ids are candidates like any.  A query gets all candidates if there
-    are at most ``k``.  An empty table gives an empty result.
+    id are its own and no candidates; other repeated ids are candidates like any.  Queries of one id with different
+    vectors are answered one by one, each with its own ranks; a query repeated as it is, once.  A query gets all
+    candidates if there are at most ``k``.  An empty table gives an empty result.
     """
     spark = rows.sparkSession
     rows = _usable(rows, id_col, vector_col)
@@ -207,8 +211,8 @@ def search(rows: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_
     def visit(batches):
         tree = Tree(*shared.value)
         for batch in batches:
-            ids, vectors, leaves, pieces = [], [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, vectors, leaves, pieces, numbers = [], [], [], [], []
+            for i, v, number in zip(*(batch.column(n).to_pylist() for n in range(3))):
                 seen = 0
                 for n, leaf in enumerate(best_bins(tree, np.frombuffer(v, np.float64))):
                     if n >= visits and seen > 2 * k:
@@ -216,15 +220,15 @@ def search(rows: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_
                     here = counts.get(leaf, 0)
                     seen += here
                     for c in range(-(-here // CHUNK)):
-                        ids.append(i), vectors.append(v), leaves.append(leaf), pieces.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(pieces, pa.int32()), pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())],
-                                             ["leaf", "chunk", "vec_id", "v"])
+                        ids.append(i), vectors.append(v), leaves.append(leaf), pieces.append(c), numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(pieces, pa.int32()), pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()),
+                                              pa.array(vectors, pa.binary())], ["leaf", "chunk", "query", "vec_id", "v"])
 
     chunks = F.element_at(F.lit([-(-counts.get(n, 1) // CHUNK) for n in range(max(counts) + 1)]), F.col("leaf") + 1)
-    stored = index.select("leaf", F.pmod(F.xxhash64("vec_id", "v"), chunks).cast("int").alias("chunk"), F.lit(0).alias("asked"), "vec_id", "v")
-    queries = packed.where(is_query).mapInArrow(visit, "leaf int, chunk int, vec_id bigint, v binary")
-    units = stored.union(queries.select("leaf", "chunk", F.lit(1).alias("asked"), "vec_id", "v"))
-    units = units.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "asked")
-    best = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    near = units.mapInArrow(_search(dims, k), _FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    stored = index.select("leaf", F.pmod(F.xxhash64("vec_id", "v"), chunks).cast("int").alias("chunk"), F.lit(None).cast("bigint").alias("query"), "vec_id", "v")
+    queries = packed.where(is_query).distinct().withColumn("query", F.xxhash64("vec_id", "v"))
+    queries = queries.mapInArrow(visit, "leaf int, chunk int, query bigint, vec_id bigint, v binary")
+    units = stored.union(queries).repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", F.asc_nulls_first("query"))
+    best = Window.partitionBy("query_id", "query").orderBy("d", "vec_id")
+    near = units.mapInArrow(_search(dims, k), _NEAR).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d").alias("score"))

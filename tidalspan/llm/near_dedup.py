@@ -82,9 +82,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = (m.astype(np.uint64).reshape(BANDS, ROWS) + np.uint64(1)) * _MIXERS
             bands.append(mix(rows.sum(axis=1, dtype=np.uint64) + _SALT).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(minima, pa.binary()),
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(minima, pa.binary()),
              pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "cls", "minima", "bands"])
+            ["doc_id", "text_xxh", "n_shingles", "cls", "minima", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +221,18 @@ def _rest(buckets: DataFrame, found: DataFrame, sigs: DataFrame, share: float) -
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id).
+    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id),
+    text_xxh (xxhash64 of the text), group (a number for each set of linked rows, whatever their ids; null without words).
 
     One row per input row.  A text that is null or has no words has an empty set: it is linked with nothing, is its own
     component and kept.  Repeated rows get equal results.  A null id takes part in links but is no component's name
-    unless all ids there are null; its row is kept only then.  Other columns of ``docs`` are not looked at, whatever
+    unless all ids there are null; its row is kept only then.  Unrelated texts under one id are different groups with the
+    same component_id; text_xxh and group tell them apart.  Other columns of ``docs`` are not looked at, whatever
     their names.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = keep(docs.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, cls bigint, minima binary, bands array<bigint>"), "signed")
+    texts = docs.withColumn("text_xxh", F.xxhash64("text"))
+    signed = keep(texts.mapInArrow(_signed, "doc_id bigint, text_xxh bigint, n_shingles bigint, cls bigint, minima binary, bands array<bigint>"), "signed")
     share = percent / 100 - SLACK
     rows = signed.where("cls is not null").select("cls", F.explode("bands").alias("band"))
     # Buckets with more than one class; copies are one class, so they open no bucket.
@@ -257,11 +260,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _labelled(signed: DataFrame, found: DataFrame) -> DataFrame:
     """Every row with the smallest id of its component."""
-    named = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = named.join(found, named.cls == found.node, "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(names, "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
-    alone = F.col("cls").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    named = named.join(found, named.cls == found.node, "left").select("cls", "least", "n", F.coalesce("root", "cls").alias("group"))
+    names = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    by_class = keep(named.join(names, "group").select("cls", "n", "component_id", "group"), "classes")
+    # A class with a thousandth of all rows or more would be one large task: there are a thousand of these at most.
+    total = by_class.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") >= max(1000, total / 1000)
+    some = F.broadcast(by_class.where(large).drop("n"))
+    rows = signed.where("cls is not null").select("doc_id", "text_xxh", "n_shingles", "cls")
+    labelled = rows.join(some, "cls").unionByName(rows.join(some, "cls", "left_anti").join(by_class.where(~large).drop("n"), "cls")).drop("cls")
+    alone = signed.where("cls is null").select("doc_id", "text_xxh", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("group"))
+    return labelled.unionByName(alone).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_xxh", "group")

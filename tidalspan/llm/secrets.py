@@ -2,15 +2,18 @@
 
 A text is searched for assignments, access keys and hexadecimal runs (the base spans), and for other long tokens that
 mix letters and digits.  Every candidate value is hashed, and the hashes are counted over the whole corpus by distinct
-repositories and distinct owners.  A value that many owners have is a widely copied example; a value of one owner that
-looks random is a live-looking credential.  Base spans always stay; other tokens become spans only if they look live.
+repositories and distinct owners.  A value that many owners or many repositories have is a widely copied example; any
+other that looks random is a live-looking credential of its owner.  Base spans always stay; other tokens become spans
+only if they look live.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -24,7 +27,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Equal to the longest runs that are then held to 18 and 16 characters: a shorter start never leads to a longer run.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_.=-])", re.ASCII)
+#: Dots may join the parts of a token, but don't begin or end it.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{24,}")
+LEAST_TOKEN = 24
 _SPAN = pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("bits", pa.float32())])
 _FIELDS = "key binary, n_assign bigint, n_access bigint, n_hex bigint, found array<struct<kind: tinyint, start: int, end: int, value: bigint, bits: float>>"
 
@@ -40,10 +45,15 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     found += [(1, *m.span(), m[0]) for m in ACCESS.finditer(text)]
     found += [(2, *m.span(), m[0]) for m in HEX.finditer(text)]
     base = sorted((s, e) for _, s, e, _ in found)
+    starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     for m in TOKEN.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b in base):
-            found.append((3, s, e, m[0]))
+        value = m[0].strip(".")
+        s = m.start() + len(m[0]) - len(m[0].lstrip("."))
+        e = s + len(value)
+        before = bisect_left(starts, e)
+        clear = not before or ends[before - 1] <= s  # of all base spans
+        if clear and len(value) >= LEAST_TOKEN and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            found.append((3, s, e, value))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -69,15 +79,14 @@ def _text_of(spans: Column) -> Column:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
-                common_owners: int = 3, live_bits: float = 3.0) -> DataFrame:
+                common_owners: int = 3, common_repos: int = 10, live_bits: float = 3.0) -> DataFrame:
     """Spans of secrets in every text, and what their owners say about them.
 
     doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans), spans (all), n_common (spans whose value has
-    ``common_owners`` owners or more), n_live (values of one owner with at least ``live_bits`` bits per character),
+    ``common_owners`` owners or ``common_repos`` repositories or more), n_live (others of at least ``live_bits`` bits per character),
     verdicts (array of kind, start, end, value hash, repositories, owners, verdict).
 
-    One row per input row.  A null or empty text has no span.  A null repository or owner is not counted; a value
-    without any owner is not live.  Repeated rows get equal results and count once.  Other columns are ignored and an
+    One row per input row.  A null or empty text has no span.  A null repository or owner is not counted.  Repeated rows get equal results and count once.  Other columns are ignored and an
     empty table stays empty.
     """
     docs = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"),
@@ -93,7 +102,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Equal texts have equal spans, so the verdicts are worked out once for each text that has any.
     spans = some.groupBy("key").agg(F.first("found").alias("found")).select("key", F.inline("found"))
     judged = spans.join(spread, "value", "left").withColumns({"repos": F.coalesce("repos", F.lit(0)), "owners": F.coalesce("owners", F.lit(0))})
-    verdict = F.when(F.col("owners") >= common_owners, "common").when((F.col("owners") == 1) & (F.col("bits") >= live_bits), "live").otherwise("unclear")
+    common = (F.col("owners") >= common_owners) | (F.col("repos") >= common_repos)
+    verdict = F.when(common, "common").when(F.col("bits") >= live_bits, "live").otherwise("unclear")
     judged = judged.withColumn("verdict", verdict).where("kind < 3 or verdict = 'live'")
     by_text = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "repos", "owners", "verdict"))).alias("verdicts"))
     plain = ["doc_id", "key", "n_assign", "n_access", "n_hex"]

@@ -25,6 +25,7 @@ ARCHIVE_BYTES, PIECE = 32 << 20, 1 << 18
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+PAGE = "urn:page:"
 RECORD = "page_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_to string, problem string"
 
 
@@ -33,14 +34,18 @@ def _sha1(data: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
-    """A compressed response record, or a revisit record of the page ``refers_to`` whose payload is left out."""
+    """A compressed response record, or a revisit record of the page ``refers_to`` whose payload is left out.
+
+    The record of a page without an id is named by a UUID.
+    """
+    name = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"{PAGE}{page_id}"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}"]
     if url:
         lines.append("WARC-Target-URI: " + "".join(url.splitlines()))
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{PAGE}{refers_to}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: {_sha1(payload)}", f"WARC-Block-Digest: {_sha1(block)}",
               f"Content-Length: {len(block)}", "", ""]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -86,7 +91,7 @@ def parse(member: bytes, whole: bool = True) -> tuple:
     if problem is None and _sha1(block) != warc.get("warc-block-digest", _sha1(block)):
         problem = "digest"
     named = warc.get("warc-payload-digest", "")
-    page = lambda key: warc[key].strip("<>").removeprefix("urn:page:") if key in warc else None
+    page = lambda key: warc[key].strip("<>").removeprefix(PAGE) if warc.get(key, "").startswith("<" + PAGE) else None
     if warc.get("warc-type") == "revisit":  # its payload is the referred page's: size and digest are told, not stored
         count = _headers(http).get("content-length", "")
         size, digest = int(count) if count.isdigit() else None, base64.b32decode(named.removeprefix("sha1:")).hex() if named else None
@@ -151,8 +156,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
 
     Of pages with equal payloads of ``least_revisit`` bytes or more, those with the largest id are responses and the
     others revisit them; smaller payloads are always responses.  A null payload is empty, a null URL is left out.  A
-    null id loses to any other; if all are null, all are responses.  Rows repeated under the largest id are all
-    responses.  An empty table writes no archive.
+    null id loses to any other; if all are null, all are responses; its record reads back with a null page_id.  Rows
+    repeated under the largest id are all responses.  An empty table writes no archive.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
@@ -170,6 +175,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of all archives whose ``path`` is listed: the fields of ``RECORD``, one row per record.
 
     Paths are URIs that pyarrow opens.  A damaged or cut-off member ends its archive and is told in ``problem``, as are
-    wrong lengths and digests.
+    wrong lengths and digests.  There are as many tasks as archives, so reading takes as long as the larger archives do.
     """
-    return manifest.select("path").repartition("path").mapInArrow(_reader, RECORD)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(_reader, RECORD)
