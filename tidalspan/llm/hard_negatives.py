@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from tidalspan.llm.store import keep
 
-BLOCK, BATCH, DEPTH = 4096, 512, 32
+BLOCK, BATCH, DEPTH = 4096, 512, 64
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 EVERY = (-(1 << 63), (1 << 63) - 1)
 
 
 class Block(NamedTuple):
-    """Candidates: their rows, ids, labels, components, and per dimension their places by rising component."""
+    """Candidates: their rows, ids, labels, components, and per dimension their places by rising and by falling component."""
 
     rows: np.ndarray
     ids: np.ndarray
@@ -40,13 +40,15 @@ class Block(NamedTuple):
 
 
 def exact(values: np.ndarray) -> np.ndarray:
-    """Whole numbers as doubles where all inner products stay exact in them, which is faster, else as Python's."""
+    """Whole numbers as the shortest floats in which all inner products stay exact, which is fast, or as Python's integers."""
     most = int(np.abs(values).max(initial=0))
-    return values.astype(np.float64) if most * most * max(1, values.shape[1]) < 1 << 53 else values.astype(object)
+    largest = most * most * max(1, values.shape[1])
+    return values.astype(np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else object)
 
 
 def block_of(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, values: np.ndarray) -> Block:
-    return Block(rows, ids, labels, exact(values), np.argsort(values, axis=0, kind="stable").T)
+    rising = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
+    return Block(rows, ids, labels, exact(values), np.stack([rising, rising[:, ::-1]]))
 
 
 def _settled(scores: np.ndarray, window: tuple[int, int], places: int, threshold: int) -> bool:
@@ -54,6 +56,8 @@ def _settled(scores: np.ndarray, window: tuple[int, int], places: int, threshold
     low, high = window
     if low > high or threshold < low:
         return True
+    if threshold >= high:  # no place of the window can lie above it
+        return False
     inside = scores[(scores >= low) & (scores <= high)]
     return len(inside) >= places and threshold < np.partition(inside, len(inside) - places)[len(inside) - places]
 
@@ -65,27 +69,32 @@ def threshold_search(block: Block, anchor: np.ndarray, allowed: np.ndarray, wind
     """
     n, matrix = len(block.ids), block.matrix
     if matrix.dtype != anchor.dtype:
-        matrix, anchor = (x.astype(np.int64).astype(object) for x in (matrix, anchor))
+        kind = np.float64 if object not in (matrix.dtype, anchor.dtype) else object
+        matrix, anchor = ((x if x.dtype == object else x.astype(np.int64)).astype(kind) for x in (matrix, anchor))
+        if kind is np.float64 and float(np.abs(matrix).max(initial=0)) * float(np.abs(anchor).max(initial=0)) * len(anchor) >= 1 << 53:
+            matrix, anchor = (x.astype(np.int64).astype(object) for x in (matrix, anchor))
     live = np.flatnonzero(anchor != 0)
-    weights, lists = anchor[live], block.lists[live]
+    weights, side = anchor[live], (anchor[live] > 0).astype(int)  # a positive component reads the falling list
     scores, met = np.zeros(n, matrix.dtype), np.zeros(n, bool)
-    falling = (weights > 0)[:, None]  # a positive component reads its list from the greatest on
     depth, step = 0, DEPTH
     if not len(live):
         met[:], depth = True, n  # all scores are zero
     while depth < n:
-        at = np.arange(depth, min(n, depth + step))
-        read = np.take_along_axis(lists, np.where(falling, n - 1 - at, at), axis=1)
+        to = min(n, depth + step)
+        read = block.lists[side, live, depth:to]
         fresh = np.zeros(n, bool)
-        fresh[read] = True
-        fresh = np.flatnonzero(fresh & ~met)
-        met[fresh] = True
-        scores[fresh] = matrix[fresh] @ anchor
-        threshold = (weights * matrix[read[:, -1], live]).sum()
+        fresh[read.ravel()] = True
+        fresh &= ~met
+        met |= fresh
+        new = np.flatnonzero(fresh)
+        scores[new] = matrix[new] @ anchor
+        if met.all():
+            break
+        threshold = int((weights * matrix[read[:, -1], live]).sum())
         good = scores[met & allowed]
-        if all(_settled(good, w, places, threshold) for w in windows):
+        if len(good) and (windows[0] != EVERY or threshold < good.max()) and all(_settled(good, w, places, threshold) for w in windows):
             break
-        depth, step = depth + len(at), 2 * step
+        depth, step = to, 3 * step
     out, known = [], np.flatnonzero(met & allowed)
     for low, high in windows:
         mine = known[(scores[known] >= low) & (scores[known] <= high)]
