@@ -83,7 +83,45 @@ n AS (
 SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
 """
 
+def _term(p: str, q: str) -> str:
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) ELSE 0 END"
+    return f"({part(p)} + {part(q)})"
+
+
+_CLASSES = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"[\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"\p{N}", r"\p{P}"]
+_COUNTS = ", ".join(f"len(t) - len(regexp_replace(t, '{c}', '', 'g')) AS c{i}" for i, c in enumerate(_CLASSES))
+_SHARES = " + ".join(_term(f"(c{i} / n_chars)", f"s{i}") for i in range(7))
+OP11 = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, lang, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS l,
+  len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS dl, len(t) AS n_chars, {_COUNTS} FROM d),
+m7 AS (SELECT *, n_chars - c0 - c1 - c2 - c3 - c4 - c5 AS c6 FROM m),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM rep) GROUP BY doc_id),
+dw AS (SELECT doc_id, lang, word, count(*) AS c FROM (SELECT doc_id, lang, unnest(w) AS word FROM d) GROUP BY ALL),
+lw AS (SELECT lang, word, sum(c) AS n, sum(sum(c)) OVER (PARTITION BY lang) AS total FROM dw WHERE lang IS NOT NULL GROUP BY lang, word),
+ref AS (SELECT lang, word, n / total AS q FROM lw QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 100),
+rq AS (SELECT lang, sum(q) AS qq FROM ref GROUP BY lang),
+found AS (SELECT dw.doc_id, ref.lang, sum({_term('(c / n_words)', 'q')} - q) AS d, sum(c / n_words) AS p
+  FROM dw JOIN ref ON ref.word = dw.word JOIN m ON m.doc_id = dw.doc_id GROUP BY ALL),
+far AS (SELECT m.doc_id, rq.lang, sqrt(greatest(0, (coalesce(d, 0) + qq + {_term('greatest(0, 1 - coalesce(p, 0))', '(1 - qq)')}) / 2)) AS wd
+  FROM m CROSS JOIN rq LEFT JOIN found ON found.doc_id = m.doc_id AND found.lang = rq.lang),
+cr AS (SELECT lang, {', '.join(f'sum(c{i}) / sum(n_chars) AS s{i}' for i in range(7))} FROM m7 WHERE lang IS NOT NULL GROUP BY lang),
+near AS (SELECT m7.doc_id, cr.lang, sqrt(greatest(0, ({_SHARES}) / 2)) AS cd FROM m7 CROSS JOIN cr WHERE n_chars > 0),
+best AS (SELECT m.doc_id, far.lang, CASE WHEN n_words >= 50 THEN wd END AS wd, CASE WHEN n_chars >= 300 THEN cd END AS cd
+  FROM m JOIN far ON far.doc_id = m.doc_id LEFT JOIN near ON near.doc_id = m.doc_id AND near.lang = far.lang WHERE n_words >= 50 OR n_chars >= 300
+  QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY CASE WHEN n_words >= 50 THEN wd ELSE 0 END + CASE WHEN n_chars >= 300 THEN cd ELSE 0 END, far.lang) = 1),
+v AS (SELECT m.*, coalesce(cov.n, 0) AS n_repeat_words, best.lang AS language, wd, cd, n_words < 20 OR 100 * coalesce(cov.n, 0) > 30 * n_words AS base_failed
+  FROM m LEFT JOIN cov ON cov.doc_id = m.doc_id LEFT JOIN best ON best.doc_id = m.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, (l - dl)::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(wd <= 0.26 + 2.0 / sqrt(n_words), true) AND coalesce(cd <= 0.16 + 2.4 / sqrt(n_chars), true) AS kept,
+  language, round(wd, 6) AS word_distance, round(cd, 6) AS class_distance FROM v
+"""
+
 ORACLE = {
+    "op11_quality_rules": OP11,
     "op13_hard_negatives": OP13,
     "op9_warc": OP9,
     "op4_decontamination": OP4,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidalspan.llm.alignment import cross_tokenizer_alignment
 from tidalspan.llm.ann import search
 from tidalspan.llm.decontaminate import contamination
+from tidalspan.llm.divergence import quality_rules
 from tidalspan.llm.hard_negatives import mine_hard_negatives
 from tidalspan.llm.language_id import identify, is_held_out, train
 from tidalspan.llm.line_dedup import fuzzy_line_dedup
@@ -79,6 +80,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents").select("doc_id", "source"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules(_table(spark, folder, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return cross_tokenizer_alignment(_table(spark, folder, "documents"))
 
@@ -99,6 +105,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_quality_rules": op11_quality_rules,
     "op12_alignment": op12_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
