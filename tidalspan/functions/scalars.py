@@ -144,16 +144,3 @@ def steps(value: Column, *limits: tuple[float, int]) -> Column:
     for limit, penalty in limits:
         out = F.when(value > limit, penalty) if out is None else out.when(value > limit, penalty)
     return out.otherwise(0)
-
-
-def t_critical(df: Column) -> Column:
-    """Two-sided 5 % Student t quantile by the Cornish-Fisher type expansion in 1/df.
-
-    Used from df = 18 upwards, where it is right to five digits.
-    """
-    z = 1.959963984540054
-    g1 = (z**3 + z) / 4
-    g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    d = F.nullif(df.cast("double"), F.lit(0.0))
-    return F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d)

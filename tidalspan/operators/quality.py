@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio, rating, steps, t_critical, tally, test_modality
+from ..functions.scalars import ratio, rating, steps, tally, test_modality
+from ..functions.student import t_p_value
 from ..schema import KEY, named
 from .layout import attach, prepare, rank_rows
 from .rolling import outlier_scores, rolling
@@ -323,7 +324,7 @@ def _baseline_columns() -> dict[str, Column]:
 def calibration_drift(breaths: DataFrame) -> DataFrame:
     """Significant RER trend above 0.001 per second over >= 20 rest rows.
 
-    Significance is |t| above the two-sided 5 % quantile; a perfect fit is significant.
+    Significance is a two-sided p value below 5 %; that of a perfect fit is 0.
     """
     return breaths.groupBy(KEY).agg(*named(_drift_values())).select(KEY, *named(_drift_columns()))
 
@@ -340,12 +341,13 @@ def _drift_values() -> dict[str, Column]:
 def _drift_columns() -> dict[str, Column]:
     xx, xy, yy = F.nullif("_dxx", F.lit(0.0)), F.col("_dxy"), F.col("_dyy")
     slope, freedom, enough = xy / xx, F.nullif(F.col("_dn") - 2, F.lit(0)), F.col("_rest") >= 20
-    # t = slope / se; compared without the division, so a perfect fit is significant.
     se = F.sqrt(F.greatest(yy - xy * xy / xx, F.lit(0.0)) / freedom / xx)
-    significant = (slope != 0) & (F.abs(slope) > t_critical(freedom) * se)
-    drift = F.when(enough, (F.abs(slope) > 0.001) & significant)
+    t = F.when(slope == 0, 0.0).when(se == 0, float("inf")).otherwise(slope / F.nullif(se, F.lit(0.0)))
+    p_value = F.when(enough, t_p_value(t, freedom))
+    drift = (F.abs(slope) > 0.001) & (p_value < 0.05)
     return {
-        "n_rest": F.col("_rest"), "rest_slope": F.when(enough, slope), "drift_detected": F.coalesce(drift, F.lit(False)),
+        "n_rest": F.col("_rest"), "rest_slope": F.when(enough, slope), "p_value": p_value,
+        "drift_detected": F.coalesce(drift, F.lit(False)),
     }
 
 

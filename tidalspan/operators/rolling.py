@@ -1,15 +1,20 @@
-"""Rolling statistics whose width differs per test."""
+"""Rolling statistics whose width differs per test.
+
+``rolling_means`` costs the same for any width: a window is the difference of two running sums.  Running sums of doubles
+would carry their rounding from row to row, so they are sums of decimals, which are exact.  ``rolling`` takes any
+aggregate and costs the width per row; it is meant for narrow windows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..schema import KEY, LAYOUT, PREPARED, signals
-from .layout import framed, prepare
+from .layout import framed, is_split, prepare, with_chunks
 
 # A frame of k rows is a RANGE frame on rn / k.  The slack separates "just inside"
 # from "just outside" for every k below 5 million rows.
@@ -49,6 +54,74 @@ def rolling(
     return framed(df, build, F.col(k), index)
 
 
+#: Running sums up to the last row of a window, and up to the row before its first, by ``rn / k``.
+_ENDS = {
+    "center": ("RANGE BETWEEN UNBOUNDED PRECEDING AND 0.50000001D FOLLOWING", "RANGE BETWEEN UNBOUNDED PRECEDING AND 0.49999999D PRECEDING"),
+    "right": ("RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "RANGE BETWEEN UNBOUNDED PRECEDING AND 0.99999999D PRECEDING"),
+}
+EXACT = "decimal(36,12)"
+LARGEST = 1e14  # a billion rows of such values add up within EXACT
+
+
+def _measures(columns: Sequence[str]) -> dict[str, Column]:
+    """What is summed: each column's exact values, its non-null values, and those that have no exact value."""
+    out = {}
+    for c in columns:
+        fits = F.abs(c) < LARGEST  # false for NaN, which is the largest of all
+        out[f"_s_{c}"] = F.coalesce(F.when(fits, F.col(c)).try_cast(EXACT), F.lit(0).cast(EXACT))
+        out[f"_n_{c}"] = F.col(c).isNotNull().cast("bigint")
+        out[f"_x_{c}"] = (F.col(c).isNotNull() & ~fits).cast("bigint")
+    return out
+
+
+def rolling_means(df: DataFrame, columns: Sequence[str], k: str, align: str = "center", index: str = "rn") -> DataFrame:
+    """Add ``<column>_roll``, the mean over ``k`` rows as ``rolling`` has it, at a cost that doesn't depend on ``k``.
+
+    Values count to twelve decimals.  A full window with a value that is not finite, or 10^14 or more in size, is NaN.
+    """
+    sums = list(_measures(columns))
+
+    def mean(c: str, last: Column, first: Column) -> Column:
+        here = {x: last[f"{x}{c}"] - first[f"{x}{c}"] for x in ("_s_", "_n_", "_x_")}
+        value = F.when(here["_x_"] > 0, F.lit(float("nan"))).otherwise(here["_s_"].cast("double") / F.col(k))
+        return F.when(here["_n_"] == F.col(k), value).alias(f"{c}_roll")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", *[v.alias(n) for n, v in _measures(columns).items()])
+        order = f"CAST({index} AS DOUBLE) / {k}"
+        upto = [F.struct(*[F.expr(f"coalesce(sum({c}) OVER (PARTITION BY {KEY} ORDER BY {order} {end}), 0)").cast(EXACT if c.startswith("_s_") else "bigint").alias(c) for c in sums])
+                for end in _ENDS[align]]
+        rows = rows.select(*df.columns, upto[0].alias("_last"), upto[1].alias("_first"))
+        return rows.select(*df.columns, *[mean(c, F.col("_last"), F.col("_first")) for c in columns])
+
+    if not is_split(df):
+        return whole(df)
+    cut = with_chunks(df.where("split"), index)
+    known = _running(cut, columns, index)
+    back = F.floor((F.col(k) - 1) / 2) if align == "center" else F.col(k) - 1
+    ahead = F.floor(F.col(k) / 2) if align == "center" else F.lit(0)
+    rows = df.where("split").withColumn("_to", (F.col(index) + ahead).cast("bigint")).withColumn("_from", (F.col(index) - back - 1).cast("bigint"))
+    nothing = F.struct(*[F.lit(0).cast(EXACT if c.startswith("_s_") else "bigint").alias(c) for c in sums])
+    for end, into in (("_to", "_last"), ("_from", "_first")):
+        at = known.select(F.col(KEY).alias("_key"), F.col(index).alias("_at"), F.col("_sums").alias(into))
+        rows = rows.join(at, (F.col(KEY) == F.col("_key")) & (F.col(end) == F.col("_at")), "left").drop("_key", "_at")
+    rows = rows.withColumn("_first", F.when(F.col("_from") == 0, nothing).otherwise(F.col("_first")))
+    rows = rows.select(*df.columns, *[mean(c, F.col("_last"), F.col("_first")) for c in columns])
+    return whole(df.where("not split")).unionByName(rows)
+
+
+def _running(cut: DataFrame, columns: Sequence[str], index: str) -> DataFrame:
+    """Key, ``index`` and the running sums ``_sums`` of split tests: within chunks first, then over the chunks before."""
+    cut = cut.select(KEY, "chunk", index, *[v.alias(n) for n, v in _measures(columns).items()])
+    sums = list(_measures(columns))
+    upto = Window.partitionBy(KEY, "chunk").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = cut.groupBy(KEY, "chunk").agg(*[F.sum(c).alias(c) for c in sums])
+    chunks = chunks.select(KEY, "chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
+    local = cut.select(KEY, "chunk", index, *[F.sum(c).over(upto).alias(c) for c in sums]).join(chunks, [KEY, "chunk"])
+    return local.select(KEY, index, F.struct(*[(F.col(c) + F.col(f"{c}_before")).cast(EXACT if c.startswith("_s_") else "bigint").alias(c) for c in sums]).alias("_sums"))
+
+
 def average_rolling(breaths: DataFrame, window: float = 30.0) -> DataFrame:
     """Centred rolling mean of every signal, rows without a full window dropped.
 
@@ -61,7 +134,7 @@ def average_rolling(breaths: DataFrame, window: float = 30.0) -> DataFrame:
     width = F.when(F.col("n") < 2, 1).otherwise(F.greatest(F.lit(1.0), wanted))
     df = df.withColumn("k", width.cast("bigint"))
     cols = signals(breaths)
-    rolled = rolling(df, cols, "k")
+    rolled = rolling_means(df, cols, "k")
     kept = rolled.where(F.col("vo2_ml_roll").isNotNull() | (F.col("n") < 2))
     names = [c for c in breaths.columns if c not in {*cols, *LAYOUT, *PREPARED}]
     return kept.select(*names, *[F.col(c + "_roll").alias(c) for c in cols])
@@ -71,7 +144,8 @@ def outlier_scores(breaths: DataFrame, rule: str = "quality") -> DataFrame:
     """Z-score of each VO2 value against its own centred window.
 
     Window: ``max(5, min(11, n div 4))`` for ``quality``, ``min(11, n)`` for
-    ``validate``.  Tests with fewer than 10 rows get no score.  A z-score that
+    ``validate``.  Windows have eleven rows at most, so a sliding frame is cheap.
+    Tests with fewer than 10 rows get no score.  A z-score that
     includes its own point is at most (k - 1) / sqrt(k), so threshold 3 needs k = 11.
     """
     df = prepare(breaths)

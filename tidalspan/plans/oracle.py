@@ -52,7 +52,7 @@ def sql(final: str) -> str:
                 needed.add(name)
                 stack.append(CTE[name])
     parts = [f"{name} AS ({CTE[name]})" for name in CTE if name in needed]
-    return _rounding(("WITH " + ",\n".join(parts) + "\n" if parts else "") + final)
+    return _rounding(("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final)
 
 
 def frame(k: str, align: str = "center") -> str:
@@ -70,6 +70,14 @@ def rnd(*columns: str, digits: int = 4) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
+def t_p(t: str, n: str) -> str:
+    """Two-sided p value by the finite sums for whole degrees of freedom."""
+    c, theta, sine = f"({n} / ({n} + ({t})^2))", f"atan(({t}) / sqrt({n}))", f"(({t}) / sqrt({n} + ({t})^2))"
+    odd = f"list_sum(list_transform(range(0, ({n} - 1) // 2), lambda i: exp(lgamma(i + 1) + lgamma(1.5) - lgamma(i + 1.5)) * {c}^i))"
+    even = f"list_sum(list_transform(range(0, {n} // 2), lambda i: exp(lgamma(i + 0.5) - lgamma(0.5) - lgamma(i + 1)) * {c}^i))"
+    return f"(1 - CASE WHEN {n} % 2 = 1 THEN 2 / pi() * ({theta} + {sine} * sqrt({c}) * coalesce({odd}, 0)) ELSE {sine} * {even} END)"
+
+
 def codes(*pairs: tuple[str, str]) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{name}' END" for c, name in pairs) + ")"
 
@@ -220,6 +228,14 @@ FROM (SELECT *, n >= 10 AND gaps >= 5 AND cv < 0.05 AND abs(mid - w) < 1 AS ok F
         SELECT test_id, time_s - lag(time_s) OVER (PARTITION BY test_id ORDER BY rn) AS d FROM b))
     GROUP BY test_id)))""")
 ORACLE["s8_export_breaths"] = sql(f"SELECT test_id, rn, {rnd('time_s', 'vo2_ml')}, phase FROM b")
+ORACLE["s1_incremental_ingest"] = sql(f"""
+SELECT test_id, CASE WHEN test_id % 2 = 1 OR test_id % 10 = 0 THEN 2 ELSE 1 END AS batch, rn, {rnd('time_s', 'vo2_ml', 'rer')}, phase FROM b""")
+ORACLE["s8_replaced_tests"] = sql(f"""
+SELECT test_id, rn, {rnd('time_s')}, round(vo2_ml + CASE WHEN test_id % 20 = 0 THEN 1 ELSE 0 END, 4) AS vo2_ml, phase FROM b WHERE test_id % 20 <> 0 OR rn > 1""")
+ORACLE["s8_point_lookup"] = sql(f"SELECT test_id, rn, {rnd('time_s', 'vo2_ml')}, phase FROM b WHERE test_id IN (1, 8, 13, 40)")
+ORACLE["s8_stored_join"] = sql("""
+SELECT test_id, count(*) AS n_common, count(*) FILTER (rn % 3 <> 0 AND ve_l IS NOT NULL) AS n_changed, round(CAST(sum(CASE WHEN ve_l IS NOT NULL THEN rn % 3 END) AS DOUBLE), 4) AS change
+FROM b WHERE rn % 7 <> 0 GROUP BY test_id""")
 ORACLE["s9_order_audit"] = sql("""
 SELECT test_id, '' AS missing_columns, count(*) FILTER (t < prev) AS steps_back, count(*) FILTER (t < prev) = 0 AS is_ordered
 FROM (SELECT test_id, t, lag(t) OVER (PARTITION BY test_id ORDER BY rn) AS prev
@@ -473,14 +489,15 @@ SELECT test_id, CASE WHEN n1 >= 10 THEN c1 WHEN n2 >= 10 THEN c2 END AS baseline
     count(*) FILTER (f) AS n2, stddev_samp(vo2_ml) FILTER (f) * 100 / avg(vo2_ml) FILTER (f) AS c2
   FROM (SELECT *, coalesce(lower(phase) IN ('rest', 'baseline', 'warmup'), false) AS r, time_s <= t_first + 120 AS f FROM p) GROUP BY test_id)"""
 ORACLE["a13_baseline_stability"] = sql(f"SELECT test_id, {rnd('baseline_cv')} FROM base")
-CTE["drift"] = """
-SELECT test_id, count(r) AS n_rest, CASE WHEN count(r) >= 20 THEN regr_slope(r, t) END AS rest_slope,
-  coalesce(count(r) >= 20 AND abs(regr_slope(r, t)) > 0.001
-    AND abs(regr_slope(r, t)) > (1.959964 + 2.372272 / (count(r) - 2) + 2.822521 / (count(r) - 2)^2 + 2.555854 / (count(r) - 2)^3)
-      * sqrt((1 - regr_r2(r, t)) * regr_syy(r, t) / (count(r) - 2) / regr_sxx(r, t)), false) AS drift_detected
+CTE["rest"] = """
+SELECT test_id, count(r) AS n_rest, regr_slope(r, t) AS slope, count(r) - 2 AS df,
+  sqrt(greatest((1 - regr_r2(r, t)) * regr_syy(r, t), 0) / nullif(count(r) - 2, 0) / nullif(regr_sxx(r, t), 0)) AS se
 FROM (SELECT test_id, CASE WHEN lower(phase) IN ('rest', 'baseline') THEN rer END AS r, CASE WHEN lower(phase) IN ('rest', 'baseline') THEN time_s END AS t FROM b)
 GROUP BY test_id"""
-ORACLE["a14_calibration_drift"] = sql(f"SELECT test_id, n_rest, {rnd('rest_slope', digits=6)}, drift_detected FROM drift")
+CTE["drift"] = f"""
+SELECT test_id, n_rest, CASE WHEN n_rest >= 20 THEN slope END AS rest_slope, p AS p_value, coalesce(p < 0.05 AND abs(slope) > 0.001, false) AS drift_detected FROM (
+  SELECT *, CASE WHEN n_rest < 20 OR slope IS NULL THEN NULL WHEN slope = 0 THEN 1.0 WHEN se = 0 THEN 0.0 ELSE {t_p('abs(slope) / se', 'df')} END AS p FROM rest)"""
+ORACLE["a14_calibration_drift"] = sql(f"SELECT test_id, n_rest, {rnd('rest_slope', 'p_value', digits=6)}, drift_detected FROM drift")
 CTE["miss"] = """
 SELECT *, nm_hr * 100 / n_breaths AS pct_missing_hr, nm_pw * 100 / n_breaths AS pct_missing_power FROM (
   SELECT test_id, count(*) AS n_breaths, count(hr_bpm) AS nh, count(power_w) AS nw,
@@ -524,20 +541,17 @@ UNION ALL SELECT test_id, 'hr_power', power_w, hr_bpm FROM disp WHERE power_w >
 UNION ALL SELECT test_id, 've_vco2', vco2_ml, ve_l FROM disp UNION ALL SELECT test_id, 'vco2_vo2', vo2_ml, vco2_ml FROM disp"""
 
 
-def _fits() -> str:
-    from .series import T_TABLE
-
-    table = "[" + ", ".join(repr(t) for t in T_TABLE) + "]"
-    d = "(n_points - 2)"
-    late = f"1.959963984540054 + 2.3722712306 / {d} + 2.8225 / {d}^2 + 2.5558 / {d}^3"
-    return f"""
-SELECT *, CASE WHEN {d} < 1 THEN NULL WHEN {d} <= 30 THEN {table}[{d}] ELSE {late} END AS t_95 FROM (
-  SELECT test_id, panel, count(*) AS n_points, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, avg(x) AS mean_x, regr_sxx(y, x) AS sxx,
-    CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / (count(*) - 2)) END AS residual_se
-  FROM pts GROUP BY test_id, panel)"""
-
-
-CTE["fits"] = _fits()
+CTE["fit0"] = """
+SELECT test_id, panel, count(*) AS n_points, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, avg(x) AS mean_x, regr_sxx(y, x) AS sxx,
+  CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / (count(*) - 2)) END AS residual_se
+FROM pts GROUP BY test_id, panel"""
+# The quantile by halving an interval sixty times.
+CTE["tq"] = f"""
+SELECT d, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS i FROM (SELECT DISTINCT n_points - 2 AS d FROM fit0) WHERE d >= 1
+UNION ALL
+SELECT d, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, i + 1
+FROM (SELECT d, lo, hi, i, (lo + hi) / 2 AS mid, {t_p('(lo + hi) / 2', 'd')} AS p FROM tq WHERE i < 60)"""
+CTE["fits"] = "SELECT fit0.*, tq.lo AS t_95 FROM fit0 LEFT JOIN tq ON tq.d = n_points - 2 AND tq.i = 60"
 ORACLE["a19_panel_fits"] = sql(f"SELECT test_id, panel, n_points, {rnd('slope', 'intercept', 'residual_se', 'mean_x', 't_95')} FROM fits")
 ORACLE["a19_fit_bands"] = sql("""
 SELECT test_id, panel, round(x, 3) AS x, round(f, 3) AS fit, round(f - h, 3) AS low, round(f + h, 3) AS high FROM (
@@ -558,6 +572,8 @@ def rolled(source: str) -> str:
 
 CTE["avr"] = rolled("p")
 ORACLE["w1_average_rolling"] = sql(f"SELECT test_id, {rnd('time_s', *SIGNALS)} FROM avr")
+CTE["half"] = "SELECT *, CAST(greatest(1, n // 2) AS BIGINT) AS k FROM p"
+ORACLE["w1_wide_rolling"] = sql(f"SELECT test_id, rn, k, {', '.join(f'round({roll(c)}, 4) AS {c}_roll' for c in SIGNALS)} FROM half")
 CTE["k9"] = """SELECT *, CAST(least(greatest(5, round_even(30 / CASE WHEN interval_s > 0 THEN interval_s ELSE 1 END, 0)), n // 2) AS BIGINT) AS k FROM p"""
 ORACLE["w2_right_rolling"] = sql(f"SELECT test_id, rn, k, round({roll('vo2_ml', 'k', 'right')}, 4) AS vo2_ml_roll, round({roll('power_w', 'k', 'right')}, 4) AS power_w_roll FROM k9")
 

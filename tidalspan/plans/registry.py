@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -13,7 +14,7 @@ from ..operators import averaging, economy, labels, norms, peaks, quality, rolli
 from ..operators.layout import prepare, rank_rows
 from ..schema import KEY
 from ..shared import keep, new_folder
-from ..sources import export, grid
+from ..sources import export, grid, ledger, store
 from ..sources import stand_ins as src
 from . import analysis, report, series
 
@@ -75,6 +76,27 @@ def _(s, d):
     return grids.select(key, F.col("row").cast("bigint").alias("row"), filled.cast("bigint").alias("filled"))
 
 
+def _write_sheets(sheets: DataFrame, path: str) -> None:
+    """One CSV file per test; a test that is there already is replaced."""
+    lines = sheets.select(KEY, "row", F.array_join("cells", ",").alias("line")).repartition(KEY).sortWithinPartitions(KEY, "row").select(KEY, "line")
+    writer = lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY)
+    writer.options(sep="\u0001", quote="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False).csv(path)
+
+
+@query("s1_incremental_ingest")
+def _(s, d):
+    """Even tests first, those divisible by ten cut short; then the odd ones, and the cut ones again in full."""
+    exports, store, sheets = scratch_folder(s), scratch_folder(s), src.grids(s, d)
+    number = lambda path: F.regexp_extract(path, r"test_id=(\d+)", 1)
+    later = (F.col(KEY) % 2 == 1) | (F.col(KEY) % 10 == 0)
+    _write_sheets(sheets.where((F.col(KEY) % 2 == 0) & ((F.col(KEY) % 10 != 0) | (F.col("row") <= 20))), exports)
+    ledger.ingest_new(s, exports, store, number)
+    _write_sheets(sheets.where(later), exports)
+    ledger.ingest_new(s, exports, store, number)
+    rows = ledger.current(s, store, "breaths").withColumn(KEY, F.col(KEY).cast("bigint"))
+    return out(rows, KEY, "batch", (F.col("source_row") - 3).alias("rn"), "time_s", "vo2_ml", "rer", "phase")
+
+
 @query("s2_participants_from_grid")
 def _(s, d):
     return out(grid.parse_participants(src.grids(s, d)), KEY, "participant_id", "name", "sex", "age", "height_cm", "weight_kg")
@@ -118,6 +140,40 @@ def _(s, d):
     return out(s.read.parquet(path), *ROW, "time_s", "vo2_ml", "phase")
 
 
+def _stored(s: SparkSession, rows: DataFrame) -> str:
+    """A store of all tests in a new folder; its name."""
+    name = "store_" + uuid.uuid4().hex
+    store.create(rows, name, scratch_folder(s), folders=16, buckets=4, row_group_bytes=1 << 18)
+    return name
+
+
+@query("s8_replaced_tests")
+def _(s, d):
+    """Every twentieth test comes again: one millilitre more, and without its first breath."""
+    rows = breaths(s, d).drop("split", "chunk")
+    name = _stored(s, rows)
+    again = rows.where((F.col(KEY) % 20 == 0) & (F.col("rn") > 1)).withColumn("vo2_ml", F.col("vo2_ml") + 1)
+    store.replace_tests(again, name)
+    return out(s.table(name), *ROW, "time_s", "vo2_ml", "phase")
+
+
+@query("s8_point_lookup")
+def _(s, d):
+    """A handful of tests out of the whole store."""
+    name = _stored(s, breaths(s, d).drop("split", "chunk"))
+    return out(store.read_tests(s, name, [1, 8, 13, 40, 10**12]), *ROW, "time_s", "vo2_ml", "phase")
+
+
+@query("s8_stored_join")
+def _(s, d):
+    """Rows that two versions of a store have in common, and how they differ, test by test."""
+    rows = breaths(s, d).drop("split", "chunk")
+    old, new = _stored(s, rows), _stored(s, rows.where(F.col("rn") % 7 != 0).withColumn("ve_l", F.col("ve_l") + F.col("rn") % 3))
+    both = store.compare(s.table(old), s.table(new), ["ve_l"])
+    return out(both.groupBy(KEY).agg(F.count("*").alias("n_common"), F.count_if(F.col("ve_l_old") != F.col("ve_l_new")).alias("n_changed"),
+                                     F.sum(F.col("ve_l_new") - F.col("ve_l_old")).alias("change")))
+
+
 @query("s9_order_audit")
 def _(s, d):
     # Event order is the recorded order; every 13th event is stamped 60 s early.
@@ -482,11 +538,18 @@ def _(s, d):
     return out(averaging.average_rolling(breaths(s, d), 30), KEY, "time_s", *SIGNALS)
 
 
+@query("w1_wide_rolling")
+def _(s, d):
+    """A width that is a large part of the test: half of its duration."""
+    half = breaths(s, d).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 2)).cast("bigint"))
+    return out(rolling.rolling_means(half, SIGNALS, "k"), *ROW, "k", *[f"{c}_roll" for c in SIGNALS])
+
+
 @query("w2_right_rolling")
 def _(s, d):
     df = breaths(s, d)
     k = F.least(F.greatest(F.lit(5.0), F.rint(fx.ratio(F.lit(30.0), F.col("interval")))), F.floor(F.col("n") / 2))
-    df = rolling.rolling(df.withColumn("k", k.cast("bigint")), ["vo2_ml", "power_w"], "k", "right")
+    df = rolling.rolling_means(df.withColumn("k", k.cast("bigint")), ["vo2_ml", "power_w"], "k", "right")
     return out(df, *ROW, "k", "vo2_ml_roll", "power_w_roll")
 
 

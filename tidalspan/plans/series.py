@@ -5,27 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import o2_pulse, ratio, t_critical, ve_vco2, ve_vo2
+from ..functions.scalars import o2_pulse, ratio, ve_vco2, ve_vo2
+from ..functions.student import t_quantile
 from ..operators.layout import attach, is_split, prepare, spread
 from ..operators.peaks import find_peaks
 from ..operators.stages import display_stages
 from ..operators.thresholds import nearest_values
 from ..schema import KEY, named
 
-# Two-sided 5 % Student t quantiles for 1 to 30 degrees of freedom.
-T_TABLE = [
-    12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281,
-    2.2010, 2.1788, 2.1604, 2.1448, 2.1314, 2.1199, 2.1098, 2.1009, 2.0930, 2.0860,
-    2.0796, 2.0739, 2.0687, 2.0639, 2.0595, 2.0555, 2.0518, 2.0484, 2.0452, 2.0423,
-]
-
-
-def t_quantile(df: Column) -> Column:
-    """Tabulated up to 30 degrees of freedom, the 1/df expansion beyond."""
-    table = F.array(*[F.lit(t) for t in T_TABLE])
-    return F.when(df < 1, None).when(df <= 30, F.get(table, (df - 1).cast("int"))).otherwise(t_critical(df))
-
-
 def with_time_axis(breaths: DataFrame, axis: str = "auto") -> DataFrame:
     """``time_plot`` in minutes for tests beyond 300 s, else seconds."""
     if axis not in ("auto", "minutes", "seconds"):
@@ -43,12 +30,13 @@ def long_signals(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame
     return df.unpivot(ids, columns, "variable", "value")
 
 
-def panel_fits(averages: DataFrame) -> DataFrame:
+def panel_fits(averages: DataFrame, level: float = 0.95) -> DataFrame:
     """Line fits of the panels VO2~power, HR~power (power > 0), VE~VCO2 and VCO2~VO2.
 
-    Gives slope, intercept, residual standard error, n, mean and Sxx of x; the 95 % band
-    at x is fit +- t * se * sqrt(1/n + (x - mean)^2 / Sxx).
+    Gives slope, intercept, residual standard error, n, mean and Sxx of x, and the t quantile of ``level`` (named by
+    its percent); the band at x is fit +- t * se * sqrt(1/n + (x - mean)^2 / Sxx).
     """
+    quantile = _quantile_name(level)
     loaded = F.col("power_w") > 0
     pairs = [
         ("vo2_power", F.when(loaded, F.col("power_w")), F.when(loaded, F.col("vo2_ml"))),
@@ -69,14 +57,18 @@ def panel_fits(averages: DataFrame) -> DataFrame:
     fit = fit.withColumns({
         "intercept": F.col("_my") - F.col("slope") * F.col("mean_x"),
         "residual_se": F.when(freedom > 0, F.sqrt(sse / F.nullif(freedom, F.lit(0)))),
-        "t_95": t_quantile(freedom),
+        quantile: t_quantile(freedom, level),
     })
-    return fit.select(KEY, "panel", "n_points", "slope", "intercept", "residual_se", "mean_x", "sxx", "t_95")
+    return fit.select(KEY, "panel", "n_points", "slope", "intercept", "residual_se", "mean_x", "sxx", quantile)
+
+
+def _quantile_name(level: float) -> str:
+    return "t_" + f"{level * 100:g}".replace(".", "_")
 
 
-def fit_bands(averages: DataFrame) -> DataFrame:
-    """Fitted value and 95 % band at every point of the panels."""
-    fits = panel_fits(averages)
+def fit_bands(averages: DataFrame, level: float = 0.95) -> DataFrame:
+    """Fitted value and band of ``level`` at every point of the panels."""
+    fits = panel_fits(averages, level)
     loaded = F.col("power_w") > 0
     points = F.array(
         F.struct(F.lit("vo2_power").alias("panel"), F.when(loaded, F.col("power_w")).alias("x")),
@@ -88,7 +80,7 @@ def fit_bands(averages: DataFrame) -> DataFrame:
     df = long.join(fits, [KEY, "panel"])
     fitted = F.col("intercept") + F.col("slope") * F.col("x")
     off = F.col("x") - F.col("mean_x")
-    half = F.col("t_95") * F.col("residual_se") * F.sqrt(1 / F.col("n_points") + off * off / F.nullif("sxx", F.lit(0.0)))
+    half = F.col(_quantile_name(level)) * F.col("residual_se") * F.sqrt(1 / F.col("n_points") + off * off / F.nullif("sxx", F.lit(0.0)))
     return df.select(KEY, "panel", "x", fitted.alias("fit"), (fitted - half).alias("low"), (fitted + half).alias("high"))
 
 
