@@ -57,3 +57,10 @@ def test_copies_of_one_vector(spark):
     df = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(6000)] + [(9000 + i, [float(i), 2.0]) for i in range(50)], "vec_id bigint, embedding array<float>")
     got = search(df, F.col("vec_id") == 5000).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(10)) and {r.score for r in got} == {0.0}
+
+
+def test_repeated_queries(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (0, [20.2, 1.0])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
+    near = sorted((r["rank"], r.vec_id) for r in got)
+    assert near == [(1, 1), (1, 20), (2, 2), (2, 21), (3, 3), (3, 19)]

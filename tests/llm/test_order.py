@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from corpus import CLASHING, documents, odd_rows, sentence
 
+from tidalspan.llm import sharding
 from tidalspan.llm.mixing import mix_sources, period, places_of, schedule, shares_of
 from tidalspan.llm.sharding import hypergeometric, matrix, piece_sizes, shuffle_into_shards
 
@@ -45,6 +46,24 @@ def test_shards(spark):
     assert [(r.shard in range(16), r.slot) for r in shuffle_into_shards(documents(spark, [(1, None)])).collect()] == [(True, 0)]
 
 
+def test_shards_of_files_need_no_copy(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "x") for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, file string").repartition(4)
+    frame.write.parquet(str(tmp_path / "docs"))
+    frame.where("false").write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    with monkeypatch.context() as m:
+        m.setattr(sharding, "keep", None)
+        out = shuffle_into_shards(docs, 3, piece_rows=20)
+        got = out.collect()
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, got))  # a second run decides the same
+    assert sorted((r.doc_id, r.text, r.file) for r in got) == rows
+    counts = Counter(r.shard for r in got)
+    assert sorted(counts) == [0, 1, 2] and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert len({r.doc_id for r in shuffle_into_shards(docs.where("doc_id % 2 = 0"), 3).collect()}) == 250  # a filter leaves gaps
+
+
 @pytest.mark.parametrize("shares", [{0: 1}, {0: 500, 1: 300, 2: 200}, {0: 997, 1: 1, 2: 1, 3: 1}, dict(enumerate([7, 5, 3, 3, 2, 1]))])
 def test_period_keeps_every_source_within_one_block(shares):
     places, total = period(shares), sum(shares.values())

@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 
+from tidalspan.llm.queries import QUERIES
 from tidalspan.llm.warc import members, parse, read_archives, record, write_archives
 
 
@@ -20,7 +21,7 @@ def test_members_come_apart_at_any_read_size(piece):
 
 def test_damage_is_told():
     good = zlib.decompress(record(1, "http://x\r\nInjected: 1", b"payload \r\n\r\n WARC/1.1"), 31)
-    assert parse(good) == ("1", "response", "http://xInjected: 1", 22, hashlib.sha1(b"payload \r\n\r\n WARC/1.1").hexdigest(), None, None)
+    assert parse(good) == ("1", "response", "http://xInjected: 1", 21, hashlib.sha1(b"payload \r\n\r\n WARC/1.1").hexdigest(), None, None)
     assert parse(good.replace(b"payload", b"Payload"))[-1] == "digest"
     assert parse(good[:-6])[-1] == "length" and parse(good[:-6], False)[-1] == "truncated" and parse(b"")[-1] == "length"
     cut = record(1, None, b"x" * 5000)[:-9]
@@ -44,7 +45,17 @@ def test_round_trip(spark):
         data = (html or "").encode()
         ids = [p for p, _, h in rows if h == html and p is not None]
         revisit = len(data) >= 1000 and ids and page != max(ids)
-        want.append((str(page), "revisit" if revisit else "response", len(data), hashlib.sha1(data).hexdigest(), str(max(ids)) if revisit else None, None))
+        want.append((None if page is None else str(page), "revisit" if revisit else "response", len(data), hashlib.sha1(data).hexdigest(), str(max(ids)) if revisit else None, None))
     assert sorted(map(str, ((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, r.problem) for r in got))) == sorted(map(str, want))
+    assert read_archives(manifest)._jdf.queryExecution().toRdd().getNumPartitions() == manifest.count()  # a task for each archive
     empty = write_archives(pages.where("false"))
     assert empty.count() == 0 and read_archives(empty).count() == 0
+
+
+def test_query_with_null_ids(spark, tmp_path):
+    rows = [(1, "u", "z" * 2000), (None, "v", "z" * 2000), (None, None, "short"), (2, "w", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op9_warc"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+        ("1", 2000, "response", None), ("2", 0, "response", None), ("None", 5, "response", None), ("None", 2000, "revisit", 1)]
+    assert all(r.problem is None for r in got)
