@@ -296,6 +296,12 @@ SELECT test_id, greatest(220 - age, peak) AS hr_reference, z AS zone_pct, greate
 FROM (SELECT test_id, max(hr_bpm) AS peak FROM b GROUP BY test_id) JOIN part USING (test_id), (VALUES (50), (60), (70), (80), (90), (100)) v(z)
 WHERE peak IS NOT NULL"""
 ORACLE["p15_heart_rate_zones"] = sql(f"SELECT test_id, {rnd('hr_reference')}, zone_pct, {rnd('zone_bpm')} FROM zone")
+ORACLE["p15_sql_zones"] = ORACLE["p15_heart_rate_zones"]
+ORACLE["p_sql_scalars"] = sql(f"""
+SELECT b.test_id, rn, {RE.format(v='(vo2_ml / weight_kg)', s='speed_kmh')} AS running_economy, {GE.format(v='vo2_ml', w='power_w', r='rer')} AS gross_efficiency, age_group,
+  CASE WHEN hr_bpm / 2 >= 90 THEN 'excellent' WHEN hr_bpm / 2 >= 75 THEN 'good' WHEN hr_bpm / 2 >= 60 THEN 'acceptable' ELSE 'poor' END AS hr_rating,
+  {DURATION.format(t='(time_s + 0.5)')} AS at
+FROM b JOIN part ON part.test_id = b.test_id JOIN (SELECT test_id, age_group FROM grp) g ON g.test_id = b.test_id""")
 CTE["axes"] = """
 SELECT *, p0 - v0 * scale AS "offset" FROM (SELECT *, (p1 - p0) / nullif(v1 - v0, 0) AS scale FROM (
   SELECT *, min(power_w) OVER w AS p0, max(power_w) OVER w AS p1, min(vo2_ml) OVER w AS v0, max(vo2_ml) OVER w AS v1
@@ -901,6 +907,15 @@ SELECT tst.test_id, round(vo2_peak, 4) AS vo2_peak, round(vo2_kg_peak, 4) AS vo2
 FROM tst LEFT JOIN pkw ON pkw.test_id = tst.test_id LEFT JOIN mthr ON mthr.test_id = tst.test_id LEFT JOIN valid ON valid.test_id = tst.test_id
 LEFT JOIN (SELECT test_id, count(*) AS n_stages FROM s30 GROUP BY test_id) s ON s.test_id = tst.test_id""")
 
+CTE["whole"] = """
+SELECT tst.test_id, vo2_peak, vt1_vo2, errors, n_aberrant
+FROM tst LEFT JOIN pkw ON pkw.test_id = tst.test_id LEFT JOIN mthr ON mthr.test_id = tst.test_id LEFT JOIN valid ON valid.test_id = tst.test_id"""
+ORACLE["c22_batch_counters"] = sql("""
+SELECT 'tests' AS counter, count(*) AS n FROM whole UNION ALL SELECT 'invalid', count(*) FROM whole WHERE errors <> ''
+UNION ALL SELECT 'not_validated', count(*) FROM whole WHERE errors IS NULL UNION ALL SELECT 'without_peak', count(*) FROM whole WHERE vo2_peak IS NULL
+UNION ALL SELECT 'without_threshold', count(*) FROM whole WHERE vt1_vo2 IS NULL UNION ALL SELECT 'aberrant', CAST(coalesce(sum(n_aberrant), 0) AS BIGINT) FROM whole
+UNION ALL SELECT 'stages', count(*) FROM s30""")
+
 # ------------------------------------------------------------------------- series
 
 CTE["pan"] = """
@@ -930,6 +945,22 @@ UNION ALL SELECT test_id, rn, round(time_s / 60, 4), 've_vco2', round(ve_l * 100
 ORACLE["d4_gas_exchange_series"] = sql("""
 SELECT b.test_id, rn, round(time_s / 60, 4) AS time_min, 'vo2' AS variable, round(vo2_ml / weight_kg, 4) AS value FROM b JOIN part ON part.test_id = b.test_id
 UNION ALL SELECT test_id, rn, round(time_s / 60, 4), 'vco2', round(vco2_ml, 4) FROM b UNION ALL SELECT test_id, rn, round(time_s / 60, 4), 've', round(ve_l, 4) FROM b""")
+CTE["gas"] = """
+SELECT test_id, 'vo2' AS variable, time_s / 60 AS x, vo2_ml AS y FROM b WHERE vo2_ml IS NOT NULL UNION ALL SELECT test_id, 'vco2', time_s / 60, vco2_ml FROM b WHERE vco2_ml IS NOT NULL
+UNION ALL SELECT test_id, 'rer', time_s / 60, rer FROM b WHERE rer IS NOT NULL"""
+CTE["spots"] = """
+SELECT * FROM (SELECT test_id, variable, CAST(floor(count(*) * 0.75 + 0.00001) AS BIGINT) AS q, min(x) AS lo, max(x) AS hi FROM gas GROUP BY test_id, variable), range(80) g(place) WHERE q >= 3"""
+CTE["reached"] = """
+SELECT gas.test_id, gas.variable, place, lo + (hi - lo) * place / 79 AS spot, x, y, q, abs(x - (lo + (hi - lo) * place / 79)) AS d
+FROM gas JOIN spots ON spots.test_id = gas.test_id AND spots.variable = gas.variable"""
+CTE["reach"] = "SELECT *, max(d) FILTER (k <= q) OVER (PARTITION BY test_id, variable, place) AS r FROM (SELECT *, row_number() OVER (PARTITION BY test_id, variable, place ORDER BY d) AS k FROM reached)"
+CTE["sums"] = f"""
+SELECT test_id, variable, place, spot, {', '.join(f'sum(w * u^{i}) AS s{i}' for i in range(5))}, {', '.join(f'sum(w * u^{i} * y) AS t{i}' for i in range(3))}
+FROM (SELECT *, (1 - abs(u)^3)^3 AS w FROM (SELECT *, CASE WHEN r > 0 THEN (x - spot) / r WHEN x = spot THEN 0 END AS u FROM reach) WHERE abs(u) < 1) GROUP BY ALL"""
+ORACLE["d4_smooth_curve"] = sql("""
+SELECT test_id, variable, place::INTEGER AS place, round(spot, 4) AS x, round(CASE WHEN d3 > 1e-10 * s0^3 THEN (t0 * (s2 * s4 - s3^2) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / d3
+  WHEN d2 > 1e-10 * s0^2 THEN (t0 * s2 - s1 * t1) / d2 ELSE t0 / s0 END, 4) AS y
+FROM (SELECT *, s0 * (s2 * s4 - s3^2) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2^2) AS d3, s0 * s2 - s1^2 AS d2 FROM sums)""")
 ORACLE["d5_heart_rate_series"] = sql("""
 SELECT test_id, 'hr' AS series, round(time_s / 60, 4) AS x, round(hr_bpm, 4) AS y FROM b WHERE hr_bpm IS NOT NULL
 UNION ALL SELECT test_id, 'zone_' || zone_pct, NULL, round(zone_bpm, 4) FROM zone""")

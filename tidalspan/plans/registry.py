@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fx
+from ..functions import sql_functions
 from ..operators import averaging, economy, labels, norms, peaks, quality, rolling, stages, thresholds, validation
 from ..operators.layout import prepare, rank_rows
 from ..schema import KEY
 from ..shared import keep, new_folder
 from ..sources import export, grid, ledger, store
 from ..sources import stand_ins as src
-from . import analysis, report, series
+from . import analysis, batch, report, series, smooth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +288,33 @@ def _(s, d):
     return out(series.heart_rate_zones(src.breaths(s, d), src.participants(s, d)))
 
 
+def _views(s: SparkSession, d: str) -> tuple[str, str]:
+    """Breaths and participants as views that SQL text can name."""
+    sql_functions.register(s)
+    names = tuple(f"{x}_{uuid.uuid4().hex}" for x in ("breaths", "participants"))
+    for name, frame in zip(names, (src.breaths(s, d), src.participants(s, d))):
+        frame.createOrReplaceTempView(name)
+    return names
+
+
+@query("p_sql_scalars")
+def _(s, d):
+    """P6, P7, P9, P10 and P14 as functions of SQL text."""
+    rows, people = _views(s, d)
+    return s.sql(f"""SELECT b.test_id, b.rn, running_economy(vo2_ml / weight_kg, speed_kmh) AS running_economy, gross_efficiency(vo2_ml, power_w, rer) AS gross_efficiency,
+      age_group(age) AS age_group, score_rating(hr_bpm / 2) AS hr_rating, duration_text(time_s + 0.5) AS at
+      FROM {rows} b JOIN {people} p ON p.test_id = b.test_id""")
+
+
+@query("p15_sql_zones")
+def _(s, d):
+    """P15 as a table function of SQL text."""
+    rows, people = _views(s, d)
+    return out(s.sql(f"""SELECT t.test_id, z.hr_reference, z.zone_pct, z.zone_bpm
+      FROM (SELECT b.test_id, max(p.age) AS age, max(b.hr_bpm) AS peak FROM {rows} b JOIN {people} p ON p.test_id = b.test_id GROUP BY b.test_id) t,
+      LATERAL heart_rate_zones(t.age, t.peak) z"""))
+
+
 @query("p16_two_axis_scale")
 def _(s, d):
     return out(series.two_axis_scale(src.breaths(s, d)), *ROW, "scale", "offset")
@@ -837,6 +865,14 @@ def _(s, d):
                "thresholds.vt2_vo2", "thresholds.confidence", "n_stages", "validation.is_valid")
 
 
+@query("c22_batch_counters")
+def _(s, d):
+    """What a written batch holds, counted while it is written."""
+    done = analysis.analyse(src.breaths(s, d), src.participants(s, d), src.tests(s, d))
+    found = batch.write_batch(done, scratch_folder(s))
+    return s.createDataFrame(list(found.items()), "counter string, n bigint")
+
+
 @query("d1_panel_series")
 def _(s, d):
     return out(series.panel_series(breaths(s, d)))
@@ -863,6 +899,12 @@ def _(s, d):
     return out(series.gas_exchange_series(src.breaths(s, d), src.participants(s, d), ("vo2", "vco2", "ve"), True))
 
 
+@query("d4_smooth_curve")
+def _(s, d):
+    points = series.gas_exchange_series(breaths(s, d), src.participants(s, d)).withColumnsRenamed({"time_min": "x", "value": "y"})
+    return out(smooth.smooth_curve(points))
+
+
 @query("d5_heart_rate_series")
 def _(s, d):
     return out(series.heart_rate_series(src.breaths(s, d), src.participants(s, d)))
