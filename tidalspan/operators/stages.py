@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -204,9 +206,19 @@ def summarize_stages(staged: DataFrame, method: str = "last30s") -> DataFrame:
         df = last_seconds(df, "stage", float(method[4:6]))
     elif method not in ("mean", "peak"):
         raise ValueError(f"unknown summary method: {method}")
-    value = F.max if method == "peak" else F.avg
+    return _stage_rows(df, F.max if method == "peak" else F.avg, [])
+
+
+def summarize_last(staged: DataFrame, seconds: tuple[int, ...] = (30, 60)) -> DataFrame:
+    """A4 for several lengths in one pass: the summaries ``last30s``, ``last60s``..., told apart by ``method``."""
+    df = attach(staged.where(F.col("stage") > 0), {"_t_end": F.max("time_s")}, by=["stage"])
+    inside = [F.when(F.col("time_s") >= F.col("_t_end") - F.lit(float(x)), F.lit(f"last{x}s")) for x in seconds]
+    return _stage_rows(df.withColumn("method", F.explode(F.array_compact(F.array(*inside)))), F.avg, ["method"])
+
+
+def _stage_rows(df: DataFrame, value: Callable[[str], Column], by: list[str]) -> DataFrame:
     columns = ["vo2_ml", "vco2_ml", "ve_l", "rer", "hr_bpm", "power_w", "speed_kmh"]
-    return df.groupBy(KEY, "stage").agg(
+    return df.groupBy(KEY, "stage", *by).agg(
         F.avg("time_s").alias("time_s"),
         (F.max("time_s") - F.min("time_s")).alias("duration_s"),
         *[value(c).alias(c) for c in columns if c in df.columns],
@@ -241,7 +253,7 @@ def asof_stage(breaths: DataFrame, starts: DataFrame) -> DataFrame:
     flags = [c for c in ("split",) if is_split(breaths)]
     if flags:
         marks = breaths.where(F.col("split")).select(KEY, "split").distinct()
-        right = right.join(F.broadcast(marks), KEY, "left").withColumn("split", F.coalesce("split", F.lit(False)))
+        right = right.join(marks, KEY, "left").withColumn("split", F.coalesce("split", F.lit(False)))
     left = breaths.select(KEY, "time_s", "rn", *flags, F.lit(1).alias("_side"))
     merged = left.unionByName(right, True)
     merged = with_chunks(rank_rows(merged, ["time_s", "_side", "rn"], "_i"), "_i")

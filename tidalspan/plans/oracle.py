@@ -55,6 +55,20 @@ def sql(final: str) -> str:
     return _rounding(("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final)
 
 
+def odd(final: str) -> str:
+    """``sql`` over the odd tests in place of the usual ones."""
+    usual = CTE["b"]
+    CTE["b"] = f"""
+SELECT * REPLACE (CASE WHEN test_id % 5 = 0 AND rn % 25 = 13 THEN vo2_ml * 3 ELSE vo2_ml END AS vo2_ml, CASE WHEN test_id % 5 = 1 AND phase = 'REST' THEN rer + time_s * 0.004 ELSE rer END AS rer,
+  CASE WHEN test_id % 3 = 0 AND test_id % 5 <> 0 THEN vo2_ml * (1.2 - vo2_ml / 30000) ELSE vco2_ml END AS vco2_ml, CASE WHEN test_id % 3 = 0 AND test_id % 5 <> 0 THEN vo2_ml * 0.025 ELSE ve_l END AS ve_l,
+  CASE WHEN test_id % 3 = 0 AND test_id % 5 <> 0 THEN 100.0 ELSE peto2_mmhg END AS peto2_mmhg, CASE WHEN test_id % 3 = 0 AND test_id % 5 <> 0 THEN 40.0 ELSE petco2_mmhg END AS petco2_mmhg)
+FROM ({usual})"""
+    try:
+        return sql(final)
+    finally:
+        CTE["b"] = usual
+
+
 def frame(k: str, align: str = "center") -> str:
     if align == "center":
         return f"(PARTITION BY test_id ORDER BY rn ROWS BETWEEN ({k} - 1) // 2 PRECEDING AND {k} // 2 FOLLOWING)"
@@ -635,7 +649,8 @@ FROM {x}cand c JOIN {x}v v ON v.test_id = c.test_id WHERE c.c >= 5 AND c.c <= c.
     CTE[x + "vs"] = f"""
 SELECT q.test_id, q.c AS split_row, v.x AS v_slope_vo2, sse FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY sse, c) AS i FROM {x}sse) q
 JOIN {x}v v ON v.test_id = q.test_id AND v.r = q.c WHERE i = 1"""
-    for name, first, second in (("thr", ["vs", "r_ve_vo2_s"], ["r_ve_vco2_s"]), ("thr5", ["vs", "r_ve_vo2_s", "r_peto2_s"], ["r_ve_vco2_s", "r_petco2_s"])):
+    for name, first, second in (("thr", ["vs", "r_ve_vo2_s"], ["r_ve_vco2_s"]), ("thr5", ["vs", "r_ve_vo2_s", "r_peto2_s"], ["r_ve_vco2_s", "r_petco2_s"]),
+                                ("thr4", ["r_ve_vo2_s", "r_peto2_s"], ["r_ve_vco2_s", "r_petco2_s"])):
         label = {"vs": "v_slope", "r_ve_vo2_s": "ve_vo2", "r_peto2_s": "peto2", "r_ve_vco2_s": "ve_vco2", "r_petco2_s": "petco2"}
         value = {k: (f"{k}.v_slope_vo2" if k == "vs" else f"{k}.vo2") for k in label}
         joins = " ".join(f"LEFT JOIN {x}{k} {k} ON {k}.test_id = t.test_id" for k in first + second)
@@ -788,6 +803,12 @@ SELECT *, {_sig} AS signal_score, {_all} AS data_score, {_adv} AS recommendation
 ORACLE["c8_data_quality"] = sql(f"""
 SELECT test_id, n_breaths, n_aberrant, {rnd('pct_aberrant', 'pct_missing_hr', 'pct_missing_power', 'baseline_cv')}, baseline_stable, drift_detected, signal_score,
   {RATE.format(s='signal_score')} AS signal_rating, data_score, {RATE.format(s='data_score')} AS data_rating, recommendations FROM dat""")
+ORACLE["odd_data_quality"] = odd(f"""
+SELECT test_id, n_breaths, n_aberrant, {rnd('pct_aberrant', 'pct_missing_hr', 'pct_missing_power', 'baseline_cv')}, baseline_stable, drift_detected, signal_score,
+  {RATE.format(s='signal_score')} AS signal_rating, data_score, {RATE.format(s='data_score')} AS data_rating, recommendations FROM dat""")
+ORACLE["odd_thresholds"] = odd(f"SELECT {THR} FROM qthr4")
+ORACLE["odd_calibration_drift"] = odd(f"SELECT test_id, n_rest, {rnd('rest_slope', 'p_value', digits=6)}, drift_detected FROM drift")
+ORACLE["odd_aberrant_breaths"] = odd(f"SELECT test_id, rn, {rnd('time_s', 'vo2_ml')} FROM zq WHERE z > 3")
 CTE["inp"] = """
 SELECT c_custkey AS test_id, c_custkey % 12 AS ab, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 25 END AS hr, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 23 END AS power,
   c_custkey % 26 AS cv, c_custkey % 3 = 0 AS drift FROM customer"""

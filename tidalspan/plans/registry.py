@@ -463,8 +463,7 @@ def _(s, d):
 @query("a4_stage_summary_last")
 def _(s, d):
     staged = stages.extract_stages(breaths(s, d))
-    both = [stages.summarize_stages(staged, m).withColumn("method", F.lit(m)) for m in ("last30s", "last60s")]
-    return out(both[0].unionByName(both[1]), "method", *SUMMARY)
+    return out(stages.summarize_last(staged, (30, 60)), "method", *SUMMARY)
 
 
 @query("a5_stage_summary_peak")
@@ -583,7 +582,8 @@ def _(s, d):
 
 @query("w3_outlier_scores")
 def _(s, d):
-    both = [rolling.outlier_scores(breaths(s, d), r).select(*ROW, F.lit(r).alias("rule"), "z") for r in ("quality", "validate")]
+    rows = breaths(s, d)  # read and sorted once for both
+    both = [rolling.outlier_scores(rows, r).select(*ROW, F.lit(r).alias("rule"), "z") for r in ("quality", "validate")]
     return out(both[0].unionByName(both[1]))
 
 
@@ -760,6 +760,31 @@ def _(s, d):
     return out(quality.assess_data_quality(breaths(s, d)), *DATA, joined("recommendations"))
 
 
+@query("odd_thresholds")
+def _(s, d):
+    """C3 over tests some of which have no threshold."""
+    methods = ("ve_vo2", "ve_vco2", "peto2", "petco2")  # a V-slope finds a split wherever there are rows enough
+    return out(thresholds.detect_thresholds(prepare(src.odd_breaths(s, d)), methods), *THRESHOLDS)
+
+
+@query("odd_calibration_drift")
+def _(s, d):
+    """A14 over tests some of which drift."""
+    return out(quality.calibration_drift(src.odd_breaths(s, d)), digits=6)
+
+
+@query("odd_aberrant_breaths")
+def _(s, d):
+    """W3 at its usual threshold over tests some of which have spikes."""
+    return out(rolling.aberrant_breaths(prepare(src.odd_breaths(s, d))), *ROW, "time_s", "vo2_ml")
+
+
+@query("odd_data_quality")
+def _(s, d):
+    """C8 over tests with drift and aberrant breaths."""
+    return out(quality.assess_data_quality(prepare(src.odd_breaths(s, d))), *DATA, joined("recommendations"))
+
+
 def _score_inputs(s: SparkSession, d: str) -> DataFrame:
     """Percentages spread over all score bands, from the participants."""
     key = F.col(KEY)

@@ -63,6 +63,27 @@ def breaths(spark: SparkSession, folder: str) -> DataFrame:
     return _signals(rows, F.col("value") - F.floor("value"), F.col("event_id"))
 
 
+def odd_breaths(spark: SparkSession, folder: str) -> DataFrame:
+    """The tests of ``breaths`` with three families of oddities among those divisible by three or five.
+
+    Divisible by five: a spike in every 25th VO2.  By three and not five: no ventilatory thresholds, because ventilation
+    follows VO2 in proportion and VCO2 rises ever less.  One more than a multiple of five: RER that drifts at rest.
+    """
+    df = breaths(spark, folder)
+    key = F.col(KEY)
+    spiked = F.when((key % 5 == 0) & (F.col("rn") % 25 == 13), F.col("vo2_ml") * 3).otherwise(F.col("vo2_ml"))
+    flat = (key % 3 == 0) & (key % 5 != 0)
+    drifting = (key % 5 == 1) & (F.col("phase") == "REST")
+    odd = df.withColumns({
+        "rer": F.when(drifting, F.col("rer") + F.col("time_s") * 0.004).otherwise(F.col("rer")),
+        "vco2_ml": F.when(flat, F.col("vo2_ml") * (1.2 - F.col("vo2_ml") / 30000)).otherwise(F.col("vco2_ml")),
+        "ve_l": F.when(flat, F.col("vo2_ml") * 0.025).otherwise(F.col("ve_l")),
+        "peto2_mmhg": F.when(flat, 100.0).otherwise(F.col("peto2_mmhg")),
+        "petco2_mmhg": F.when(flat, 40.0).otherwise(F.col("petco2_mmhg")),
+    })
+    return odd.withColumn("vo2_ml", spiked)
+
+
 def long_breaths(spark: SparkSession, folder: str) -> DataFrame:
     """One test per supplier of ``lineitem``, rows ordered by every column."""
     items = table(spark, folder, "lineitem")
