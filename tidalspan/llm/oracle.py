@@ -35,11 +35,11 @@ SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(nh.n, 0) AS
 FROM d LEFT JOIN nh ON nh.doc_id = d.doc_id LEFT JOIN ni ON ni.doc_id = d.doc_id
 """
 
-# The schedule slot by slot: among the blocks that may start, the earliest deadline wins; a source that runs out begins a new phase.
+# Weights are the roots as doubles, which 2^52 makes whole numbers.  The schedule slot by slot: among the blocks that may start, the earliest deadline wins; a source that runs out begins a new phase.
 OP10 = """
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 s AS (SELECT list(source ORDER BY source) AS names, list(CAST(ceil(n / 16.0) AS BIGINT) ORDER BY source) AS blocks,
-  list(greatest(1, CAST(floor(1000 * sqrt(n) / t + 0.5) AS BIGINT)) ORDER BY source) AS shares FROM n, (SELECT sum(sqrt(n)) AS t FROM n) GROUP BY ALL),
+  list(CAST(sqrt(n) * 4503599627370496.0 AS HUGEINT) ORDER BY source) AS shares FROM n),
 one AS (SELECT list(names) AS x, any_value(names) AS names, any_value(blocks) AS blocks, any_value(shares) AS shares FROM
   (SELECT flatten(list(names)) AS names, flatten(list(blocks)) AS blocks, flatten(list(shares)) AS shares FROM s)),
 r(slot, t, phase, first, done, q, pick, release, deadline) AS (
@@ -49,10 +49,10 @@ r(slot, t, phase, first, done, q, pick, release, deadline) AS (
     CASE WHEN done[i] + 1 = blocks[i] THEN slot + 2 ELSE first END,
     list_transform(range(1, len(done) + 1), lambda k: done[k] + CASE WHEN k = i THEN 1 ELSE 0 END),
     list_transform(range(1, len(done) + 1), lambda k: CASE WHEN done[i] + 1 = blocks[i] THEN 0 ELSE q[k] + CASE WHEN k = i THEN 1 ELSE 0 END END),
-    i, first + q[i] * total // shares[i], first + -((-(q[i] + 1) * total) // shares[i])
+    i, (first + q[i] * total // shares[i])::BIGINT, (first + ((q[i] + 1) * total + shares[i] - 1) // shares[i])::BIGINT
   FROM (SELECT *, list_transform(list_sort(list_transform(list_filter(range(1, len(done) + 1),
-      lambda k: done[k] < blocks[k] AND q[k] * total // shares[k] <= t), lambda k: [CAST(ceil((q[k] + 1) * total / shares[k]) AS BIGINT), k])), lambda e: e[2])[1] AS i
-    FROM (SELECT r.*, blocks, shares, list_sum(list_transform(range(1, len(done) + 1), lambda k: CASE WHEN done[k] < blocks[k] THEN shares[k] ELSE 0 END))::BIGINT AS total
+      lambda k: done[k] < blocks[k] AND q[k] * total // shares[k] <= t), lambda k: [CAST(((q[k] + 1) * total + shares[k] - 1) // shares[k] AS BIGINT), k])), lambda e: e[2])[1] AS i
+    FROM (SELECT r.*, blocks, shares, list_sum(list_transform(range(1, len(done) + 1), lambda k: CASE WHEN done[k] < blocks[k] THEN shares[k] ELSE 0::HUGEINT END))::HUGEINT AS total
       FROM r, one) WHERE total > 0)),
 placed AS (SELECT slot, CASE WHEN pick > 0 THEN names[pick] END AS source, pick, release, deadline, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS source_block,
   lag(phase) OVER (ORDER BY slot) AS phase FROM r, one),
