@@ -170,3 +170,23 @@ def test_secrets(spark):
     assert by[1000].n_live == 1 and "token:" in by[1008].spans  # its owner alone has it, and it looks random
     assert secret_scan(documents(spark, [])).count() == 0
     assert ACCESS.search("AKIA" + "A" * 13) is None and HEX.search("0" * 15) is None and zlib.crc32(b"") == 0
+
+
+def test_secret_verdicts_by_owners_and_repositories(spark):
+    jwt, copied, two, nobody, plain = "eyJhbGciOi1.JzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4fw", "Qx7Zt2Lm9Rk4Wp8Vb3Nc6Hd1Gs5", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8Ii9", "Zz9Yy8Xx7Ww6Vv5Uu4Tt3Ss2Rr1", "g1" * 15
+    rows = [(1, f"so it was {jwt}. And {plain} too", None, "s1"), (2, f"{two} here", None, "s1"), (3, f"and {two}", None, "s2"), (4, f"{nobody}", None, None), (4, f"{nobody}", None, None)]
+    rows += [(100 + i, f"see {copied} number {i}", None, "hot") for i in range(12)]
+    out = {r.doc_id: r for r in secret_scan(documents(spark, rows)).collect()}
+    values = lambda i: [(rows_text[v["start"]: v["end"]], v["repos"], v["owners"], v["verdict"]) for rows_text in [next(r[1] for r in rows if r[0] == i)] for v in out[i].verdicts]
+    assert values(1) == [(jwt, 1, 1, "live")]  # the full stop is no part of it; a value of two letters doesn't look random
+    assert values(2) == [(two, 2, 2, "live")] and values(3) == [(two, 2, 2, "live")]
+    assert values(4) == [(nobody, 1, 0, "live")]  # repeated rows are one repository, and nobody owns it
+    assert all(out[100 + i].spans == "" for i in range(12))  # one owner, but twelve repositories
+    fewer = {r.doc_id: r for r in secret_scan(documents(spark, rows), common_repos=13).collect()}
+    assert all("token:" in fewer[100 + i].spans for i in range(12))
+
+
+def test_many_tokens_beside_many_spans_in_one_text(spark):
+    text = " ".join(f"token=abcdefghijkl{i} Kq{i:05d}Zt7Lm9Rk4Wp8Vb3Nc6Hd{i}" for i in range(20_000))
+    (row,) = secret_scan(documents(spark, [(1, text, "en", "a")])).collect()
+    assert row.n_assign == 20_000 and row.spans.count("token:") == 20_000
