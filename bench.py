@@ -1,4 +1,4 @@
-"""Time the headline queries: prints one JSON line.  ``BENCH_SF_DIR`` and ``BENCH_CPUS`` choose data and cores."""
+"""Time the headline queries, median of three runs each: prints one JSON line.  ``BENCH_SF_DIR`` and ``BENCH_CPUS`` choose data and cores."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,8 @@ HEADLINE = [
     "long_find_peaks", "long_average_by_time", "long_thresholds",
 ]
 
+RUNS = 3
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -38,9 +41,12 @@ def main() -> None:
     spark.read.parquet(f"{folder}/events.parquet").count()  # warm-up of the session only
     times = {}
     for name in sys.argv[1:] or HEADLINE:
-        start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(RUNS):
+            start = time.perf_counter()
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        times[name] = round(median(runs), 3)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(folder)}))
     spark.stop()
