@@ -15,7 +15,7 @@ def test_entry_without_corpus_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=away)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"],
                           cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
-    assert said.stdout.split() == ["121", "True"], said.stderr
+    assert said.stdout.split() == ["134", "True"], said.stderr
     assert not [n for n in os.listdir(tmp_path / "repo" / "tidalspan") if n == "llm"]
 
 
