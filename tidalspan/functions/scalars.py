@@ -11,6 +11,17 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
+SETTLED = 5  # digits kept beyond the wanted ones before a tie is decided
+
+
+def settled(value: Column, digits: int) -> Column:
+    """Half to even on the decimal text, once the digits that hang on the order of a sum are rounded away.
+
+    Null if the value is not finite or has more than 18 digits before the point.
+    """
+    return F.bround(F.round(value, digits + SETTLED).try_cast("decimal(38,20)"), digits).cast("double")
+
+
 def ve_vo2() -> Column:
     """Ventilatory equivalent for oxygen."""
     return ratio(F.col("ve_l") * 1000, F.col("vo2_ml"))
