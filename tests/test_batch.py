@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from check_oracle import compare, connect
 from helpers import breaths, people
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tidalspan.functions import scalars, sql_functions
+from tidalspan.operators.layout import prepare
 from tidalspan.plans import analysis, batch
 from tidalspan.plans.smooth import smooth_curve
+from tidalspan.sources import stand_ins
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_sql_functions_equal_columns(spark):
@@ -85,3 +91,24 @@ def test_curve_equals_weighted_least_squares(spark, chunks):
 def test_curve_wants_sense(spark):
     with pytest.raises(ValueError):
         smooth_curve(spark.createDataFrame([], "test_id bigint, variable string, x double, y double"), span=0)
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark):
+    spark.conf.set("spark.tidalspan.taskRows", "10")
+    try:
+        rows = prepare(stand_ins.breaths(spark, FOLDER))
+        parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"), F.count_distinct("test_id").alias("tests"))
+        got = parts.agg(F.count("*"), F.sum("tests")).first()
+        assert got[0] > 8 and got[1] == rows.select("test_id").distinct().count()
+        for name in ("a7_find_peaks", "c3_detect_thresholds", "d4_smooth_curve"):
+            assert compare(spark, connect(FOLDER), FOLDER, name) is None
+    finally:
+        spark.conf.unset("spark.tidalspan.taskRows")
+
+
+def test_parts_of_an_analysis_do_not_share_a_task(spark):
+    done = analysis.analyse(stand_ins.breaths(spark, FOLDER), stand_ins.participants(spark, FOLDER), stand_ins.tests(spark, FOLDER))
+    for df in (done.records, done.stages):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    for name in ("d2_v_slope_series", "c20_report_record"):
+        assert "_seg" not in queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

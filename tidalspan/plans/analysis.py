@@ -14,6 +14,7 @@ from ..operators.stages import extract_stages, summarize_stages
 from ..operators.thresholds import DEFAULT_METHODS, detect_thresholds
 from ..operators.validation import validate
 from ..schema import KEY
+from ..shared import keep
 from .report import compose
 
 
@@ -44,6 +45,9 @@ def analyse(
 
     A part that cannot be computed for a test is null there; the test keeps its record.
     ``peaks_on = averaged`` takes peaks from the averaged data instead.
+
+    Each part is written to the shared folder by a job of its own: in one plan the sorts of all parts would share a task,
+    and whoever writes records and stages would compute the stages twice.
     """
     if peaks_on not in ("raw", "averaged"):
         raise ValueError(f"unknown peaks_on: {peaks_on}")
@@ -51,9 +55,9 @@ def analyse(
     averaged = average(raw, averaging_method, window).drop("n_breaths")
     # Averaging never adds rows, so only a split source can have an oversized average.
     averaged = prepare(index_rows(averaged, total_order(averaged), check=is_split(raw)))
-    peaks = find_peaks(raw if peaks_on == "raw" else averaged, participants, window)
-    thresholds = detect_thresholds(averaged, methods)
-    stages = summarize_stages(extract_stages(raw, protocol, stage_duration), summary)
+    peaks = keep(find_peaks(raw if peaks_on == "raw" else averaged, participants, window), "peaks")
+    thresholds = keep(detect_thresholds(averaged, methods), "thresholds")
+    stages = keep(summarize_stages(extract_stages(raw, protocol, stage_duration), summary), "stages")
     counts = stages.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_stages"))
-    report = validate(raw, participants) if with_validation else None
+    report = keep(validate(raw, participants), "validation") if with_validation else None
     return Analysis(compose(participants, tests, peaks, thresholds, counts, report), stages, peaks, thresholds)
