@@ -123,3 +123,20 @@ def test_equal_times_have_one_order(spark):
     rows = [{"time_s": float(i // 3), "vo2_ml": 500.0 + (i * 37) % 11, "phase": f"p{i % 4}"} for i in range(60)]
     one = [prepare(breaths(spark, rows).repartition(n)).orderBy("rn").select("vo2_ml", "phase").collect() for n in (1, 8)]
     assert one[0] == one[1]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(70):
+        (tmp_path / f"test_id={i}").mkdir()
+        (tmp_path / f"test_id={i}" / "a.csv").write_text("1,2\n3\n")
+    sc, conf = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    usual = spark.conf.get(conf)
+    sc.setJobGroup("many folders", "")
+    try:
+        assert grid.read_grids(spark, str(tmp_path)).count() == 140
+        tracker = sc.statusTracker()
+        found = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup("many folders") for i in tracker.getJobInfo(job).stageIds]
+        assert found and max(i.numTasks for i in found if i) <= 4 * sc.defaultParallelism
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(conf) == usual
