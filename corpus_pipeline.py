@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidalspan.llm.decontaminate import contamination
 from tidalspan.llm.language_id import UNKNOWN, identify, train
 from tidalspan.llm.mixing import mix_sources
-from tidalspan.llm.near_dedup import near_duplicates
+from tidalspan.llm.near_dedup import near_duplicate_groups
 from tidalspan.llm.sharding import shuffle_into_shards
 from tidalspan.llm.store import keep
 
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped like others (a null id comes after all others).  Repeated rows become one.  Null texts and texts without
     words are nobody's duplicates and all stay.  An empty table stays empty.
     """
-    found = keep(near_duplicates(docs).select("doc_id", "text_xxh", "group"), "groups")
+    found = keep(near_duplicate_groups(docs).select("doc_id", "text_xxh", "group"), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_xxh")).alias("least")
     named = found.where("group is not null").groupBy("group").agg(least).select("least.doc_id", "least.text_xxh", F.lit(True).alias("grouped"))
     alone = found.where("group is null").select("doc_id", "text_xxh").distinct().withColumn("grouped", F.lit(False))

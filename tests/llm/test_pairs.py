@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import components as brute_components
 from corpus import documents, odd_rows, sentence, shingles
@@ -11,7 +13,7 @@ from corpus import documents, odd_rows, sentence, shingles
 from tidalspan.llm.components import components
 from tidalspan.llm.line_dedup import fuzzy_line_dedup, lines, similar
 from tidalspan.llm.line_dedup import shingles as line_shingles
-from tidalspan.llm.near_dedup import near_duplicates
+from tidalspan.llm.near_dedup import MINIMA, _open_rows, bands_of, near_duplicates
 
 
 @pytest.mark.parametrize("edges", [
@@ -64,6 +66,39 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def shuffled(spark):
+    """Bytes that the session has written for shuffles so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_near_duplicates_shuffle_no_whole_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.getrandbits(32):08x}" for _ in range(5000))) for i in range(120)]
+    rows.append((500, rows[7][1] + " more words"))
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        got = near_duplicates(documents(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [r.doc_id for r in got if not r.kept] == [500]
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows) / 2
+
+
+def test_near_rows_open_each_other_in_one_bucket():
+    a = np.arange(MINIMA, dtype=np.uint32)
+    b = a.copy()
+    b[:4] = 7  # all bands but the first
+    open_rows = _open_rows(0.5)
+    found = []
+    for band in sorted(set(bands_of(a)[0].tolist()) & set(bands_of(b)[0].tolist())):
+        rows = [(band, 0, 0, 0, n, n, m.tobytes()) for n, m in ((1, a), (2, b))]
+        for out in open_rows([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], list("abcdefg"))]):
+            found += [(band, c) for c in out.column(5).to_pylist()]
+    assert found == [(bands_of(a)[0][1], 1), (bands_of(a)[0][1], 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
     assert [tuple(r) for r in near_duplicates(documents(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]

@@ -6,6 +6,7 @@ It may let a row pass that is not in the set, never the other way round; the joi
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,11 @@ def may_hold(table: bytes, hashes: np.ndarray) -> np.ndarray:
     low, high = hashes & np.uint64((1 << LOG_BITS) - 1), hashes >> np.uint64(64 - LOG_BITS)
     both = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & (bits[high >> np.uint64(6)] >> (high & np.uint64(63)))
     return (both & np.uint64(1)).astype(bool)
+
+
+def passing(table):
+    """Filter of rows by their first column, a long, and a bit table that was broadcast."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(table.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+    return run

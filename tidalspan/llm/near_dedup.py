@@ -9,7 +9,9 @@ No bucket is expanded into all its pairs.  Every bucket is a star around its sma
 against one of its stars, then against those whose other end is not already one link away.  Buckets that hold several components
 even then are looked at again: their classes are compared across components in blocks of bounded size, by signature and
 then by full set, and a block gives links only, never candidate pairs.  A pair sharing a band is thus either linked,
-compared, or in one component.
+compared, or in one component.  A pair that shares several bands is compared in the bucket of the first of them only.
+
+No whole text is shuffled: bit tables of what is wanted keep all other bands, signatures and texts in their task.
 
 At similarity 0.75 a pair shares no band with probability 5e-6 (32 bands of 4 minima) and fails the signature check
 with about 1e-6.  Classes and shingles are told apart by 64-bit hashes.
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalspan.llm.bits import bit_table, may_hold, passing
 from tidalspan.llm.components import apart, blocks_across, components
 from tidalspan.llm.store import keep
 from tidalspan.llm.textbytes import NOT_SPACE, buffers, grams, mix, slices, words
@@ -60,6 +63,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def bands_of(minima: np.ndarray) -> np.ndarray:
+    """The band hashes of signatures, a row each."""
+    rows = (minima.reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _MIXERS
+    return mix(rows.sum(axis=2, dtype=np.uint64) + _SALT).astype(np.int64)
+
+
+def _stacked(minima: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(minima), np.uint32).reshape(-1, MINIMA)
+
+
 def class_of(shingles: np.ndarray) -> int:
     """A 64-bit name of a set."""
     folded = mix(shingles + np.uint64(0x9E3779B97F4A7C15))
@@ -70,31 +83,44 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes, names, minima, bands = [], [], [], []
+        sizes, names, minima = [], [], []
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
             if not len(s):
-                names.append(None), minima.append(None), bands.append(None)
+                names.append(None), minima.append(None)
                 continue
-            m = signature(s)
             names.append(class_of(s))
-            minima.append(m.tobytes())
-            rows = (m.astype(np.uint64).reshape(BANDS, ROWS) + np.uint64(1)) * _MIXERS
-            bands.append(mix(rows.sum(axis=1, dtype=np.uint64) + _SALT).astype(np.int64))
+            minima.append(signature(s).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(minima, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "text_xxh", "n_shingles", "cls", "minima", "bands"])
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(minima, pa.binary())],
+            ["doc_id", "text_xxh", "n_shingles", "cls", "minima"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, sets = [], []
-        for s in shingle_sets(batch.column(0)):
-            if len(s):
-                names.append(class_of(s))
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["cls", "shingles"])
+def _banded(table=None):
+    """(cls, band) for every band of a signature, or for those that a bit table lets pass."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                band = bands_of(_stacked(batch.column(1).to_pylist())).ravel()
+                cls = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+                if table is not None:
+                    good = may_hold(table.value, band.view(np.uint64))
+                    cls, band = cls[good], band[good]
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(band)], ["cls", "band"])
+    return run
+
+
+def _sets(table):
+    """Names and full sets of the texts whose key a bit table lets pass."""
+    def run(batches):
+        for batch in passing(table)(batches):
+            names, sets = [], []
+            for s in shingle_sets(batch.column(1)):
+                if len(s):
+                    names.append(class_of(s))
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["cls", "shingles"])
+    return run
 
 
 def _agreeing(share: float):
@@ -102,7 +128,7 @@ def _agreeing(share: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, MINIMA) for i in (2, 3))
+                a, b = (_stacked(batch.column(i).to_pylist()) for i in (2, 3))
                 yield batch.filter(pa.array((a == b).mean(axis=1) >= share)).select(["u", "v"])
     return run
 
@@ -145,14 +171,20 @@ def _facing(side: np.ndarray, comp: np.ndarray, i: int) -> np.ndarray:
 
 
 def _open_rows(share: float):
-    """The rows of a unit whose signature is near to that of a facing row: never more than came in."""
+    """The rows of a unit whose signature is near to that of a facing row: never more than came in.
+
+    Two rows meet in the bucket of every band that they share; only in that of the first do they open each other.
+    """
     def unit(key, side, comp, cls, minima):
         side, comp = np.array(side), np.array(comp)
-        m = np.frombuffer(b"".join(minima), np.uint32).reshape(-1, MINIMA)
+        m = _stacked(minima)
+        here = bands_of(m) == key[0]
         good = np.zeros(len(side), bool)
         for i in np.flatnonzero(side == 0):
             far = np.flatnonzero(_facing(side, comp, i))
-            near = far[(m[far] == m[i]).mean(axis=1) >= share]
+            same = m[far] == m[i]
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            near = far[(same.mean(axis=1) >= share) & here[i, first]]
             good[near] = True
             good[i] |= len(near) > 0
         n = int(good.sum())
@@ -185,6 +217,11 @@ def _linked_rows(percent: int):
     return _by_unit(unit)
 
 
+def _table(hashes: DataFrame):
+    """A bit table for all tasks: 4 MB."""
+    return hashes.sparkSession.sparkContext.broadcast(bit_table(hashes))
+
+
 def _likely(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
     """Those of ``pairs`` whose signatures agree often enough."""
     a = sigs.select(F.col("cls").alias("u"), F.col("minima").alias("a"))
@@ -193,10 +230,10 @@ def _likely(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
 
 
 def _full_sets(nodes: DataFrame, ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The full shingle sets of some classes (column cls).  One document of each is hashed again, no other."""
-    owners = ids.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    texts = docs.join(owners, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    return keep(texts.mapInArrow(_sets, "cls bigint, shingles binary").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
+    """The full shingle sets of some classes (column cls).  One document of each is hashed again, and few others."""
+    table = _table(ids.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key"))
+    sets = docs.select("key", "text").mapInArrow(_sets(table), "cls bigint, shingles binary")
+    return keep(sets.join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
 
 
 def _verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
@@ -221,6 +258,11 @@ def _rest(buckets: DataFrame, found: DataFrame, sigs: DataFrame, share: float) -
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: as ``near_duplicate_groups`` gives them."""
+    return near_duplicate_groups(docs, id_col, text_col, percent).drop("text_xxh", "group")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id),
     text_xxh (xxhash64 of the text), group (a number for each set of linked rows, whatever their ids; null without words).
 
@@ -232,16 +274,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = docs.withColumn("text_xxh", F.xxhash64("text"))
-    signed = keep(texts.mapInArrow(_signed, "doc_id bigint, text_xxh bigint, n_shingles bigint, cls bigint, minima binary, bands array<bigint>"), "signed")
+    signed = keep(texts.mapInArrow(_signed, "doc_id bigint, text_xxh bigint, n_shingles bigint, cls bigint, minima binary"), "signed")
     share = percent / 100 - SLACK
-    rows = signed.where("cls is not null").select("cls", F.explode("bands").alias("band"))
+    minima = signed.where("cls is not null").select("cls", "minima")
     # Buckets with more than one class; copies are one class, so they open no bucket.
-    stars = rows.groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last")).where("u != last")
-    buckets = keep(rows.join(stars.select("band", "u"), "band").distinct(), "buckets")
+    hubs = minima.mapInArrow(_banded(), "cls bigint, band bigint").groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last"))
+    hubs = keep(hubs.where("u != last").select("band", "u"), "hubs")
+    rows = minima.mapInArrow(_banded(_table(hubs.select("band"))), "cls bigint, band bigint")
+    buckets = keep(rows.join(hubs, "band").distinct(), "buckets")
     stars = buckets.where("cls != u").select("u", F.col("cls").alias("v")).distinct()
     nodes = buckets.select("cls").distinct()
-    sigs = keep(signed.select("cls", "minima").join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), "signatures")
-    ids = signed.select("cls", "doc_id")
+    sigs = minima.mapInArrow(passing(_table(nodes)), "cls bigint, minima binary").join(nodes, "cls", "left_semi")
+    sigs = keep(sigs.dropDuplicates(["cls"]), "signatures")
+    key = F.xxhash64("doc_id", "text_xxh").alias("key")
+    ids, docs = signed.select("cls", key), texts.select(key, "text")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         return _verified(keep(_likely(pairs, sigs, share), f"{name}-likely"), ids, docs, percent, name)
