@@ -11,7 +11,8 @@ from corpus import components as brute_components
 from corpus import documents, odd_rows, sentence, shingles
 
 from tidalspan.llm.components import components
-from tidalspan.llm.line_dedup import fuzzy_line_dedup, lines, similar
+from tidalspan.llm.line_dedup import LONG, fuzzy_line_dedup, lines, similar, sketches
+from tidalspan.llm.line_dedup import _open_rows as line_open_rows
 from tidalspan.llm.line_dedup import shingles as line_shingles
 from tidalspan.llm.near_dedup import MINIMA, _open_rows, bands_of, near_duplicates
 
@@ -151,5 +152,36 @@ def test_long_lines_of_the_same_few_letters_stay(spark):
     assert sorted((r.doc_id, r.dropped) for r in rulers) == [(1, []), (2, [0])]
 
 
+def test_lines_shuffle_few_whole_lines(spark):
+    rng = random.Random(11)
+    letters = lambda n: f"{rng.getrandbits(4 * n):0{n}x}"
+    bases = [letters(920) for _ in range(12)]
+    rows = [(i, bases[i % 12] + letters(1080)) for i in range(480)]  # of each twelfth any two have similarity 0.3
+    rows.append((900, rows[5][1][:-3] + "end"))
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        got = fuzzy_line_dedup(documents(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [r.doc_id for r in got if r.dropped] == [900]
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows)
+
+
+def test_open_rows_of_units_across_batches():
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    texts = [base, base[:-3] + "end", *("".join(rng.choice("0123456789") for _ in range(300)) for _ in range(3)), "#" + base]
+    marks = dict(zip(range(6), sketches(texts, LONG)))
+    # bucket, x, y, side, comp, cls: the alike are 0, 1 and 5; in the third unit they are of one component
+    units = [(1, 0, 0, 0, n, n) for n in range(5)] + [(2, 0, -1, 0, 0, 0), (2, 0, -1, 0, 1, 1), (2, 0, -1, 1, 5, 5), (2, 0, -1, 1, 4, 4)]
+    units += [(3, 0, 0, 0, 9, 0), (3, 0, 0, 0, 9, 1), (3, 0, 0, 0, 4, 4)]
+    table = pa.table({c: pa.array(v, pa.int64()) for c, v in zip("abcdef", zip(*units))}).append_column(
+        "short", pa.nulls(len(units), pa.binary())).append_column("long", pa.array([marks[u[5]] for u in units], pa.binary()))
+    for size in (1, 2, 3, 5, 100):
+        got = [tuple(r.values()) for b in line_open_rows(75)(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert got == [units[0], units[1], units[5], units[6], units[7]]
+
+
 def test_lines_of_nothing(spark):
     assert fuzzy_line_dedup(documents(spark, [])).count() == 0
