@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidalspan.llm.bits import bit_table, may_hold
 from tidalspan.llm.store import keep
 from tidalspan.llm.textbytes import _PLACE, LETTERS_DIGITS, buffers, grams, mix, slices, words
+from tidalspan.llm.workers import lean
 
 WINDOW, GRAM = 10, 5
 _HITS = pa.list_(pa.struct([("fp", pa.int64()), ("win", pa.int64()), ("len", pa.int32()), ("starts", pa.list_(pa.int32()))]))
@@ -104,12 +105,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_xxh"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    windows = keep(items.mapInArrow(_item_windows, "item string, fp bigint, win bigint, len int").distinct(), "windows")
+    windows = keep(items.mapInArrow(lean(_item_windows), "item string, fp bigint, win bigint, len int").distinct(), "windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # ten values at most
     table = spark.sparkContext.broadcast(bit_table(windows.select("fp")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = keep(docs.mapInArrow(
-        _scan(table, lengths),
+        lean(_scan(table, lengths)),
         f"doc_id {kind}, text_xxh bigint, n_words bigint, key binary, hits array<struct<fp: bigint, win: bigint, len: int, starts: array<int>>>"), "scanned")
     # Equal texts are looked up once.
     some = scanned.where("key is not null").groupBy("key").agg(F.first("hits").alias("hits")).select("key", F.inline("hits"))

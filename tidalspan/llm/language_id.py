@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalspan.llm.workers import lean
+
 SEGMENT, SLICE = 1024, 1 << 21
 #: Bound of the sample that the automata are made of: documents per language, and letters of one piece of each.
 SAMPLE_DOCS, SAMPLE_LETTERS = 100, 300
@@ -202,4 +204,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # its size follows the sample's bound and the languages
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "score double"])
-    return docs.mapInArrow(_predict(shared, docs.columns.index(text_col)), fields)
+    return docs.mapInArrow(lean(_predict(shared, docs.columns.index(text_col))), fields)

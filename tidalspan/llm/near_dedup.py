@@ -30,6 +30,7 @@ from tidalspan.llm.bits import bit_table, may_hold, passing
 from tidalspan.llm.components import apart, blocks_across, components
 from tidalspan.llm.store import keep
 from tidalspan.llm.textbytes import NOT_SPACE, buffers, grams, mix, slices, words
+from tidalspan.llm.workers import lean
 
 BANDS, ROWS, SHINGLE, UNIT = 32, 4, 5, 256
 MINIMA = BANDS * ROWS
@@ -226,13 +227,13 @@ def _likely(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
     """Those of ``pairs`` whose signatures agree often enough."""
     a = sigs.select(F.col("cls").alias("u"), F.col("minima").alias("a"))
     b = sigs.select(F.col("cls").alias("v"), F.col("minima").alias("b"))
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_agreeing(share), "u bigint, v bigint")
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(lean(_agreeing(share)), "u bigint, v bigint")
 
 
 def _full_sets(nodes: DataFrame, ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The full shingle sets of some classes (column cls).  One document of each is hashed again, and few others."""
     table = _table(ids.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key"))
-    sets = docs.select("key", "text").mapInArrow(_sets(table), "cls bigint, shingles binary")
+    sets = docs.select("key", "text").mapInArrow(lean(_sets(table)), "cls bigint, shingles binary")
     return keep(sets.join(nodes, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
 
 
@@ -242,7 +243,7 @@ def _verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame, percent: int, n
     a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b")
-    return keep(both.mapInArrow(_similar(percent), "u bigint, v bigint").distinct(), name)
+    return keep(both.mapInArrow(lean(_similar(percent)), "u bigint, v bigint").distinct(), name)
 
 
 def _sorted_units(rows: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def _rest(buckets: DataFrame, found: DataFrame, sigs: DataFrame, share: float) -
     rows = buckets.join(found, buckets.cls == found.node, "left").select("bucket", F.coalesce("root", "cls").alias("comp"), "cls")
     units = blocks_across(keep(rows, "bucket-rows"), UNIT).join(sigs, "cls").select("bucket", "x", "y", "side", "comp", "cls", "minima")
     fields = "bucket bigint, x int, y int, side int, comp bigint, cls bigint"
-    return keep(_sorted_units(units).mapInArrow(_open_rows(share), fields), "rest")
+    return keep(_sorted_units(units).mapInArrow(lean(_open_rows(share)), fields), "rest")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -274,17 +275,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = docs.withColumn("text_xxh", F.xxhash64("text"))
-    signed = keep(texts.mapInArrow(_signed, "doc_id bigint, text_xxh bigint, n_shingles bigint, cls bigint, minima binary"), "signed")
+    signed = keep(texts.mapInArrow(lean(_signed), "doc_id bigint, text_xxh bigint, n_shingles bigint, cls bigint, minima binary"), "signed")
     share = percent / 100 - SLACK
     minima = signed.where("cls is not null").select("cls", "minima")
     # Buckets with more than one class; copies are one class, so they open no bucket.
-    hubs = minima.mapInArrow(_banded(), "cls bigint, band bigint").groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last"))
+    hubs = minima.mapInArrow(lean(_banded()), "cls bigint, band bigint").groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last"))
     hubs = keep(hubs.where("u != last").select("band", "u"), "hubs")
-    rows = minima.mapInArrow(_banded(_table(hubs.select("band"))), "cls bigint, band bigint")
+    rows = minima.mapInArrow(lean(_banded(_table(hubs.select("band")))), "cls bigint, band bigint")
     buckets = keep(rows.join(hubs, "band").distinct(), "buckets")
     stars = buckets.where("cls != u").select("u", F.col("cls").alias("v")).distinct()
     nodes = buckets.select("cls").distinct()
-    sigs = minima.mapInArrow(passing(_table(nodes)), "cls bigint, minima binary").join(nodes, "cls", "left_semi")
+    sigs = minima.mapInArrow(lean(passing(_table(nodes))), "cls bigint, minima binary").join(nodes, "cls", "left_semi")
     sigs = keep(sigs.dropDuplicates(["cls"]), "signatures")
     key = F.xxhash64("doc_id", "text_xxh").alias("key")
     ids, docs = signed.select("cls", key), texts.select(key, "text")
@@ -300,7 +301,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if not rest.isEmpty():
         units = rest.join(_full_sets(rest.select("cls").distinct(), ids, docs, "rest"), "cls")
         units = _sorted_units(units.select("bucket", "x", "y", "side", "comp", "cls", "shingles"))
-        found = components(links.union(keep(units.mapInArrow(_linked_rows(percent), "u bigint, v bigint").distinct(), "more")))
+        found = components(links.union(keep(units.mapInArrow(lean(_linked_rows(percent)), "u bigint, v bigint").distinct(), "more")))
     return _labelled(signed, found)
 
 
