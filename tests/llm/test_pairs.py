@@ -10,8 +10,10 @@ import pytest
 from corpus import components as brute_components
 from corpus import documents, odd_rows, sentence, shingles
 
+from tidalspan import shared
+from tidalspan.llm import line_dedup
 from tidalspan.llm.components import components
-from tidalspan.llm.line_dedup import LONG, fuzzy_line_dedup, lines, similar, sketches
+from tidalspan.llm.line_dedup import CROWD, LONG, _groups, fuzzy_line_dedup, lines, similar, sketches
 from tidalspan.llm.line_dedup import _open_rows as line_open_rows
 from tidalspan.llm.line_dedup import shingles as line_shingles
 from tidalspan.llm.near_dedup import MINIMA, _open_rows, bands_of, near_duplicates
@@ -183,5 +185,39 @@ def test_open_rows_of_units_across_batches():
         assert got == [units[0], units[1], units[5], units[6], units[7]]
 
 
+def test_unlike_lines_that_share_bands_are_not_kept(spark, monkeypatch):
+    rng = random.Random(13)
+    words = [f"{rng.getrandbits(24):06x}" for _ in range(100)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(9))) for i in range(4000)]  # of few words, so that bands meet
+    rows += [(9000, rows[3][1] + "x"), (9001, rows[4][1] + "x")]
+    count = {}
+
+    def counted(df, name):
+        out = shared.keep(df, name)
+        count.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    got = fuzzy_line_dedup(documents(spark, rows)).collect()
+    assert {9000, 9001} <= {r.doc_id for r in got if r.dropped}
+    assert count["sketches"] <= 200
+
+
+def test_groups_of_a_bucket_follow_near_marks():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 5, CROWD, CROWD + 1, 3 * CROWD):
+        bucket = np.sort(np.concatenate([np.full(n, 7), rng.integers(8, 30, 60)])).astype(np.uint64)
+        mark = rng.integers(0, 1 << 63, (len(bucket), 2), dtype=np.uint64)
+        chained = np.flatnonzero(rng.random(len(bucket)) < 0.5)
+        for a, b in zip(chained, chained[1:]):  # each a few bits from the one before
+            mark[b] = mark[a] ^ np.uint64(0b1011 << int(rng.integers(50)))
+        find = brute_components([(i, j) for i in range(len(bucket)) for j in range(i) if bucket[i] == bucket[j]
+                                 and sum(bin(int(x)).count("1") for x in mark[i] ^ mark[j]) <= 8], range(len(bucket)))
+        least = {}
+        for i in range(len(bucket)):
+            least.setdefault(find(i), i)
+        assert _groups(bucket, mark, 8).tolist() == [least[find(i)] for i in range(len(bucket))]
+
+
 def test_lines_of_nothing(spark):
     assert fuzzy_line_dedup(documents(spark, [])).count() == 0
