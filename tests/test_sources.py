@@ -140,3 +140,11 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert spark.conf.get(conf) == usual
+
+
+def test_names_of_columns_are_looked_up_once_per_sheet(spark, tmp_path):
+    write_grid(tmp_path / "a.csv", rows=[[i, 500, 400, 15, 0.8, 100, "REST"] for i in range(12)])
+    grids = grid.read_grids(spark, str(tmp_path))
+    plan = grid.parse_breaths(grids)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    looked_up = [x for x in plan if "array_position" in x]
+    assert looked_up and all("CASE WHEN (row" in x and "CASE WHEN (array_position" not in x for x in looked_up)
